@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,15 +18,7 @@ def trim_all(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
-def _lookup(c: Column, table: dict[str, str]) -> Column:
-    """Replace known values; the table is a handful of literals."""
-    out = None
-    for known, replacement in table.items():
-        out = (F if out is None else out).when(c == known, F.lit(replacement))
-    return out.otherwise(c)
+    return F.nullif(c, F.lit(""))
 
 
 def normalize_model(c: Column) -> Column:
@@ -33,7 +26,10 @@ def normalize_model(c: Column) -> Column:
     name = blank_to_null(F.lower(trim_all(c)))
     name = F.regexp_replace(name, fixed.VENDOR_PREFIX, "$1")
     name = F.regexp_replace(name, fixed.EFFORT_SUFFIXES, "$1")
-    return _lookup(name, fixed.MODEL_ALIASES)
+    # nested replacements evaluate the name once; a CASE would evaluate it per branch
+    for alias, model in fixed.MODEL_ALIASES.items():
+        name = F.regexp_replace(name, f"^{re.escape(alias)}$", model)
+    return name
 
 
 def pricing_model(model: Column, tool: Column) -> Column:
@@ -69,26 +65,18 @@ def estimate_tokens(text: Column) -> Column:
 
 def normalize_display_model(name: Column) -> Column:
     """Human-readable model title to slug: effort words dropped, known family kept."""
-    slug = trim_all(name)
-    present = slug != ""
-    slug = F.regexp_replace(slug, r"\([^)]*\)", " ")
+    slug = F.regexp_replace(trim_all(name), r"\([^)]*\)", " ")
     slug = F.regexp_replace(slug, fixed.DISPLAY_EFFORT_WORDS, " ")
     slug = F.regexp_replace(F.lower(slug), r"[^a-z0-9.]+", "-")
     slug = F.regexp_replace(slug, r"^-+|-+$", "")
-    start = reduce(
-        lambda acc, family: acc.when(F.instr(slug, family) > 0, F.instr(slug, family)),
-        fixed.DISPLAY_FAMILIES[1:],
-        F.when(
-            F.instr(slug, fixed.DISPLAY_FAMILIES[0]) > 0,
-            F.instr(slug, fixed.DISPLAY_FAMILIES[0]),
-        ),
-    ).otherwise(F.lit(1))
-    kept = F.substr(slug, start)
-    known = kept.rlike("^(" + "|".join(fixed.DISPLAY_FAMILIES) + ")-")
-    return F.when(
-        present & (slug != ""),
-        F.when(known, kept).otherwise(F.concat(F.lit("antigravity-"), kept)),
-    )
+    earlier = ""
+    for family in fixed.DISPLAY_FAMILIES:
+        # families are tried in order: one that occurs hides the later ones
+        guard = f"(?!.*(?:{earlier}))" if earlier else ""
+        slug = F.regexp_replace(slug, f"^{guard}.*?({family}.*)$", "$1")
+        earlier = f"{earlier}|{family}" if earlier else family
+    slug = F.regexp_replace(slug, f"^(?!(?:{earlier})-)(.+)$", "antigravity-$1")
+    return blank_to_null(slug)
 
 
 def parse_model_selection(text: Column) -> Column:
