@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from usagelens import fixed
@@ -112,8 +111,8 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     """One row per fault: (pos, error). ``pos`` numbers the rules of the list from 1."""
     known = F.col("metric").isin(fixed.ALERT_METRICS)
     blank_id = F.col("id").isNull() | (F.trim("id") == "")
-    # a later rule with an id already taken; the rule list is small configuration
-    nth = F.row_number().over(W.partitionBy("id").orderBy("pos"))
+    # a later rule with an id already taken
+    first_use = rules.groupBy("id").agg(F.min("pos").alias("first_pos"))
     falling = F.col("metric") == "balance"
 
     def threshold_fault(name: str) -> Column:
@@ -130,7 +129,7 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     )
     faults = F.array(
         F.when(blank_id, F.lit("id must not be blank")),
-        F.when(~blank_id & (F.col("nth") > 1), F.lit("duplicate id")),
+        F.when(~blank_id & (F.col("pos") > F.col("first_pos")), F.lit("duplicate id")),
         F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown metric")),
         F.when(F.col("enabled").isNull(), F.lit("enabled must be boolean")),
         F.when(provider_wrong, F.lit("provider only fits balance")),
@@ -143,6 +142,6 @@ def validate_rules(rules: DataFrame) -> DataFrame:
         F.when(F.coalesce(order_wrong, F.lit(False)), F.lit("thresholds in wrong order")),
     )
     return (
-        rules.withColumn("nth", nth)
+        rules.join(first_use, "id", "left")
         .select("pos", F.explode(F.array_compact(faults)).alias("error"))
     )

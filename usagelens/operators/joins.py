@@ -30,7 +30,7 @@ def asof_last(
     rows: DataFrame, value: str, keys: list[str], chunk: str, order: list[str], out: str
 ) -> DataFrame:
     """Latest earlier value that is not null, as a running window rather than a join."""
-    return running(rows, keys, chunk, order, {out: ("last", F.col(value))}, inclusive=False)
+    return running(rows, keys, chunk, order, {out: ("last_before", F.col(value))})
 
 
 _COMMIT_SOURCES = ["claude-code", "ccmr", "codex"]

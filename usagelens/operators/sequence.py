@@ -186,20 +186,29 @@ def cumulative_to_daily(snapshots: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def running_context(
-    lines: DataFrame, value: str, keys: list[str], chunk: str, order: list[str], name: str = "context"
+    lines: DataFrame,
+    value: str,
+    keys: list[str],
+    chunk: str,
+    order: list[str],
+    name: str = "context",
+    null_keys: bool = False,
 ) -> DataFrame:
     """Sum of all earlier rows of the same file."""
-    return running(
-        lines, keys, chunk, order, {name: ("sum", F.col(value))}, inclusive=False
-    )
+    return running(lines, keys, chunk, order, {name: ("sum_before", F.col(value))}, null_keys)
 
 
 def last_known(
-    lines: DataFrame, columns: dict[str, str], keys: list[str], chunk: str, order: list[str]
+    lines: DataFrame,
+    columns: dict[str, str],
+    keys: list[str],
+    chunk: str,
+    order: list[str],
+    null_keys: bool = False,
 ) -> DataFrame:
     """Carry the last value that is not null forward; ``columns`` maps source to output."""
     specs = {out: ("last", F.col(source)) for source, out in columns.items()}
-    return running(lines, keys, chunk, order, specs)
+    return running(lines, keys, chunk, order, specs, null_keys)
 
 
 def balance_delta(balances: DataFrame, since_ms: int) -> DataFrame:

@@ -67,37 +67,35 @@ def running(
     chunk: str,
     order: list[str],
     specs: dict[str, tuple[str, Column]],
-    inclusive: bool = True,
+    null_keys: bool = False,
 ) -> DataFrame:
     """Ordered running values per key, computed chunk by chunk.
 
     ``specs`` maps an output column to ``(kind, value)`` with kind ``sum``, ``max`` or ``last``
-    (last value that is not null). ``chunk`` is a column that rises with the order and bounds
-    the rows of one window partition (a file split, a time slice); the running value entering a
-    chunk comes from the chunk totals, of which there are few. So one huge key is spread over as
-    many tasks as it has chunks. ``inclusive=False`` leaves out the current row.
+    (last value that is not null), up to the current row; ``sum_before``, ``max_before`` and
+    ``last_before`` leave the current row out. ``chunk`` is a column that rises with the order
+    and bounds the rows of one window partition (a file split, a time slice); the value entering
+    a chunk comes from the chunk totals, one row per chunk. So one huge key is spread over as
+    many tasks as it has chunks. Set ``null_keys`` where a key may be null.
     """
-    end = W.currentRow if inclusive else -1
-    inside = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-    before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    chunked = W.partitionBy(*keys, chunk).orderBy(*order)
+    upto = chunked.rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = chunked.rowsBetween(W.unboundedPreceding, -1)
+    chunks_before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     position = F.struct(*order)
+    plan = {n: (k.removesuffix("_before"), k.endswith("_before"), v) for n, (k, v) in specs.items()}
 
-    def within(kind: str, value: Column) -> Column:
+    def windowed(kind: str, value: Column, window) -> Column:
         if kind == "last":
-            return F.last(value, ignorenulls=True).over(inside)
-        return (F.sum if kind == "sum" else F.max)(value).over(inside)
+            return F.last(value, ignorenulls=True).over(window)
+        return (F.sum if kind == "sum" else F.max)(value).over(window)
 
     def whole(kind: str, value: Column) -> Column:
         if kind == "last":
             return F.max_by(value, F.when(value.isNotNull(), position))
         return (F.sum if kind == "sum" else F.max)(value)
 
-    def entering(kind: str, column: str) -> Column:
-        if kind == "last":
-            return F.last(column, ignorenulls=True).over(before)
-        return (F.sum if kind == "sum" else F.max)(column).over(before)
-
-    def merge(kind: str, name: str) -> Column:
+    def merged_value(kind: str, name: str) -> Column:
         local, carry = F.col(f"_in_{name}"), F.col(f"_pre_{name}")
         if kind == "last":
             return F.coalesce(local, carry)
@@ -105,20 +103,28 @@ def running(
             return F.greatest(local, carry)
         return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
 
-    rows = df.select("*", *[within(k, v).alias(f"_in_{n}") for n, (k, v) in specs.items()])
+    rows = df.select(
+        "*",
+        *[
+            windowed(kind, value, before if excluded else upto).alias(f"_in_{n}")
+            for n, (kind, excluded, value) in plan.items()
+        ],
+    )
     carry = (
         df.groupBy(*keys, chunk)
-        .agg(*[whole(k, v).alias(f"_all_{n}") for n, (k, v) in specs.items()])
+        .agg(*[whole(kind, value).alias(f"_all_{n}") for n, (kind, _, value) in plan.items()])
         .select(
             *[F.col(c).alias(f"_k_{c}") for c in [*keys, chunk]],
-            *[entering(k, f"_all_{n}").alias(f"_pre_{n}") for n, (k, _) in specs.items()],
+            *[
+                windowed(kind, F.col(f"_all_{n}"), chunks_before).alias(f"_pre_{n}")
+                for n, (kind, _, _) in plan.items()
+            ],
         )
     )
     matched = None
     for c in [*keys, chunk]:
-        same = rows[c].eqNullSafe(carry[f"_k_{c}"])
+        same = F.col(c).eqNullSafe(F.col(f"_k_{c}")) if null_keys else F.col(c) == F.col(f"_k_{c}")
         matched = same if matched is None else matched & same
-    merged = rows.join(carry, matched, "left")
-    return merged.select(
-        *df.columns, *[merge(k, n).alias(n) for n, (k, _) in specs.items()]
+    return rows.join(carry, matched, "left").select(
+        *df.columns, *[merged_value(kind, n).alias(n) for n, (kind, _, _) in plan.items()]
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from usagelens.plans import (  # noqa: F401 - importing registers the queries
+    board_queries,
     cost_queries,
     dedup_queries,
     function_queries,

@@ -563,7 +563,7 @@ SLICE = 1_000
 def _(spark, d):
     rows = v.usage_rows(spark, d).withColumn("slice", F.floor(F.col("ts_ms") / 86_400_000))
     return sequence.running_context(
-        rows, "output_tokens", ["session_id"], "slice", ["ts_ms", "event_id"]
+        rows, "output_tokens", ["session_id"], "slice", ["ts_ms", "event_id"], null_keys=True
     ).select("dedup_key", "context")
 
 
@@ -575,7 +575,7 @@ def _(spark, d):
 def _(spark, d):
     rows = v.usage_rows(spark, d).withColumn("slice", F.floor(F.col("ts_ms") / 86_400_000))
     return sequence.last_known(
-        rows, {"model": "known_model"}, ["session_id"], "slice", ["ts_ms", "event_id"]
+        rows, {"model": "known_model"}, ["session_id"], "slice", ["ts_ms", "event_id"], True
     ).select("dedup_key", "known_model")
 
 
