@@ -1,4 +1,8 @@
-"""Access to parsed JSON (variant) columns. Wrong types read as null, never as an error."""
+"""Access to parsed JSON (variant) columns. Wrong types read as null, never as an error.
+
+The plain readers cost one path lookup each and convert leniently, as the log formats need;
+only the strict ones look at the JSON type.
+"""
 
 from __future__ import annotations
 
@@ -17,51 +21,57 @@ def get(v: Column, path: str, type_name: str) -> Column:
     return F.try_variant_get(v, path, type_name)
 
 
-def type_of(v: Column, path: str) -> Column:
-    """Type name of a field (``STRING``, ``BIGINT``, ``DOUBLE``, ...); null when it is absent."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def text(v: Column, path: str) -> Column:
+    """A scalar field as text; blank or absent gives null."""
+    return F.nullif(get(v, path, "string"), F.lit(""))
 
 
-def _kind(v: Column, path: str) -> Column:
-    return F.coalesce(type_of(v, path), F.lit("VOID"))
+def number(v: Column, path: str) -> Column:
+    """Numeric field as double; numeric text counts."""
+    return get(v, path, "double")
 
 
-def text(v: Column, path: str) -> Column:
-    """A string field that is not empty; other types give null."""
-    value = get(v, path, "string")
-    return F.when((_kind(v, path) == "STRING") & (value != ""), value)
+def count(v: Column, path: str) -> Column:
+    """Token counter: absent, null or unreadable counts as 0."""
+    return F.coalesce(get(v, path, "double"), F.lit(0.0)).cast("long")
+
+
+def present(v: Column, path: str) -> Column:
+    """Field exists and is not JSON null."""
+    return ~F.coalesce(F.is_variant_null(get(v, path, "variant")), F.lit(True))
 
 
 def is_object(v: Column, path: str) -> Column:
-    return _kind(v, path).startswith("OBJECT")
+    return get(v, path, "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column, path: str) -> Column:
-    return _kind(v, path).startswith("ARRAY")
+    return get(v, path, "array<variant>").isNotNull()
 
 
-def is_number(v: Column, path: str) -> Column:
-    kind = _kind(v, path)
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+# ---------------------------------------------------------------------------------- strict
 
 
-def present(v: Column, path: str) -> Column:
-    """Field exists and is not JSON null."""
-    return _kind(v, path) != "VOID"
+def type_of(v: Column, path: str) -> Column:
+    """Type name of a small field (``STRING``, ``BIGINT``, ``DOUBLE``, ...); null when absent."""
+    return F.schema_of_variant(get(v, path, "variant"))
 
 
-def number(v: Column, path: str) -> Column:
-    """Numeric field as double; strings and other types give null."""
-    return F.when(is_number(v, path), get(v, path, "double"))
+def is_string(v: Column, path: str) -> Column:
+    return F.coalesce(type_of(v, path) == "STRING", F.lit(False))
 
 
-def count(v: Column, path: str) -> Column:
-    """Token counter: absent, null or zero-like counts as 0."""
-    return F.coalesce(F.when(is_number(v, path), get(v, path, "double")), F.lit(0.0)).cast("long")
+def is_number(v: Column, path: str) -> Column:
+    return F.coalesce(type_of(v, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+
+
+def strict_number(v: Column, path: str) -> Column:
+    """Numeric field as double; text does not count."""
+    return F.when(is_number(v, path), get(v, path, "double"))
 
 
 def safe_int(v: Column, path: str) -> Column:
-    """Non-negative safe integer, or null."""
-    value = number(v, path)
-    whole = (value == F.floor(value)) & value.between(0, float(fixed.MAX_SAFE_INTEGER))
+    """Non-negative safe integer given as a number, or null."""
+    value = get(v, path, "double")
+    whole = is_number(v, path) & (value == F.floor(value)) & value.between(0, float(fixed.MAX_SAFE_INTEGER))
     return F.when(whole, value.cast("long"))

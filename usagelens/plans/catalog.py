@@ -7,6 +7,7 @@ from usagelens.plans import (  # noqa: F401 - importing registers the queries
     cost_queries,
     dedup_queries,
     function_queries,
+    source_queries,
     usage_queries,
 )
 from usagelens.plans.registry import ORACLE, QUERIES

@@ -9,14 +9,11 @@ from usagelens import fixed
 from usagelens.functions import variants as V
 from usagelens.functions.names import basename, normalize_model
 from usagelens.functions.times import parse_iso_millis, seconds_to_millis
-from usagelens.operators.skew import running
 from usagelens.sources.lines import (
     CALL_FIELDS,
-    CHUNK,
-    FILE_KEYS,
-    ORDER,
     as_rows,
     folder_name,
+    in_file_order,
     parsed,
     project_of,
     stem,
@@ -29,7 +26,7 @@ _PLACE = ["path", "block", "pos"]
 
 def _text_of_id(v: Column, path: str) -> Column:
     """An id that may be a string or a number, as text."""
-    return F.when(V.text(v, path).isNotNull() | V.is_number(v, path), V.get(v, path, "string"))
+    return V.text(v, path)
 
 
 def _template(v: Column, path: str) -> Column:
@@ -70,12 +67,7 @@ def _dsh_requests(lines: DataFrame) -> DataFrame:
         count("outputTokens").alias("output_tokens"),
         count("reasoningTokens").alias("reasoning_tokens"),
     )
-    known = running(
-        flat,
-        FILE_KEYS,
-        CHUNK,
-        ORDER,
-        {
+    known = in_file_order(flat, {
             "current_model": ("last", F.when(F.col("kind") == "request/header", F.col("header_model"))),
             "project": ("last", F.when(F.col("kind") == "session", F.col("cwd_name"))),
         },
@@ -154,7 +146,7 @@ def norm_workbuddy(lines: DataFrame) -> DataFrame:
     named = F.regexp_extract(folder, r"-WorkBuddy-(.+)$", 1)
     record_id = _text_of_id(v, "$.id")
     shaped = rows.filter(
-        V.is_object(v, "$.message.usage") & record_id.isNotNull() & V.is_number(v, "$.timestamp")
+        V.present(v, "$.message.usage") & record_id.isNotNull() & V.number(v, "$.timestamp").isNotNull()
     ).select(
         *_PLACE,
         F.concat(F.lit("wb:"), record_id).alias("dedup_key"),
@@ -178,9 +170,9 @@ def norm_workbuddy(lines: DataFrame) -> DataFrame:
 def _grok_updates(lines: DataFrame) -> DataFrame:
     rows = parsed(lines, '"turn_completed"', '"sessionUpdate":"tool_call"', '"totalTokens"')
     v = F.col("v")
-    stamp = F.coalesce(V.number(v, "$.timestamp"), V.text(v, "$.timestamp").try_cast("double"))
+    stamp = V.number(v, "$.timestamp")
     folder = F.coalesce(F.nullif(folder_name(2), F.lit("")), folder_name(1))
-    return rows.filter(V.is_object(v, "$.params.update")).select(
+    return rows.filter(V.present(v, "$.params.update")).select(
         *_PLACE,
         "v",
         seconds_to_millis(stamp).alias("ts_ms"),
@@ -194,7 +186,7 @@ def norm_grok(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     usage = "$.params.update.usage"
     turns = _grok_updates(lines).filter(
-        (V.text(v, "$.params.update.sessionUpdate") == "turn_completed") & V.is_object(v, usage)
+        (V.text(v, "$.params.update.sessionUpdate") == "turn_completed") & V.present(v, usage)
     )
     split = V.is_object(v, f"{usage}.modelUsage")
     per_model = F.map_entries(V.get(v, f"{usage}.modelUsage", "map<string,variant>"))
@@ -279,7 +271,7 @@ def _pi_messages(lines: DataFrame) -> DataFrame:
     flat = rows.select(
         *_PLACE, "v", kind.alias("kind"), F.when(kind == "session", project_of(v, "$.cwd")).alias("cwd_name")
     )
-    known = running(flat, FILE_KEYS, CHUNK, ORDER, {"project": ("last", F.col("cwd_name"))})
+    known = in_file_order(flat, {"project": ("last", F.col("cwd_name"))})
     stamp = F.coalesce(
         parse_iso_millis(V.text(v, "$.timestamp")), V.number(v, "$.message.timestamp").cast("long")
     )
@@ -294,7 +286,7 @@ def _pi_messages(lines: DataFrame) -> DataFrame:
 def norm_pi(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     key = F.coalesce(_text_of_id(v, "$.id"), _text_of_id(v, "$.message.responseId"))
-    rows = _pi_messages(lines).filter(V.is_object(v, "$.message.usage") & key.isNotNull())
+    rows = _pi_messages(lines).filter(V.present(v, "$.message.usage") & key.isNotNull())
     shaped = rows.select(
         *_PLACE,
         F.concat_ws(":", F.lit("pi"), "session_id", key).alias("dedup_key"),
@@ -340,7 +332,7 @@ def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFram
     """
     rows = parsed(lines, "step.end", "config.update")
     v = F.col("v")
-    wrapped = (V.text(v, "$.type") == "context.append_loop_event") & V.is_object(v, "$.event")
+    wrapped = (V.text(v, "$.type") == "context.append_loop_event") & V.present(v, "$.event")
     alias = F.element_at(F.split(V.text(v, "$.modelAlias"), "/"), -1)
     event = F.when(wrapped, V.get(v, "$.event", "variant")).otherwise(F.col("v"))
     flat = rows.select(
@@ -349,7 +341,7 @@ def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFram
         event.alias("e"),
         F.coalesce(V.get(v, "$.time", "double"), V.get(v, "$.event.time", "double")).cast("long").alias("ts_ms"),
     )
-    known = running(flat, FILE_KEYS, CHUNK, ORDER, {"current": ("last", F.col("alias"))})
+    known = in_file_order(flat, {"current": ("last", F.col("alias"))})
     e = F.col("e")
 
     def n(path: str) -> Column:
@@ -363,7 +355,7 @@ def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFram
     own, anthropic = has("inputOther"), has("cache_read_input_tokens")
     ends = known.filter(
         (V.text(e, "$.type") == "step.end")
-        & V.is_object(e, "$.usage")
+        & V.present(e, "$.usage")
         & _text_of_id(e, "$.uuid").isNotNull()
         & F.col("ts_ms").isNotNull()
     )
@@ -404,12 +396,12 @@ def _qoder_rows(lines: DataFrame) -> DataFrame:
         V.text(v, "$.type") == "workspace-directories", basename(V.text(v, "$.directories[0]"))
     )
     flat = rows.select(*_PLACE, "v", folder.alias("cwd_name"))
-    known = running(flat, FILE_KEYS, CHUNK, ORDER, {"project": ("last", F.col("cwd_name"))})
+    known = in_file_order(flat, {"project": ("last", F.col("cwd_name"))})
     return (
         known.filter(
             (V.text(v, "$.type") == "assistant")
             & _text_of_id(v, "$.message.id").isNotNull()
-            & V.is_object(v, "$.message.usage")
+            & V.present(v, "$.message.usage")
         )
         .withColumn("ts_ms", parse_iso_millis(V.text(v, "$.timestamp")))
         .filter(F.col("ts_ms").isNotNull())
@@ -444,9 +436,7 @@ def norm_qoder(lines: DataFrame) -> DataFrame:
 def qoder_credits(lines: DataFrame) -> DataFrame:
     """Positive credits per message, also where no tokens are reported."""
     v = F.col("v")
-    credits = F.coalesce(
-        V.number(v, "$.message.usage.credits"), V.text(v, "$.message.usage.credits").try_cast("double")
-    )
+    credits = V.number(v, "$.message.usage.credits")
     return _qoder_rows(lines).filter(credits > 0).select(
         F.concat(F.lit("qoder-credit:"), _text_of_id(v, "$.message.id")).alias("dedup_key"),
         "ts_ms",

@@ -183,7 +183,7 @@ def read_balance_snapshots(payloads: DataFrame) -> DataFrame:
 
     def loose(v: Column, path: str) -> Column:
         """A number, or a string that holds one."""
-        return F.coalesce(V.number(v, path), V.text(v, path).try_cast("double"))
+        return V.number(v, path)
 
     cny = F.filter(
         V.get(body, "$.balance_infos", "array<variant>"),

@@ -109,7 +109,7 @@ def norm_context_records(records: DataFrame, now_ms: int) -> DataFrame:
 
     def stamp(o: Column, path: str) -> Column:
         return F.coalesce(
-            to_millis(V.number(o, path), now_ms), to_millis(V.text(o, path), now_ms, is_text=True)
+            to_millis(V.strict_number(o, path), now_ms), to_millis(V.text(o, path), now_ms, is_text=True)
         )
 
     model = _first(F.slice(chain, 1, 2), _MODEL, _id_text)

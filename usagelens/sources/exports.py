@@ -94,7 +94,7 @@ def _percent(c: Column) -> Column:
 
 def _loose(v: Column, path: str) -> Column:
     """A number, or text that holds one."""
-    return F.coalesce(V.number(v, path), V.text(v, path).try_cast("double"))
+    return V.number(v, path)
 
 
 def _account_window(w: Column, label: Column) -> Column:

@@ -7,10 +7,12 @@ filters by text first, parses each remaining line once, and projects fields.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from usagelens.functions import variants as V
 from usagelens.functions.names import basename, file_stem, parent_dir
+from usagelens.operators.skew import running
 from usagelens.schema import BILLED_COLUMNS
 
 #: window partitions and order of a file's lines
@@ -30,6 +32,39 @@ def parsed(lines: DataFrame, *any_of: str, keep_value: bool = False) -> DataFram
     return rows.select(*_KEEP, *extra, body).filter(F.col("v").isNotNull())
 
 
+def in_file_order(
+    rows: DataFrame, *rounds: dict[str, tuple[str, Column]], chunked: bool = False
+) -> DataFrame:
+    """Running values over each file's rows; later rounds may use the columns of earlier ones.
+
+    A file is the unit of order, so all rounds share one shuffle and one sort by file; the
+    windows stream and spill, and only narrow rows reach them. ``chunked`` computes each round
+    split by split instead, for single files too large for one task, at the price of more
+    shuffles. Kinds are those of :func:`usagelens.operators.skew.running`.
+    """
+    out = rows
+    per_file = W.partitionBy(*FILE_KEYS).orderBy(*ORDER)
+    upto = per_file.rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = per_file.rowsBetween(W.unboundedPreceding, -1)
+    for specs in rounds:
+        if chunked:
+            out = running(out, FILE_KEYS, CHUNK, ORDER, specs)
+            continue
+        added = []
+        for name, (kind, value) in specs.items():
+            window = before if kind.endswith("_before") else upto
+            base = kind.removesuffix("_before")
+            if base == "last":
+                column = F.last(value, ignorenulls=True).over(window)
+            elif base == "sum":
+                column = F.coalesce(F.sum(value).over(window), F.lit(0))
+            else:
+                column = F.max(value).over(window)
+            added.append(column.alias(name))
+        out = out.select("*", *added)
+    return out
+
+
 def stem() -> Column:
     return file_stem(F.col("path"))
 

@@ -14,7 +14,7 @@ _PERIODS = ["day", "week", "month"]
 
 def _number(v: Column, path: str) -> Column:
     """Value read as a number the lenient way: numeric text counts, anything else is 0."""
-    return F.coalesce(V.number(v, path), V.text(v, path).try_cast("double"), F.lit(0.0))
+    return F.coalesce(V.number(v, path), F.lit(0.0))
 
 
 def _rounded(c: Column) -> Column:
@@ -30,7 +30,7 @@ def _shares(v: Column, path: str) -> Column:
     """Up to eight (name, percent) pairs with publishable names."""
     none = F.expr("cast(array() as array<variant>)")
     items = F.slice(F.coalesce(V.get(v, path, "array<variant>"), none), 1, 8)
-    pairs = F.filter(items, lambda p: F.coalesce(V.type_of(p, "$[0]") == "STRING", F.lit(False)))
+    pairs = F.filter(items, lambda p: V.is_string(p, "$[0]"))
     named = F.transform(
         pairs,
         lambda p: F.struct(
@@ -44,7 +44,7 @@ def _shares(v: Column, path: str) -> Column:
 def clamp_report(v: Column) -> Column:
     """Report body limited to plausible magnitudes and publishable labels, as a struct."""
     day = V.get(v, "$.day", "string")
-    roi = F.coalesce(V.number(v, "$.roi_ratio"), V.text(v, "$.roi_ratio").try_cast("double"))
+    roi = V.number(v, "$.roi_ratio")
     roi_limit = float(fixed.CLAMP_LIMITS["roi_ratio"])
     by_period = F.struct(*[
         F.when(V.is_array(v, f"$.models_by_period.{p}"), F.slice(_shares(v, f"$.models_by_period.{p}"), 1, 1)).alias(p)
@@ -76,7 +76,7 @@ def clamp_report(v: Column) -> Column:
 def _strict(v: Column, name: str) -> Column:
     """Counter as sent: absent stays null, a wrong type becomes NaN."""
     path = f"$.{name}"
-    return F.when(V.present(v, path), F.coalesce(V.number(v, path), F.lit(float("nan"))))
+    return F.when(V.present(v, path), F.coalesce(V.strict_number(v, path), F.lit(float("nan"))))
 
 
 def read_player_reports(bodies: DataFrame) -> DataFrame:

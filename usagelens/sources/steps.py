@@ -14,14 +14,14 @@ from usagelens.functions.names import (
     parse_model_selection,
 )
 from usagelens.functions.times import parse_iso_millis
-from usagelens.operators.skew import running
-from usagelens.sources.lines import CHUNK, FILE_KEYS, ORDER, as_rows, parsed, stem
+from usagelens.sources.lines import as_rows, in_file_order, parsed, stem
 
 
 def _estimate(v: Column, path: str) -> Column:
     """Token estimate of a field: text as it is, structures as compact JSON."""
     raw = V.get(v, path, "variant")
-    text = F.when(V.type_of(v, path) == "STRING", V.get(v, path, "string")).otherwise(F.to_json(raw))
+    # scalars read as text, structures do not and are rendered
+    text = F.coalesce(V.get(v, path, "string"), F.to_json(raw))
     return F.when(V.present(v, path), estimate_tokens(text)).otherwise(F.lit(0)).cast("long")
 
 
@@ -90,13 +90,10 @@ def norm_antigravity(
     model_now = F.when(speaks, F.col("meta_model")).when(
         ~F.col("repeat") & ~F.col("planner"), F.col("chosen_model")
     )
-    ordered = running(
+    ordered = in_file_order(
         known.withColumn("model_now", model_now).withColumn(
             "adds", F.when(~F.col("repeat"), F.col("own_tokens"))
         ),
-        FILE_KEYS,
-        CHUNK,
-        ORDER,
         {"context": ("sum_before", F.col("adds")), "current": ("last", F.col("model_now"))},
     )
     from_meta = F.col("context_tokens").isNotNull()

@@ -37,7 +37,7 @@ def _replies(lines: DataFrame, tool: str) -> DataFrame:
     )
     message_id = V.text(v, "$.message.id")
     counters = {}
-    valid = V.is_object(v, "$.message.usage")
+    valid = V.present(v, "$.message.usage")
     some = F.lit(False)
     for name, field in _COUNTS.items():
         path = f"$.message.usage.{field}"
