@@ -38,7 +38,8 @@ def count(v: Column, path: str) -> Column:
 
 def present(v: Column, path: str) -> Column:
     """Field exists and is not JSON null."""
-    return ~F.coalesce(F.is_variant_null(get(v, path, "variant")), F.lit(True))
+    value = get(v, path, "variant")
+    return value.isNotNull() & ~F.is_variant_null(value)
 
 
 def is_object(v: Column, path: str) -> Column:
@@ -49,6 +50,10 @@ def is_array(v: Column, path: str) -> Column:
     return get(v, path, "array<variant>").isNotNull()
 
 
+def is_container(v: Column) -> Column:
+    return is_object(v, "$") | is_array(v, "$")
+
+
 # ---------------------------------------------------------------------------------- strict
 
 

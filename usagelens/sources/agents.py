@@ -106,14 +106,10 @@ def norm_dsh(lines: DataFrame) -> DataFrame:
     The larger output stays; among equals a message row wins, the last of them.
     """
     rows = as_rows(_dsh_requests(lines), extra=["is_message"])
-    at = F.struct("block", "pos")
-    early = F.struct(-F.col("block"), -F.col("pos"))
-    zero = F.struct(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    # among equals the last message row, or else the first chunk row
+    later = F.when(F.col("is_message"), 1).otherwise(-1)
     rank = F.struct(
-        F.col("output_tokens"),
-        F.col("is_message"),
-        F.when(F.col("is_message"), at).otherwise(zero),
-        F.when(F.col("is_message"), zero).otherwise(early),
+        F.col("output_tokens"), F.col("is_message"), F.col("block") * later, F.col("pos") * later
     )
     kept = [c for c in rows.columns if c not in ("dedup_key", "path", "is_message")]
     return (

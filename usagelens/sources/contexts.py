@@ -19,7 +19,7 @@ _MODEL = ["model_id", "llm_model_type", "model_type", "model_name"]
 _FOLDER = ["workspace", "agent_workspace", "shared_folder_path", "folder", "cwd"]
 _PARAMS = ["general_task_param", "agent_task_param", "task_param"]
 #: nesting levels searched for owners
-_LEVELS = 12
+_LEVELS = 10
 
 
 def _children(v: Column) -> Column:
@@ -29,29 +29,43 @@ def _children(v: Column) -> Column:
     )
 
 
-def owners(records: DataFrame) -> DataFrame:
+def owners(records: DataFrame, levels: int = _LEVELS) -> DataFrame:
     """Every object that directly owns a context breakdown, with its ancestors, nearest first.
 
-    The search goes level by level and only into values that mention the field.
+    Each step turns a value into its children, and an owner also into a finished row, so the
+    whole search is one chain of explodes without a shuffle. Only values that mention the field
+    are followed; a record nested deeper than ``levels`` raises instead of losing rows.
     """
-    v = F.col("v")
-    level = records.filter(F.col("value").contains(_OWNED)).select(
+    v, above = F.col("v"), F.col("above")
+    rows = records.filter(F.col("value").contains(_OWNED)).select(
         "tool",
         V.parse(F.col("value")).alias("v"),
         F.expr("cast(array() as array<variant>)").alias("above"),
-    ).filter(v.isNotNull())
-    found = None
-    for _ in range(_LEVELS):
-        chain = F.when(V.is_object(v, "$"), F.concat(F.array("v"), "above")).otherwise(F.col("above"))
-        here = level.withColumn("chain", chain)
-        hit = here.filter(V.is_object(v, "$") & V.get(v, f"$.{_OWNED}", "variant").isNotNull()).select(
-            "tool", "chain"
+        F.lit(False).alias("done"),
+    )
+    rows = rows.filter(v.isNotNull())
+    none = F.expr("cast(array() as array<struct<v:variant,above:array<variant>,done:boolean>>)")
+    for _ in range(levels):
+        chain = F.when(V.is_object(v, "$"), F.concat(F.array(v), above)).otherwise(above)
+        finished = F.array(F.struct(v.alias("v"), above.alias("above"), F.lit(True).alias("done")))
+        owner = F.array(F.struct(v.alias("v"), F.concat(F.array(v), above).alias("above"), F.lit(True).alias("done")))
+        below = F.transform(
+            F.filter(_children(v), lambda c: F.to_json(c).contains(_OWNED)),
+            lambda c: F.struct(c.alias("v"), F.col("chain").alias("above"), F.lit(False).alias("done")),
+        )
+        owns = V.is_object(v, "$") & V.get(v, f"$.{_OWNED}", "variant").isNotNull()
+        step = F.when(F.col("done"), finished).otherwise(
+            F.concat(F.when(owns, owner).otherwise(none), F.coalesce(below, none))
         )
-        found = hit if found is None else found.unionByName(hit)
-        level = here.select("tool", F.col("chain").alias("above"), F.explode(_children(v)).alias("v")).filter(
-            F.to_json("v").contains(_OWNED)
+        rows = (
+            rows.withColumn("chain", chain)
+            .select("tool", F.explode(step).alias("s"))
+            .select("tool", "s.*")
         )
-    return found
+    too_deep = F.raise_error(F.lit("context record nested too deep"))
+    return rows.select(
+        "tool", F.when(F.col("done") | ~V.is_container(v), above).otherwise(too_deep).alias("chain"), "done"
+    ).filter("done").drop("done")
 
 
 def _first(chain: Column, names: list[str], accept) -> Column:

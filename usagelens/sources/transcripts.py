@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens import fixed
@@ -10,7 +10,7 @@ from usagelens.functions import variants as V
 from usagelens.functions.names import basename, normalize_model
 from usagelens.functions.times import parse_iso_millis
 from usagelens.sources.files import is_cowork_usage_path
-from usagelens.sources.lines import CALL_FIELDS, as_rows, parsed, project_of, stem
+from usagelens.sources.lines import CALL_FIELDS, as_rows, stem
 
 _COUNTS = {
     "input_tokens": "input_tokens",
@@ -20,62 +20,80 @@ _COUNTS = {
 }
 
 
+#: fields read from a transcript line; counters and the id stay variants for the strict checks
+_SCHEMA = """
+    type string, timestamp string, _audit_timestamp string, sessionId string, session_id string,
+    cwd string, requestId string, requestRef string,
+    message struct<id: variant, model: string, content: array<struct<type: string, id: string, name: string>>,
+      usage: struct<input_tokens: variant, cache_read_input_tokens: variant,
+        cache_creation_input_tokens: variant, output_tokens: variant,
+        output_tokens_details: struct<thinking_tokens: variant>>>
+"""
+
+
+def _filled(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
 def _replies(lines: DataFrame, tool: str) -> DataFrame:
-    """Valid assistant rows with all event fields, the parsed body and the request reference."""
+    """Valid assistant rows with all event fields, content blocks and the request reference.
+
+    Each line is converted once, to the few fields above.
+    """
     strict = tool == "claude-code"
-    rows = parsed(
-        lines.filter(F.col("value").rlike(r'"type"\s*:\s*"assistant"')), '"usage"'
-    ).withColumn("tool", F.lit(tool))
-    v = F.col("v")
+    wanted = F.col("value").contains('"usage"') & F.col("value").rlike(r'"type"\s*:\s*"assistant"')
+    rows = lines.filter(wanted).select(
+        "path", "block", "pos", F.from_json("value", _SCHEMA).alias("v")
+    )
+    usage = "v.message.usage"
     audit = F.lit(False)
     if strict:
         in_audit_file = (basename(F.col("path")) == "audit.jsonl") & is_cowork_usage_path(F.col("path"))
-        audit = V.type_of(v, "$._audit_timestamp").isNotNull() | in_audit_file
-    session = F.coalesce(V.text(v, "$.sessionId"), V.text(v, "$.session_id"))
-    stamp = F.coalesce(
-        V.text(v, "$.timestamp"), F.when(audit, V.text(v, "$._audit_timestamp"))
-    )
-    message_id = V.text(v, "$.message.id")
+        audit = F.col("v._audit_timestamp").isNotNull() | in_audit_file
+    message_id = F.try_variant_get("v.message.id", "$", "string")
+    valid = (F.col("v.type") == "assistant") & F.col(usage).isNotNull() & (message_id != "")
     counters = {}
-    valid = V.present(v, "$.message.usage")
     some = F.lit(False)
     for name, field in _COUNTS.items():
-        path = f"$.message.usage.{field}"
+        raw = F.col(f"{usage}.{field}")
         if strict:
-            value = V.safe_int(v, path)
-            absent = V.get(v, path, "variant").isNull()
-            valid = valid & (absent | value.isNotNull())
-            some = some | ~absent
+            value = V.safe_int(raw, "$")
+            valid = valid & (raw.isNull() | value.isNotNull())
+            some = some | raw.isNotNull()
             counters[name] = F.coalesce(value, F.lit(0))
         else:
-            counters[name] = V.count(v, path)
-    thinking = "$.message.usage.output_tokens_details.thinking_tokens"
-    reasoning = F.coalesce(V.safe_int(v, thinking), F.lit(0)) if strict else V.count(v, thinking)
-    valid = valid & (V.text(v, "$.type") == "assistant") & message_id.isNotNull()
+            counters[name] = V.count(raw, "$")
+    raw_thinking = F.col(f"{usage}.output_tokens_details.thinking_tokens")
+    thinking = F.coalesce(V.safe_int(raw_thinking, "$"), F.lit(0)) if strict else V.count(raw_thinking, "$")
+    session = F.coalesce(_filled(F.col("v.sessionId")), _filled(F.col("v.session_id")))
     if strict:
-        valid = valid & some & ~message_id.contains(":") & (~audit | session.isNotNull())
+        has_session = (F.col("v.sessionId") != "") | (F.col("v.session_id") != "")
+        is_text = V.is_string(F.col("v.message.id"), "$")
+        named = ~audit | F.coalesce(has_session, F.lit(False))
+        valid = valid & some & is_text & ~message_id.contains(":") & named
+    raw_model = F.col("v.message.model")
     key = (
         F.concat(F.lit(f"{tool}:message:"), message_id)
         if strict
-        else F.concat(F.lit(f"{tool}:"), message_id, F.lit(":"), F.coalesce(V.text(v, "$.requestId"), F.lit("")))
+        else F.concat(F.lit(f"{tool}:"), message_id, F.lit(":"), F.coalesce("v.requestId", F.lit("")))
     )
-    raw_model = V.text(v, "$.message.model")
-    shaped = rows.filter(valid & raw_model.isNotNull() & (raw_model != "<synthetic>")).select(
+    stamp = F.coalesce(_filled(F.col("v.timestamp")), F.when(audit, F.col("v._audit_timestamp")))
+    shaped = rows.filter(valid & (raw_model != "") & (raw_model != "<synthetic>")).select(
         "path",
         "block",
         "pos",
-        "tool",
+        F.lit(tool).alias("tool"),
         key.alias("dedup_key"),
         message_id.alias("message_id"),
         parse_iso_millis(stamp).alias("ts_ms"),
         normalize_model(raw_model).alias("model"),
         F.coalesce(session, stem()).alias("session_id"),
-        project_of(v, "$.cwd").alias("project"),
+        basename(_filled(F.col("v.cwd"))).alias("project"),
         *[c.alias(n) for n, c in counters.items()],
-        reasoning.alias("reasoning_tokens"),
+        thinking.alias("reasoning_tokens"),
         (F.when(audit, 1).otherwise(2) if strict else F.lit(0)).alias("usage_quality"),
-        V.text(v, "$.requestRef").alias("ref"),
-        V.get(v, "$.message.content", "array<variant>").alias("content"),
+        F.col("v.requestRef").alias("ref"),
+        F.col("v.message.content").alias("content"),
     )
     total = F.col("input_tokens") + F.col("cached_input") + F.col("cache_write") + F.col("output_tokens")
     shaped = shaped.withColumn("total_tokens", total).filter(F.col("ts_ms").isNotNull())
@@ -92,13 +110,12 @@ def claude_tool_calls(lines: DataFrame, tool: str = "claude-code") -> DataFrame:
     blocks = _replies(lines, tool).select(
         "*", F.posexplode("content").alias("i", "b")
     )
-    b = F.col("b")
     fallback = F.concat(F.col("message_id"), F.lit(":"), F.col("i").cast("string"))
     return (
-        blocks.filter((V.text(b, "$.type") == "tool_use") & V.text(b, "$.name").isNotNull())
-        .withColumn("name", V.text(b, "$.name"))
+        blocks.filter((F.col("b.type") == "tool_use") & (F.col("b.name") != ""))
+        .withColumn("name", F.col("b.name"))
         .withColumn(
-            "dedup_key", F.concat(F.lit(f"{tool}:tc:"), F.coalesce(V.text(b, "$.id"), fallback))
+            "dedup_key", F.concat(F.lit(f"{tool}:tc:"), F.coalesce(_filled(F.col("b.id")), fallback))
         )
         .select(*CALL_FIELDS, "path", "block", "pos")
     )
