@@ -17,6 +17,15 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def once(c: Column) -> Column:
+    """A costly column evaluated once per row, for use in a select.
+
+    Predicates on a projected column move below the projection and take its expression with
+    them, one copy per use; they do not move below a generator.
+    """
+    return F.explode(F.array(c))
+
+
 def get(v: Column, path: str, type_name: str) -> Column:
     return F.try_variant_get(v, path, type_name)
 

@@ -39,7 +39,7 @@ def owners(records: DataFrame, levels: int = _LEVELS) -> DataFrame:
     v, above = F.col("v"), F.col("above")
     rows = records.filter(F.col("value").contains(_OWNED)).select(
         "tool",
-        V.parse(F.col("value")).alias("v"),
+        V.once(V.parse(F.col("value"))).alias("v"),
         F.expr("cast(array() as array<variant>)").alias("above"),
         F.lit(False).alias("done"),
     )

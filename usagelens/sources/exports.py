@@ -129,7 +129,7 @@ def norm_official_quota(payloads: DataFrame, now_ms: int | None = None) -> DataF
     )
     # a payload with nothing but the model-specific weekly window counts as unknown
     known = F.exists(windows, lambda w: w["label"] != "seven_day_opus")
-    rows = payloads.select("ts_ms", V.parse(F.col("body")).alias("v")).select(
+    rows = payloads.select("ts_ms", V.once(V.parse(F.col("body"))).alias("v")).select(
         "ts_ms", F.explode(F.when(known, windows)).alias("w")
     )
     out = rows.select("ts_ms", "w.*")
@@ -142,7 +142,7 @@ def norm_plan_quota(payloads: DataFrame) -> DataFrame:
     """Plan quota payloads (ts_ms, body): windows with used percent, amounts and reset time."""
     v = F.col("v")
     items = V.get(v, "$.data.limits", "array<variant>")
-    rows = payloads.select("ts_ms", V.parse(F.col("body")).alias("v")).select(
+    rows = payloads.select("ts_ms", V.once(V.parse(F.col("body"))).alias("v")).select(
         "ts_ms",
         F.nullif(V.text(v, "$.data.level"), F.lit("")).alias("level"),
         F.explode(F.filter(items, lambda i: V.is_object(i, "$"))).alias("l"),
@@ -177,7 +177,7 @@ def norm_mcp_quota(lines: DataFrame, now_ms: int, tz: str = "UTC") -> DataFrame:
     instant = F.unix_millis(wall if tz == "UTC" else F.to_utc_timestamp(wall, tz))
     outer = V.parse(F.regexp_extract("value", r"(\{.*\})", 1))
     rows = lines.filter(F.col("value").contains(fixed.MCP_MARKER)).select(
-        "block", "pos", instant.alias("ts_ms"), V.parse(V.text(outer, "$.body")).alias("b")
+        "block", "pos", instant.alias("ts_ms"), V.once(V.parse(V.text(outer, "$.body"))).alias("b")
     )
     b = F.col("b")
     used_up, limit = _loose(b, "$.data.total_usage.used"), _loose(b, "$.data.total_usage.limit")

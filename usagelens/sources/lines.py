@@ -28,7 +28,7 @@ def parsed(lines: DataFrame, *any_of: str, keep_value: bool = False) -> DataFram
         wanted = hit if wanted is None else wanted | hit
     rows = lines if wanted is None else lines.filter(wanted)
     extra = ["value"] if keep_value else []
-    body = V.parse(F.col("value")).alias("v")
+    body = V.once(V.parse(F.col("value"))).alias("v")
     return rows.select(*_KEEP, *extra, body).filter(F.col("v").isNotNull())
 
 

@@ -88,7 +88,7 @@ def read_player_reports(bodies: DataFrame) -> DataFrame:
     v = F.col("v")
     rows = (
         bodies.filter(F.octet_length("value") <= fixed.REPORT_MAX_BYTES)
-        .withColumn("v", V.parse(F.col("value")))
+        .select("*", V.once(V.parse(F.col("value"))).alias("v"))
         .filter((V.number(v, "$.v") == 1) & V.text(v, "$.id").rlike(fixed.UUID4_PATTERN))
     )
     return rows.select(

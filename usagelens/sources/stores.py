@@ -56,7 +56,7 @@ def norm_opencode(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """Assistant messages with a token object in their JSON column; others are skipped."""
     d = F.col("d")
     stamp = F.coalesce(F.nullif(V.number(d, "$.time.created"), F.lit(0.0)).cast("long"), "time_created")
-    rows = messages.withColumn("d", V.parse(F.col("data"))).filter(
+    rows = messages.select("*", V.once(V.parse(F.col("data"))).alias("d")).filter(
         V.is_object(d, "$.tokens") & (V.text(d, "$.role") == "assistant")
     )
     shaped = rows.select(
@@ -79,7 +79,7 @@ def opencode_tool_calls(parts: DataFrame) -> DataFrame:
     d = F.col("d")
     rows = (
         parts.filter(F.col("data").contains('"tool"'))
-        .withColumn("d", V.parse(F.col("data")))
+        .select("*", V.once(V.parse(F.col("data"))).alias("d"))
         .filter((V.text(d, "$.type") == "tool") & V.text(d, "$.tool").isNotNull())
     )
     stamp = F.coalesce(F.nullif(V.number(d, "$.state.time.start"), F.lit(0.0)).cast("long"), "time_created")

@@ -43,7 +43,7 @@ def _replies(lines: DataFrame, tool: str) -> DataFrame:
     strict = tool == "claude-code"
     wanted = F.col("value").contains('"usage"') & F.col("value").rlike(r'"type"\s*:\s*"assistant"')
     rows = lines.filter(wanted).select(
-        "path", "block", "pos", F.from_json("value", _SCHEMA).alias("v")
+        "path", "block", "pos", V.once(F.from_json("value", _SCHEMA)).alias("v")
     )
     usage = "v.message.usage"
     audit = F.lit(False)

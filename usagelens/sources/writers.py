@@ -258,7 +258,7 @@ def export_masked_usage(lines: DataFrame, tool: str) -> DataFrame:
     known shape are left out.
     """
     v = F.col("v")
-    rows = lines.withColumn("v", V.parse(F.col("value"))).filter(v.isNotNull())
+    rows = lines.select("*", V.once(V.parse(F.col("value"))).alias("v")).filter(v.isNotNull())
     stamp = parse_iso_millis(V.text(v, "$.timestamp"))
     rows = rows.withColumn("at", iso_millis(stamp)).filter(stamp.isNotNull())
     kind, payload_kind = V.text(v, "$.type"), V.text(v, "$.payload.type")
