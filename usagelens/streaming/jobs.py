@@ -15,9 +15,10 @@ LINE_SCHEMA = "path string, tool string, block long, pos long, value string"
 
 
 def stream_lines(spark: SparkSession, folder: str, tool: str) -> DataFrame:
-    """New log segments as a stream of lines (path, tool, block, pos, value).
+    """New log segments as a stream of lines (path, tool, block, value).
 
-    A file source never re-reads a file that grew, so growing logs must land as segments.
+    A file source never re-reads a file that grew, so growing logs must land as segments. The
+    line position is added inside each micro-batch.
     """
     return (
         spark.readStream.option("recursiveFileLookup", "true")
@@ -26,20 +27,15 @@ def stream_lines(spark: SparkSession, folder: str, tool: str) -> DataFrame:
             F.col("_metadata.file_path").alias("path"),
             F.lit(tool).alias("tool"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
             "value",
         )
     )
 
 
-def _with_order(events: DataFrame, batch_id: int) -> DataFrame:
-    """Arrival order across batches: earlier batches first, then file position."""
-    rank = F.struct("block", "pos")
-    within = F.xxhash64("path").bitwiseAND(0xFFFF)
-    # only the order inside one batch and key matters; batches are merged one after another
-    return events.withColumn(
-        "ord", F.lit(batch_id).cast("long") * (1 << 44) + within + rank["pos"] * (1 << 16)
-    )
+def _with_order(events: DataFrame) -> DataFrame:
+    """Order inside a micro-batch: split of the file, then line. Stored rows always come first."""
+    split, line = F.shiftright("block", 20), F.col("pos").bitwiseAND((1 << 33) - 1)
+    return events.withColumn("ord", F.shiftleft(split, 33) + line)
 
 
 def stream_events(
@@ -56,10 +52,13 @@ def stream_events(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = _with_order(normalise(batch), batch_id)
+        lines_in_order = batch.withColumn("pos", F.monotonically_increasing_id())
+        # the upsert looks at the batch several times
+        events = _with_order(normalise(lines_in_order)).persist()
         days = upsert_events(batch.sparkSession, events, table)
         if rollup is not None:
             refresh_stored_rollup(batch.sparkSession, table, rollup, days)
+        events.unpersist()
 
     return (
         lines.writeStream.foreachBatch(write)
