@@ -48,7 +48,8 @@ def _replies(lines: DataFrame, tool: str) -> DataFrame:
     usage = "v.message.usage"
     audit = F.lit(False)
     if strict:
-        in_audit_file = (basename(F.col("path")) == "audit.jsonl") & is_cowork_usage_path(F.col("path"))
+        # the cheap suffix test spares the layout patterns on ordinary files
+        in_audit_file = F.col("path").endswith("audit.jsonl") & is_cowork_usage_path(F.col("path"))
         audit = F.col("v._audit_timestamp").isNotNull() | in_audit_file
     message_id = F.try_variant_get("v.message.id", "$", "string")
     valid = (F.col("v.type") == "assistant") & F.col(usage).isNotNull() & (message_id != "")
