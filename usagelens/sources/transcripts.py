@@ -53,25 +53,31 @@ def _replies(lines: DataFrame, tool: str) -> DataFrame:
         audit = F.col("v._audit_timestamp").isNotNull() | in_audit_file
     message_id = F.try_variant_get("v.message.id", "$", "string")
     valid = (F.col("v.type") == "assistant") & F.col(usage).isNotNull() & (message_id != "")
-    counters = {}
-    some = F.lit(False)
-    for name, field in _COUNTS.items():
-        raw = F.col(f"{usage}.{field}")
-        if strict:
-            value = V.safe_int(raw, "$")
-            valid = valid & (raw.isNull() | value.isNotNull())
-            some = some | raw.isNotNull()
-            counters[name] = F.coalesce(value, F.lit(0))
-        else:
-            counters[name] = V.count(raw, "$")
-    raw_thinking = F.col(f"{usage}.output_tokens_details.thinking_tokens")
-    thinking = F.coalesce(V.safe_int(raw_thinking, "$"), F.lit(0)) if strict else V.count(raw_thinking, "$")
+    # each counter is checked once per row; null means absent, -1 present but unusable
+    raw_counts = {name: F.col(f"{usage}.{field}") for name, field in _COUNTS.items()}
+    raw_counts["thinking"] = F.col(f"{usage}.output_tokens_details.thinking_tokens")
+    if strict:
+        checked = {
+            n: F.when(raw.isNotNull(), F.coalesce(V.safe_int(raw, "$"), F.lit(-1)))
+            for n, raw in raw_counts.items()
+        }
+    else:
+        checked = {n: V.count(raw, "$") for n, raw in raw_counts.items()}
+    rows = rows.select("*", V.once(F.struct(*[c.alias(n) for n, c in checked.items()])).alias("c"))
+    if strict:
+        lowest = F.least(*[F.col(f"c.{n}") for n in _COUNTS])
+        # null only when all counters are absent
+        valid = valid & F.coalesce(lowest >= 0, F.lit(False))
+    counters = {n: F.coalesce(F.col(f"c.{n}"), F.lit(0)) for n in _COUNTS}
+    thinking = F.coalesce(F.col("c.thinking"), F.lit(0))
+    if strict:
+        thinking = F.greatest(thinking, F.lit(0))
     session = F.coalesce(_filled(F.col("v.sessionId")), _filled(F.col("v.session_id")))
     if strict:
         has_session = (F.col("v.sessionId") != "") | (F.col("v.session_id") != "")
         is_text = V.is_string(F.col("v.message.id"), "$")
         named = ~audit | F.coalesce(has_session, F.lit(False))
-        valid = valid & some & is_text & ~message_id.contains(":") & named
+        valid = valid & is_text & ~message_id.contains(":") & named
     raw_model = F.col("v.message.model")
     key = (
         F.concat(F.lit(f"{tool}:message:"), message_id)
