@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from usagelens.llm.byte_bpe import decode_ids, encode_texts, read_ranks
 from usagelens.llm.common import QueryFn, table
 from usagelens.llm.exact_dedup import exact_duplicates
+from usagelens.llm.token_counts import count_tokens, read_pieces
+from usagelens.llm.toxicity import score_toxicity, train_toxicity
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +41,32 @@ FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 )
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(table(spark, sf_dir, "documents"), pieces)
+
+
+def byte_bpe_digests(docs: DataFrame) -> DataFrame:
+    """The ids of every text and the bytes they stand for, as digests."""
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = decode_ids(encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digests(table(spark, sf_dir, "documents"))
