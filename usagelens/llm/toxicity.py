@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import crc_bucket, text_rows
+from usagelens.llm.common import crc_bucket, tasks_for, text_rows
 
 #: labelled rows from which lexicons are taken, and texts on which the classifier is trained
 LABELLED_ROWS = 12_000
@@ -119,7 +119,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, training: Colu
     # Copies would make every word of a copied text look frequent: of texts with the same smallest hash
     # over their long words, near copies mostly, one stays.
     rare = F.array_min(F.transform(F.filter(F.split("text", "\\s+"), lambda w: F.length(w) > 8), lambda w: F.xxhash64(w)))
-    return sample.withColumn("near", F.coalesce(rare, F.xxhash64("text"))).dropDuplicates(["near"]).drop("near")
+    sample = sample.withColumn("near", F.coalesce(rare, F.xxhash64("text"))).repartition(tasks_for(docs), "near")
+    return sample.dropDuplicates(["near"]).drop("near")
 
 
 def _induce_lexicons(sample: DataFrame, least: int = 4, purity: float = 0.97) -> dict[str, int]:
@@ -256,21 +257,20 @@ def train_toxicity(
             cast = [votes(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("pick"),
                     pa.array([bits for bits, _ in cast], pa.int32()),
                     pa.array([sorted(place[f] for f in found) for _, found in cast], pa.list_(pa.int32())),
                 ],
-                names=["pick", "votes", "hits"],
+                names=["votes", "hits"],
             )
 
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("pick")
-    cast = rows.filter(training).select("text", pick).mapInArrow(vote, "pick long, votes int, hits array<int>")
+    pick, schema = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "votes int, hits array<int>"
+    cast = rows.filter(training).select("text").mapInArrow(vote, schema)
     # Vote patterns: at most 2 ** voters of them.
     counted = {row["votes"]: row["n"] for row in cast.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior = fit_label_model(counted, _VOTERS)
     share = min(1.0, labelled_rows / max(1, sum(counted.values())))
-    # Texts of one pattern and feature set are one weighted row; the sample bounds their number.
-    picked = cast.filter(F.col("pick") < int(share * 1_000_000)).select("votes", "hits").collect()
+    # The classifier's rows: a sample bounded like the labelled one.
+    picked = rows.filter(training & (pick < int(share * 1_000_000))).select("text").mapInArrow(vote, schema).collect()
     rows_in = [(list(row["hits"]), posterior[row["votes"]]) for row in picked]
     if not rows_in:
         return ToxicityModel()
