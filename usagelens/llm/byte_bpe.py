@@ -9,7 +9,6 @@ one window needs no stitching. Decoding concatenates the raw bytes of the ids.
 from __future__ import annotations
 
 import base64
-from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -18,13 +17,15 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.bpe import Memo, merge_pairs
+from usagelens.llm.bpe import Memo, merge_pairs, merge_short
 from usagelens.llm.common import tasks_for, text_rows
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 #: characters that a pre-token's end may depend on
 _LOOK_AHEAD = 4
+#: pieces up to so many bytes are merged by scanning
+_SHORT = 40
 
 #: white space of the Unicode property, which the pattern's \s means
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -46,22 +47,25 @@ class PieceEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self._ranks = ranks
+        self._written = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self._single = [bytes([b]) for b in range(256)]
         self.pre_tokens = regex.compile(_exact(pattern))
         # white space and the text behind it: no pre-token reaches over the end of such a unit
         self._units = regex.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
-        self._ids = Memo(self._encode_unit)
+        self._ids = Memo(self._encode_unit, units=60_000)
+        self._piece_ids = Memo(self._encode_piece, units=60_000)
 
     def _encode_unit(self, unit: str) -> bytes:
-        ranks, out = self._ranks, array("I")
-        for piece in self.pre_tokens.findall(unit):
-            raw = piece.encode("utf-8", "replace")
-            rank = ranks.get(raw)
-            if rank is not None:
-                out.append(rank)
-            else:
-                out.extend(ranks[s] for s in merge_pairs([self._single[b] for b in raw], ranks))
-        return _little_endian(out)
+        return b"".join(map(self._piece_ids.__getitem__, self.pre_tokens.findall(unit)))
+
+    def _encode_piece(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8", "replace")
+        whole = self._written.get(raw)
+        if whole is not None:
+            return whole
+        merge = merge_short if len(raw) <= _SHORT else merge_pairs
+        symbols = merge(list(map(self._single.__getitem__, raw)), self._ranks)
+        return b"".join(map(self._written.__getitem__, symbols))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -71,14 +75,6 @@ class PieceEncoder:
         return [m.end() for m in self.pre_tokens.finditer(text)]
 
 
-def _little_endian(ids: array) -> bytes:
-    import sys
-
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
-
-
 def windows_of(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
     """(start, head_to, reach, text) of each window.
 

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401 - documents that caching is not used here
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

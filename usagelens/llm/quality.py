@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import crc_bucket
+from usagelens.llm.common import crc_bucket, reliable
 
 #: labelled rows on which the classifier is fitted
 LABELLED_ROWS = 20_000
@@ -192,7 +192,7 @@ def score_quality(
     rows = rows.withColumn("evidence", F.round("evidence", 9))
     exact = F.sum(F.col("evidence").cast("decimal(20,9)")).cast("double")
     # One narrow row per (host, path): all later sums come from these.
-    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), exact.alias("good"))
+    paths = reliable(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), exact.alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
     rate = total["good"] / total["n"] if total["n"] else model.base_rate

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from usagelens.llm.byte_bpe import decode_ids, encode_texts, read_ranks
 from usagelens.llm.common import QueryFn, table
+from usagelens.llm.decontaminate import find_leaks
 from usagelens.llm.exact_dedup import exact_duplicates
+from usagelens.llm.jaccard_join import jaccard_components
+from usagelens.llm.quality import score_quality, train_quality
 from usagelens.llm.token_counts import count_tokens, read_pieces
 from usagelens.llm.toxicity import score_toxicity, train_toxicity
+from usagelens.llm.url_filter import Rule, judge_urls, train_url_model
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +74,71 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+#: host and path rules of the URL filter
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+
+#: labelled URLs: names of advertising, betting and pill shops against plain ones
+BLOCKED_URLS = [
+    "http://casino-win.example.net/en/12",
+    "https://www.casino-win.example.com/es/840.html",
+    "http://m.best-casino.example.net/bonus/",
+    "https://free-bets.example.net/en/77?ref=x",
+    "http://www.free-bets.example.com/es/3",
+    "http://sport-bets.example.com/win",
+    "https://cheap-pills.example.net/en/5",
+    "http://m.cheap-pills.example.com/es/91/",
+    "http://buy-pills.example.net/order.html",
+    "https://ads-track.example.net/en/8#top",
+    "http://blog.ads-track.example.com/es/44",
+    "https://click-ads.example.com/track?id=1",
+    "http://xxx-cams.example.net/live",
+    "http://fast-loans.example.com/apply",
+]
+ALLOWED_URLS = [
+    "http://tiontion.example.net/en/12",
+    "https://www.thering.example.com/es/840.html",
+    "http://m.ththing.example.net/en/77/",
+    "https://blog.theror.example.net/en/5?ref=x",
+    "http://www.therst.example.com/es/3",
+    "http://theran.example.com/en/win",
+    "https://ththan.example.net/en/8",
+    "http://m.theron.example.com/es/91/",
+    "http://news.example.net/2024/05/order.html",
+    "https://docs.example.net/en/8#top",
+    "http://blog.school.example.com/es/44",
+    "https://library.example.com/catalogue?id=1",
+    "http://museum.example.net/visit",
+    "http://weather.example.com/today",
+]
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = [(url, True) for url in BLOCKED_URLS] + [(url, False) for url in ALLOWED_URLS]
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, train_url_model(labelled))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, host=F.col("source"), path=F.col("lang"))
