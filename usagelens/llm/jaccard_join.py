@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import FOLD_BYTES, reliable, text_rows
+from usagelens.llm.common import FOLD_BYTES, reliable, tasks_for, text_rows
 from usagelens.llm.shingles import shingle_sets, slices
 
 SHINGLE = 5
@@ -31,6 +31,8 @@ PERCENT = 75
 #: a token in more prefixes than this is frequent, as far as the table has room
 FREQUENT_FROM = 64
 FREQUENT_TOKENS = 500_000
+#: tokens that a task counts at once
+TASK_TOKENS = 3_000_000
 #: frequent tokens of a prefix that are combined in pairs; sets with more of them use single tokens
 COMBINED = 24
 
@@ -73,17 +75,30 @@ def set_nodes(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_FROM, room: int = FREQUENT_TOKENS):
-    """The most frequent tokens of the sets' prefixes, at most ``room``; each slice counts a set once."""
+    """The most frequent tokens of the sets' prefixes, at most ``room``.
+
+    Tokens that a task sees once are not sent. The join is exact under any choice: the table only decides
+    which tokens come last in the order.
+    """
+
+    def tally(heads: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(heads), return_counts=True)
+        tokens, counts = tokens[counts > 1], counts[counts > 1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "seen"]
+        )
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, total = [], 0
         for _, nodes, sets in _nodes(batches, size):
-            own = dict(zip(nodes, sets)).values()
-            heads = [s[: prefix_length(len(s))] for s in own if len(s)]
-            if heads:
-                tokens, counts = np.unique(np.concatenate(heads), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "seen"]
-                )
+            for s in dict(zip(nodes, sets)).values():
+                heads.append(s[: prefix_length(len(s))])
+                total += len(heads[-1])
+            if total >= TASK_TOKENS:
+                yield tally(heads)
+                heads, total = [], 0
+        if heads:
+            yield tally(heads)
 
     counted = rows.mapInArrow(prefixes, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     found = counted.filter(F.col("seen") > least).orderBy(F.desc("seen"), "token").limit(room)
@@ -135,38 +150,56 @@ def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, co
             if not parts:
                 continue
             many = [len(keys) for keys, _, _ in parts]
+            n = np.repeat(np.array([len(s) for s in own.values()], np.int64), many)
+            place = np.concatenate([places for _, places, _ in parts]).astype(np.int64)
+            kind = np.concatenate([kinds for _, _, kinds in parts]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([keys for keys, _, _ in parts]).view(np.int64)),
                     pa.array(np.repeat(np.array(list(own), np.int64), many)),
-                    pa.array(np.repeat(np.array([len(s) for s in own.values()], np.int32), many)),
-                    pa.array(np.concatenate([places for _, places, _ in parts]).astype(np.int32)),
-                    pa.array(np.concatenate([kinds for _, _, kinds in parts]).astype(np.int8)),
+                    pa.array(n << 32 | place << 2 | kind),
                 ],
-                names=["key", "node", "n", "place", "kind"],
+                names=["key", "node", "facts"],
             )
 
-    all_entries = rows.mapInArrow(entries, "key long, node long, n int, place int, kind byte")
-    by_key = Window.partitionBy("key")
-    return (
-        all_entries.withColumn("least", F.min("node").over(by_key))
-        .withColumn("most", F.max("node").over(by_key))
-        .withColumn("kinds", F.max("kind").over(by_key))
-        .filter((F.col("least") != F.col("most")) & (F.col("kinds") != _SINGLE))
-        .select("key", "node", "n", "place", "kind")
-        .distinct()
+    sent = rows.mapInArrow(entries, "key long, node long, facts long").repartition(tasks_for(rows), "key")
+    unpacked = sent.dropDuplicates(["key", "node"]).select(
+        "key",
+        "node",
+        F.shiftright("facts", 32).cast("int").alias("n"),
+        F.shiftright("facts", 2).bitwiseAND(F.lit((1 << 30) - 1)).cast("int").alias("place"),
+        F.col("facts").bitwiseAND(F.lit(3)).cast("int").alias("kind"),
     )
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    beside = unpacked.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    for name, of in (("below", F.lag), ("above", F.lead)):
+        beside = beside.withColumn(name, of(F.struct("n", "place")).over(by_size))
+    # A key is of use to a set only if one of its neighbours in size may be similar; what follows this
+    # place in the order limits how large that one can be. Of two sets, both places are known.
+    most = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
+    some = (100 * F.col("below.n") >= PERCENT * F.col("n")) | (PERCENT * F.col("above.n") <= most)
+    other_n, other_place = F.coalesce("below.n", "above.n"), F.coalesce("below.place", "above.place")
+    both = _similar_sizes(F.col("n"), other_n) & _enough_room(F.col("n"), F.col("place"), other_n, other_place)
+    fits = F.when(F.col("size") == 2, both).otherwise(some)
+    return beside.filter(fits).select("key", "node", "n", "place", "kind")
 
 
 def _similar_sizes(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _enough_room(n, place, other_n, other_place):
+    """Whether this first common token, and what may follow it, suffices."""
+    return (100 + PERCENT) * F.least(n - place, other_n - other_place) >= PERCENT * (n + other_n)
+
+
 def _hub_pairs(entries: DataFrame) -> DataFrame:
     """(a, b): every node with the hub it shares most keys with; of a key, the hub is the least node."""
-    hubs = entries.filter(F.col("kind") != _SINGLE).groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
+    hubs = entries.filter(F.col("kind") != _SINGLE).groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("hub"))
     pairs = entries.join(hubs, "key").filter(
-        (F.col("node") != F.col("hub.node")) & _similar_sizes(F.col("n"), F.col("hub.n"))
+        (F.col("node") != F.col("hub.node"))
+        & _similar_sizes(F.col("n"), F.col("hub.n"))
+        & _enough_room(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"))
     )
     counted = pairs.groupBy("node", F.col("hub.node").alias("hub_node")).agg(F.count(F.lit(1)).alias("keys"))
     best = counted.groupBy("node").agg(F.max(F.struct("keys", "hub_node")).alias("best"))
@@ -185,7 +218,6 @@ def _cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
         .filter(F.col("least") != F.col("most"))
     )
     left, right = open_keys.alias("x"), open_keys.alias("y")
-    room = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
     pairs = left.join(
         right,
         (F.col("x.key") == F.col("y.key"))
@@ -193,8 +225,7 @@ def _cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
         & (F.col("x.label") != F.col("y.label"))
         & _similar_sizes(F.col("x.n"), F.col("y.n"))
         & ((F.col("x.kind") != _SINGLE) | (F.col("y.kind") != _SINGLE))
-        # this first common token, and what may follow it, must suffice
-        & ((100 + PERCENT) * room >= PERCENT * (F.col("x.n") + F.col("y.n"))),
+        & _enough_room(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")),
     )
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 

@@ -12,6 +12,7 @@ from usagelens.llm.decontaminate import find_leaks
 from usagelens.llm.exact_dedup import exact_duplicates
 from usagelens.llm.jaccard_join import jaccard_components
 from usagelens.llm.quality import score_quality, train_quality
+from usagelens.llm.substring_dedup import remove_repeats
 from usagelens.llm.token_counts import count_tokens, read_pieces
 from usagelens.llm.toxicity import score_toxicity, train_toxicity
 from usagelens.llm.url_filter import Rule, judge_urls, train_url_model
@@ -142,3 +143,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model, host=F.col("source"), path=F.col("lang"))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
