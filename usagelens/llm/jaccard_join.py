@@ -36,6 +36,9 @@ TASK_TOKENS = 3_000_000
 #: frequent tokens of a prefix that are combined in pairs; sets with more of them use single tokens
 COMBINED = 24
 
+#: sets under one key that are all looked at
+NEAR_SETS = 32
+
 _RARE, _PAIR, _SINGLE, _SINGLE_BIG = range(4)
 
 
@@ -173,14 +176,19 @@ def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, co
     by_size = Window.partitionBy("key").orderBy("n", "node")
     beside = unpacked.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
     for name, of in (("below", F.lag), ("above", F.lead)):
-        beside = beside.withColumn(name, of(F.struct("n", "place")).over(by_size))
-    # A key is of use to a set only if one of its neighbours in size may be similar; what follows this
-    # place in the order limits how large that one can be. Of two sets, both places are known.
+        beside = beside.withColumn(name, of("n").over(by_size))
+    around = F.collect_list(F.struct("node", "n", "place")).over(by_size.rowsBetween(-NEAR_SETS, NEAR_SETS))
+    # A key is of use to a set only where another set under it may be similar. Of a key with few sets all
+    # are looked at; of others the neighbours in size, as what follows this place limits the larger one's.
     most = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
-    some = (100 * F.col("below.n") >= PERCENT * F.col("n")) | (PERCENT * F.col("above.n") <= most)
-    other_n, other_place = F.coalesce("below.n", "above.n"), F.coalesce("below.place", "above.place")
-    both = _similar_sizes(F.col("n"), other_n) & _enough_room(F.col("n"), F.col("place"), other_n, other_place)
-    fits = F.when(F.col("size") == 2, both).otherwise(some)
+    some = (100 * F.col("below") >= PERCENT * F.col("n")) | (PERCENT * F.col("above") <= most)
+    any_similar = F.exists(
+        around,
+        lambda o: (o["node"] != F.col("node"))
+        & _similar_sizes(F.col("n"), o["n"])
+        & _enough_room(F.col("n"), F.col("place"), o["n"], o["place"]),
+    )
+    fits = F.when(F.col("size") == 1, False).when(F.col("size") <= NEAR_SETS + 1, any_similar).otherwise(some)
     return beside.filter(fits).select("key", "node", "n", "place", "kind")
 
 

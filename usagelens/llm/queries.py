@@ -11,6 +11,7 @@ from usagelens.llm.common import QueryFn, table
 from usagelens.llm.decontaminate import find_leaks
 from usagelens.llm.exact_dedup import exact_duplicates
 from usagelens.llm.jaccard_join import jaccard_components
+from usagelens.llm.language_model import score_language_model
 from usagelens.llm.quality import score_quality, train_quality
 from usagelens.llm.substring_dedup import remove_repeats
 from usagelens.llm.token_counts import count_tokens, read_pieces
@@ -149,3 +150,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_language_model")
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language_model(table(spark, sf_dir, "documents"))
