@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm.common import table
+from usagelens.llm.common import shared_folder, table
 from usagelens.llm.decontaminate import drop_leaks
 from usagelens.llm.exact_dedup import keep_one_copy
 from usagelens.llm.jaccard_join import keep_one_of_each
@@ -57,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them goes to the session's shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    place = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

@@ -6,6 +6,7 @@ ignored, whatever their names; rows that repeat one id count each; a null id is
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,20 +36,22 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def ensure_checkpoints(spark: SparkSession, fallback: str | None = None) -> None:
-    """Use the shared folder that the session names; ``fallback`` only where it names none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from the session. Only a local session may go without: it gets one."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(folder)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="usagelens-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage on shared storage; what is lost with an executor is read again from there."""
-    ensure_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

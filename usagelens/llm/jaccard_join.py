@@ -178,12 +178,13 @@ def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, co
     for name, of in (("below", F.lag), ("above", F.lead)):
         beside = beside.withColumn(name, of("n").over(by_size))
     around = F.collect_list(F.struct("node", "n", "place")).over(by_size.rowsBetween(-NEAR_SETS, NEAR_SETS))
+    beside = beside.withColumn("around", around)
     # A key is of use to a set only where another set under it may be similar. Of a key with few sets all
     # are looked at; of others the neighbours in size, as what follows this place limits the larger one's.
     most = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
     some = (100 * F.col("below") >= PERCENT * F.col("n")) | (PERCENT * F.col("above") <= most)
     any_similar = F.exists(
-        around,
+        "around",
         lambda o: (o["node"] != F.col("node"))
         & _similar_sizes(F.col("n"), o["n"])
         & _enough_room(F.col("n"), F.col("place"), o["n"], o["place"]),
