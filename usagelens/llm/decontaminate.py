@@ -244,19 +244,24 @@ def find_leaks(
     return out
 
 
+def _holds(shared):
+    """Column function: whether a text holds an item of the broadcast block."""
+
+    @F.pandas_udf("boolean")
+    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tool = Screen(shared.value)
+        for texts in parts:
+            held = np.zeros(len(texts), bool)
+            for places, slice_texts in _slices((i, normalise(text or "")) for i, text in enumerate(texts)):
+                held[[places[leak[0]] for leak in tool.leaks(slice_texts)]] = True
+            yield pd.Series(held)
+
+    return holds
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns; judged where they are read."""
     for block in _blocks(benchmark, item_col, "text"):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most about BLOCK_BYTES
-
-        @F.pandas_udf("boolean")
-        def holds(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            tool = Screen(shared.value)
-            for texts in parts:
-                held = np.zeros(len(texts), bool)
-                for places, slice_texts in _slices((i, normalise(text or "")) for i, text in enumerate(texts)):
-                    held[[places[leak[0]] for leak in tool.leaks(slice_texts)]] = True
-                yield pd.Series(held)
-
-        docs = docs.filter(~holds(docs[text_col].cast("string")))
+        docs = docs.filter(~_holds(shared)(docs[text_col].cast("string")))
     return docs
