@@ -306,11 +306,36 @@ def correct_input(events: DataFrame, fixes: DataFrame) -> DataFrame:
     )
 
 
-def merge_upsert(base: DataFrame, batch: DataFrame) -> DataFrame:
+_MESSAGE_TOOL, _QUALITY_TOOL = "claude-code", "antigravity"
+
+
+def merge_upsert(base: DataFrame, batch: DataFrame, legacy_keys: DataFrame | None = None) -> DataFrame:
     """Rows of ``base`` after ``batch`` arrived: base rows count as the first arrivals.
 
-    Both carry the event columns; ``batch`` also has ``ord``. Applying the same batch twice
-    gives the same table.
+    Both carry the event columns; ``batch`` also has ``ord``. Messages of one tool follow
+    ``dedup_claude``, those with graded usage ``dedup_quality``, all others ``dedup_events``. A key's
+    duration only grows and its device is the first known one, whichever arrival brings it.
+    ``legacy_keys`` (dedup_key, legacy_key) names the old keys that request keys replace. Applying the
+    same batch twice gives the same table.
     """
+    names = [c for c in batch.columns if c != "ord"]
     stored = base.withColumn("ord", F.lit(-1).cast("long"))
-    return dedup_events(stored.unionByName(batch, allowMissingColumns=True))
+    arrivals = stored.unionByName(batch, allowMissingColumns=True)
+    if "usage_quality" not in names:
+        arrivals = arrivals.withColumn("usage_quality", F.lit(0))
+    message = (F.col("tool") == _MESSAGE_TOOL) & F.col("dedup_key").startswith(f"{_MESSAGE_TOOL}:")
+    graded = F.col("tool") == _QUALITY_TOOL
+    merged = (
+        dedup_events(arrivals.filter(~message & ~graded))
+        .unionByName(dedup_claude(arrivals.filter(message)))
+        .unionByName(dedup_quality(arrivals.filter(graded)))
+    )
+    if legacy_keys is not None:
+        merged = dedup_request_alias(merged, legacy_keys)
+    if "duration_ms" in names:
+        merged = note_duration(merged, arrivals.select("dedup_key", "duration_ms"))
+    if "device" in names:
+        tagged = tag_device(arrivals).withColumnRenamed("device", "tagged")
+        device = F.when(F.col("tagged") != "unknown", F.col("tagged")).otherwise(F.col("device"))
+        merged = merged.join(tagged, "dedup_key", "left").withColumn("device", device)
+    return merged.select(*[c for c in base.columns if c in names])

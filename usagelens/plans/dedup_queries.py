@@ -97,6 +97,46 @@ def _(spark, d):
     return dedup.dedup_quality(v.usage_quality(spark, d)).select(*EVENT_COLS, F.col("usage_quality").cast("long"))
 
 
+# arrivals of all tools in one stream: default rule, message rule and quality rule
+MIXED_VIEWS = {
+    "mixed_default": """SELECT *, 0 AS usage_quality FROM usage_arrivals WHERE tool NOT IN ('claude-code', 'antigravity')""",
+    "mixed_graded": """SELECT * REPLACE ('antigravity' AS tool, 'antigravity:' || event_id AS dedup_key) FROM usage_quality""",
+}
+MIXED_FACTS = "dedup_key, device, ord, CASE WHEN arrival > 0 AND v > 500 THEN v - 500 END AS duration_ms"
+MIXED_COLS = ", ".join(c for c in [*EVENT_COLS, "usage_quality"] if c not in ("device", "usage_quality"))
+
+
+@query(
+    "upsert_mixed_tools",
+    f"""
+    WITH d AS ({DEDUP_SQL.replace('usage_arrivals', 'mixed_default')}),
+    c AS ({CLAUDE_SQL}),
+    q AS ({QUALITY_SQL.replace('FROM usage_quality)', 'FROM mixed_graded)')}),
+    m AS (SELECT {MIXED_COLS}, device, 0 AS usage_quality FROM d
+      UNION ALL SELECT {MIXED_COLS}, device, usage_quality FROM c
+      UNION ALL SELECT {MIXED_COLS}, device, usage_quality FROM q),
+    a AS (SELECT {MIXED_FACTS} FROM mixed_default UNION ALL SELECT {MIXED_FACTS} FROM usage_claude
+      UNION ALL SELECT {MIXED_FACTS} FROM mixed_graded),
+    f AS (SELECT dedup_key, CAST(max(duration_ms) AS BIGINT) AS duration_ms,
+        first(device ORDER BY ord) FILTER (device <> 'unknown') AS known FROM a GROUP BY dedup_key)
+    SELECT {MIXED_COLS}, coalesce(f.known, m.device) AS device, f.duration_ms, CAST(usage_quality AS INTEGER) AS usage_quality
+    FROM m LEFT JOIN f USING (dedup_key)""",
+    MIXED_VIEWS,
+)
+def _(spark, d):
+    graded = v.usage_quality(spark, d).withColumn("tool", F.lit("antigravity")).withColumn(
+        "dedup_key", F.concat(F.lit("antigravity:"), F.col("event_id").cast("string"))
+    )
+    plain = v.usage_arrivals(spark, d).filter(~F.col("tool").isin("claude-code", "antigravity"))
+    late = (F.col("arrival") > 0) & (F.col("v") > 500)
+    arrivals = (
+        plain.withColumn("usage_quality", F.lit(0)).unionByName(v.usage_claude(spark, d)).unionByName(graded)
+    ).withColumn("duration_ms", F.when(late, F.col("v") - 500))
+    columns = [*EVENT_COLS, "duration_ms", "usage_quality"]
+    base = arrivals.filter("arrival = 0").select(*columns)
+    return dedup.merge_upsert(base, arrivals.filter("arrival > 0").select(*columns, "ord"))
+
+
 @query(
     "note_duration",
     """SELECT dedup_key, greatest(e.duration_ms, p.d) AS duration_ms FROM usage_events e LEFT JOIN
