@@ -54,22 +54,36 @@ def merge_pairs(symbols: list, ranks: dict) -> list:
     return [s for s in held if s is not None]
 
 
-def merge_short(symbols: list, ranks: dict) -> list:
-    """What merge_pairs gives, by scanning all pairs each time: faster for a handful of symbols."""
-    rank_of, none = ranks.get, 1 << 62
-    held = list(symbols)
-    open_pairs = [rank_of(a + b, none) for a, b in zip(held, held[1:])]
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """(left id, right id) as one number -> id of the merged token, for every way to split a token in two.
+
+    For vocabularies in which a token's id is its rank.
+    """
+    table = {}
+    for token, merged in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                table[left << 32 | right] = merged
+    return table
+
+
+def merge_short(ids: list[int], table: dict[int, int]) -> list[int]:
+    """What merge_pairs gives, over ids and by scanning all pairs each time: faster for a few symbols."""
+    merged_of, none = table.get, 1 << 62
+    held = list(ids)
+    open_pairs = [merged_of(a << 32 | b, none) for a, b in zip(held, held[1:])]
     while open_pairs:
         least = min(open_pairs)
         if least == none:
             break
         i = open_pairs.index(least)
-        held[i : i + 2] = [held[i] + held[i + 1]]
-        del open_pairs[i]
+        held[i] = least
+        del held[i + 1], open_pairs[i]
         if i:
-            open_pairs[i - 1] = rank_of(held[i - 1] + held[i], none)
+            open_pairs[i - 1] = merged_of(held[i - 1] << 32 | least, none)
         if i < len(open_pairs):
-            open_pairs[i] = rank_of(held[i] + held[i + 1], none)
+            open_pairs[i] = merged_of(least << 32 | held[i + 1], none)
     return held
 
 

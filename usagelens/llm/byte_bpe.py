@@ -9,15 +9,17 @@ one window needs no stitching. Decoding concatenates the raw bytes of the ids.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.bpe import Memo, merge_pairs, merge_short
+from usagelens.llm.bpe import Memo, merge_pairs, merge_short, pair_table
 from usagelens.llm.common import tasks_for, text_rows
 
 CHUNK_CHARS = 32_768
@@ -47,34 +49,37 @@ class PieceEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self._ranks = ranks
-        self._written = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
-        self._single = [bytes([b]) for b in range(256)]
+        self._pairs = pair_table(ranks)
+        self._byte_ids = [ranks.get(bytes([b])) for b in range(256)]
         self.pre_tokens = regex.compile(_exact(pattern))
-        # white space and the text behind it: no pre-token reaches over the end of such a unit
-        self._units = regex.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
-        self._ids = Memo(self._encode_unit, units=60_000)
-        self._piece_ids = Memo(self._encode_piece, units=60_000)
-
-    def _encode_unit(self, unit: str) -> bytes:
-        return b"".join(map(self._piece_ids.__getitem__, self.pre_tokens.findall(unit)))
+        self._ids = Memo(self._encode_piece, units=140_000)
 
     def _encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
-        whole = self._written.get(raw)
+        whole = self._ranks.get(raw)
         if whole is not None:
-            return whole
-        merge = merge_short if len(raw) <= _SHORT else merge_pairs
-        symbols = merge(list(map(self._single.__getitem__, raw)), self._ranks)
-        return b"".join(map(self._written.__getitem__, symbols))
+            ids = [whole]
+        elif len(raw) <= _SHORT:
+            ids = merge_short(list(map(self._byte_ids.__getitem__, raw)), self._pairs)
+        else:
+            ids = map(self._ranks.__getitem__, merge_pairs([raw[i : i + 1] for i in range(len(raw))], self._ranks))
+        return _little_endian(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._ids.__getitem__, self._units(text)))
+        return b"".join(map(self._ids.__getitem__, self.pre_tokens.findall(text)))
 
     def boundaries(self, text: str) -> list[int]:
         return [m.end() for m in self.pre_tokens.finditer(text)]
 
 
+def _little_endian(ids: Iterable[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def windows_of(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
     """(start, head_to, reach, text) of each window.
 

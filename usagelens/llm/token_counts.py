@@ -19,6 +19,7 @@ from usagelens.llm.common import text_rows
 #: what stands for a space inside pieces
 _SPACE = "▁"
 LIMIT_TOKENS = 4096
+_LETTER = r"[^\W\d_]"
 
 
 def read_pieces(path: str) -> dict[str, int]:
@@ -46,7 +47,13 @@ class PieceCounter:
         # characters, and around line ends, as far as the vocabulary has no such piece.
         across = any(_SPACE in p.lstrip(_SPACE) for p in longer)
         line = "" if any("\n" in p for p in longer) else "\n"
-        unit = f"{_SPACE}*[^{_SPACE}{line}]+|{_SPACE}+"
+        # marks that no piece has behind a letter: a run of letters ends before them
+        marks = {c for p in pieces for c in p if not c.isalnum() and c != _SPACE}
+        marks -= {b for p in longer for a, b in zip(p, p[1:]) if re.match(_LETTER, a)}
+        ends = "".join(re.escape(c) for c in sorted(marks))
+        unit = f"{_SPACE}*{_LETTER}++(?=[{ends}\n{_SPACE}]|\\Z)|{_SPACE}*[^{_SPACE}{line}]+|{_SPACE}+"
+        if not line:
+            unit = f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+"
         if across:
             unit = f"[^{line}]+" if line else "(?s:.+)"
         self._units = re.compile(f"{line}|{unit}" if line else unit).findall
