@@ -114,10 +114,7 @@ MIN_DURATION_MS = 1
 MIN_OUTPUT_FOR_SPEED = 20
 APPROXIMATE_TOOLS = ["codex"]
 REPLAY_GAP_MS = 500
-MAX_COUNTER_HEADS = 8
 MAX_PENDING_REQUESTS = 200
-REQUEST_HEAD_CHARS = 1024
-TRIGGER_HEAD_CHARS = 400
 TRIGGER_PATTERN = (
     r'"type":"(?:task_started|user_message|function_call_output|custom_tool_call_output)"'
 )

@@ -77,16 +77,17 @@ def by_day_map(by_day_tool_rows: DataFrame) -> DataFrame:
 
 
 def by_model(
-    events: DataFrame, days: int, now_ms: int, limit: int = 10, tz: str = "UTC"
+    events: DataFrame, days: int, now_ms: int, limit: int | None = None, tz: str = "UTC"
 ) -> DataFrame:
-    """Top models of the range; rows without a model form their own group."""
-    return (
-        in_range(events, days, now_ms, tz)
-        .groupBy("model")
-        .agg(_tokens(), _calls())
-        .orderBy(F.desc("total"), F.asc_nulls_last("model"))
-        .limit(limit)
-    )
+    """Models of the range, the largest first; rows without a model form their own group."""
+    models = in_range(events, days, now_ms, tz).groupBy("model").agg(_tokens(), _calls())
+    return _top(models, limit, F.desc("total"), F.asc_nulls_last("model"))
+
+
+def _top(rows: DataFrame, limit: int | None, *order) -> DataFrame:
+    """Rows in order; cut only where the caller asks for a top list."""
+    ordered = rows.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def by_tool(events: DataFrame, days: int, now_ms: int, tz: str = "UTC") -> DataFrame:
@@ -152,18 +153,14 @@ def _session_aggs() -> list[Column]:
 
 
 def sessions_day(
-    events: DataFrame, day: str, tool: str | None = None, limit: int = 60, tz: str = "UTC"
+    events: DataFrame, day: str, tool: str | None = None, limit: int | None = None, tz: str = "UTC"
 ) -> DataFrame:
     """Sessions of one local day by (tool, session); rows without a session group per tool."""
     rows = _one_day(events, day, tz)
     if tool:
         rows = rows.filter(F.col("tool") == tool)
-    return (
-        rows.groupBy("tool", "session_id")
-        .agg(*_session_aggs())
-        .orderBy(F.desc("total"), "tool", F.asc_nulls_last("session_id"))
-        .limit(limit)
-    )
+    sessions = rows.groupBy("tool", "session_id").agg(*_session_aggs())
+    return _top(sessions, limit, F.desc("total"), "tool", F.asc_nulls_last("session_id"))
 
 
 def _one_day(events: DataFrame, day: str, tz: str) -> DataFrame:
@@ -179,7 +176,7 @@ def sessions_report(
     day: str | None = None,
     first_day: str | None = None,
     last_day: str | None = None,
-    limit: int = 500,
+    limit: int | None = None,
     tz: str = "UTC",
 ) -> DataFrame:
     """Sessions by id only; the tool is that of the first event.
@@ -196,29 +193,20 @@ def sessions_report(
             (local_day(F.col("first_ts"), tz) >= F.lit(first_day).cast("date"))
             & (local_day(F.col("last_ts"), tz) <= F.lit(last_day).cast("date"))
         )
-    return sessions.orderBy(F.desc("total"), F.asc_nulls_last("session_id")).limit(limit)
+    return _top(sessions, limit, F.desc("total"), F.asc_nulls_last("session_id"))
 
 
 def tool_activity(
-    calls: DataFrame, days: int, now_ms: int, top_pairs: int = 60, top: int = 14, tz: str = "UTC"
+    calls: DataFrame, days: int, now_ms: int, top: int | None = None, tz: str = "UTC"
 ) -> DataFrame:
-    """Tool-call counts: the busiest (name, tool) pairs, merged per name, then the busiest names."""
-    pairs = (
-        in_range(calls, days, now_ms, tz)
-        .groupBy("name", "tool")
-        .agg(_calls())
-        .orderBy(F.desc("n"), "name", "tool")
-        .limit(top_pairs)
-    )
-    return (
-        pairs.groupBy("name")
-        .agg(
-            F.sum("n").alias("n"),
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tools"),
-        )
-        .orderBy(F.desc("n"), "name")
-        .limit(top)
+    """Tool-call counts per name, with the count of each tool; ``top`` keeps the busiest names."""
+    pairs = in_range(calls, days, now_ms, tz).groupBy("name", "tool").agg(_calls())
+    names = pairs.groupBy("name").agg(
+        F.sum("n").alias("n"),
+        # at most one entry per registered tool
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tools"),
     )
+    return _top(names, top, F.desc("n"), "name")
 
 
 def credit_summary(credits: DataFrame, now_ms: int, tz: str = "UTC") -> DataFrame:
@@ -248,21 +236,12 @@ def today_report(events: DataFrame, now_ms: int, tz: str = "UTC") -> dict[str, D
     }
 
 
-def fill_days(daily: DataFrame, value: str = "total", max_days: int = 90) -> DataFrame:
-    """Continuous day axis with zeros; very long or dense ranges stay as they are."""
-    span = daily.agg(
-        F.min("day").alias("first"), F.max("day").alias("last"), F.count_distinct("day").alias("n")
-    )
-    too_long = (F.datediff("last", "first") > 400) | (F.col("n") > max_days * 1.5)
+def fill_days(daily: DataFrame, value: str = "total") -> DataFrame:
+    """Continuous day axis with zeros; its length is bounded by the calendar."""
+    span = daily.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     holes = (
-        span.filter(F.col("n") > 0)
-        .select(
-            F.explode(
-                F.when(too_long, F.expr("array()").cast("array<date>")).otherwise(
-                    F.sequence("first", "last")
-                )
-            ).alias("day")
-        )
+        span.filter(F.col("first").isNotNull())
+        .select(F.explode(F.sequence("first", "last")).alias("day"))
         .withColumn(value, F.lit(0).cast("long"))
     )
     return daily.select("day", value).unionByName(holes).groupBy("day").agg(

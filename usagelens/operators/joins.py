@@ -17,13 +17,28 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 def pair_requests(
     requests: DataFrame, replies: DataFrame, keys: list[str], max_ms: int = fixed.MAX_DURATION_MS
 ) -> DataFrame:
-    """Replies with the instant of their request: ``0 < reply - sent <= max_ms``.
+    """Replies with the wait since their request: ``0 < reply - sent <= max_ms``, one row a reply.
 
-    A request id sent twice counts with its last send before the reply's row.
+    A request id sent more than once counts with its last send before the reply. That send is the
+    running last one in time, so no pair of sends and replies is built.
     """
-    matched = salted_join(replies, requests, keys, spread_by="dedup_key")
+    rest = [c for c in replies.columns if c not in [*keys, "ts_ms"]]
+    sends = requests.select(
+        *keys, F.col("sent_ms").alias("ts_ms"), F.col("sent_ms").alias("_sent"),
+        *[F.lit(None).cast(replies.schema[c].dataType).alias(c) for c in rest],
+    )
+    rows = replies.select(*keys, "ts_ms", F.lit(None).cast("long").alias("_sent"), *rest).unionByName(sends)
+    # at one instant replies come first: a wait of nothing is no wait
+    ordered = rows.withColumn("_send", F.col("_sent").isNotNull()).withColumn(
+        "_slice", F.floor(F.col("ts_ms") / fixed.DAY_MS)
+    )
+    paired = asof_last(ordered, "_sent", keys, "_slice", ["ts_ms", "_send"], "sent_ms").filter("NOT _send")
     wait = F.col("ts_ms") - F.col("sent_ms")
-    return matched.withColumn("duration_ms", wait).filter((wait > 0) & (wait <= max_ms))
+    return (
+        paired.withColumn("duration_ms", wait)
+        .filter((F.col("duration_ms") > 0) & (F.col("duration_ms") <= max_ms))
+        .drop("_sent", "_send", "_slice")
+    )
 
 
 def asof_last(

@@ -114,17 +114,14 @@ def anchored_blocks(
 
 
 def session_curve(
-    events: DataFrame, session_id: str, tool: str | None = None, limit: int = 5000
+    events: DataFrame, session_id: str, tool: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Requests of one session in time order."""
     rows = events.filter(F.col("session_id") == session_id)
     if tool:
         rows = rows.filter(F.col("tool") == tool)
-    return (
-        rows.select("ts_ms", "dedup_key", "model", *BILLED_COLUMNS, "total_tokens")
-        .orderBy("ts_ms", "dedup_key")
-        .limit(limit)
-    )
+    curve = rows.select("ts_ms", "dedup_key", "model", *BILLED_COLUMNS, "total_tokens").orderBy("ts_ms", "dedup_key")
+    return curve if limit is None else curve.limit(limit)
 
 
 COUNTERS = [*BILLED_COLUMNS, "reasoning_tokens"]

@@ -34,12 +34,6 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check; larger frames keep the planner's shuffle join."""
-    counted = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if counted <= max_rows else df
-
-
 def salted_join(
     big: DataFrame,
     small: DataFrame,

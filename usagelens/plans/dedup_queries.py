@@ -487,15 +487,16 @@ def _(spark, d):
 
 @query(
     "pair_requests",
-    """WITH q AS (SELECT user_id, k AS ref, max(ts_ms) AS sent_ms FROM usage_rows WHERE event_type = 'click' GROUP BY 1, 2),
-    p AS (SELECT dedup_key, user_id, k AS ref, ts_ms FROM usage_rows WHERE event_type = 'view')
-    SELECT dedup_key, ts_ms - sent_ms AS duration_ms FROM p JOIN q USING (user_id, ref)
-    WHERE ts_ms - sent_ms > 0 AND ts_ms - sent_ms <= 90000000""",
+    """WITH q AS (SELECT user_id, k % 3 AS ref, ts_ms AS sent_ms FROM usage_rows WHERE event_type = 'click'),
+    p AS (SELECT dedup_key, user_id, k % 3 AS ref, ts_ms FROM usage_rows WHERE event_type = 'view'),
+    m AS (SELECT dedup_key, p.ts_ms, max(q.sent_ms) AS sent_ms FROM p JOIN q ON p.user_id = q.user_id AND p.ref = q.ref
+      AND q.sent_ms < p.ts_ms GROUP BY dedup_key, p.ts_ms)
+    SELECT dedup_key, ts_ms - sent_ms AS duration_ms FROM m WHERE ts_ms - sent_ms <= 90000000""",
 )
 def _(spark, d):
     rows = v.usage_rows(spark, d)
-    ref = F.col("k").alias("ref")
-    sent = rows.filter("event_type = 'click'").groupBy("user_id", ref).agg(F.max("ts_ms").alias("sent_ms"))
+    ref = (F.col("k") % 3).alias("ref")  # ids are sent again and again
+    sent = rows.filter("event_type = 'click'").select("user_id", ref, F.col("ts_ms").alias("sent_ms"))
     replies = rows.filter("event_type = 'view'").select("dedup_key", "user_id", ref, "ts_ms")
     return joins.pair_requests(sent, replies, ["user_id", "ref"], 90_000_000).select(
         "dedup_key", "duration_ms"

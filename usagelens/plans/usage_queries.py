@@ -99,7 +99,7 @@ def _(spark, d):
     WHERE {SINCE} GROUP BY model ORDER BY total DESC, model NULLS LAST LIMIT 10""",
 )
 def _(spark, d):
-    return agg.by_model(v.usage_events(spark, d, START), DAYS, NOW_MS)
+    return agg.by_model(v.usage_events(spark, d, START), DAYS, NOW_MS, limit=10)
 
 
 @query(
@@ -154,7 +154,7 @@ SESSION_COLS = """min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, count(*) AS cal
 @query(
     "sessions_day",
     f"""SELECT session_id, tool, {SESSION_COLS} FROM usage_events WHERE {DAY} = DATE '{TODAY}'
-    GROUP BY tool, session_id ORDER BY total DESC, tool, session_id NULLS LAST LIMIT 60""",
+    GROUP BY tool, session_id ORDER BY total DESC, tool, session_id NULLS LAST""",
 )
 def _(spark, d):
     return agg.sessions_day(v.usage_events(spark, d, TODAY_START), TODAY)
@@ -166,7 +166,7 @@ FIRST_TOOL = "first(tool ORDER BY ts_ms, dedup_key) AS tool"
 @query(
     "sessions_report_all",
     f"""SELECT session_id, {FIRST_TOOL}, {SESSION_COLS} FROM usage_events
-    GROUP BY session_id ORDER BY total DESC, session_id NULLS LAST LIMIT 500""",
+    GROUP BY session_id ORDER BY total DESC, session_id NULLS LAST""",
 )
 def _(spark, d):
     return agg.sessions_report(v.usage_events(spark, d))
@@ -175,7 +175,7 @@ def _(spark, d):
 @query(
     "sessions_report_day",
     f"""SELECT session_id, {FIRST_TOOL}, {SESSION_COLS} FROM usage_events WHERE {DAY} = DATE '{TODAY}'
-    GROUP BY session_id ORDER BY total DESC, session_id NULLS LAST LIMIT 500""",
+    GROUP BY session_id ORDER BY total DESC, session_id NULLS LAST""",
 )
 def _(spark, d):
     return agg.sessions_report(v.usage_events(spark, d), day=TODAY)
@@ -185,7 +185,7 @@ def _(spark, d):
     "sessions_report_range",
     f"""SELECT * FROM (SELECT session_id, {FIRST_TOOL}, {SESSION_COLS} FROM usage_events GROUP BY session_id)
     WHERE CAST(epoch_ms(first_ts) AS DATE) >= DATE '2024-01-02' AND CAST(epoch_ms(last_ts) AS DATE) <= DATE '2024-01-29'
-    ORDER BY total DESC, session_id NULLS LAST LIMIT 500""",
+    ORDER BY total DESC, session_id NULLS LAST""",
 )
 def _(spark, d):
     return agg.sessions_report(
@@ -196,12 +196,12 @@ def _(spark, d):
 @query(
     "tool_activity",
     f"""WITH pairs AS (SELECT name, tool, count(*) AS n FROM tool_calls WHERE {SINCE}
-      GROUP BY name, tool ORDER BY n DESC, name, tool LIMIT 60)
+      GROUP BY name, tool)
     SELECT name, CAST(sum(n) AS BIGINT) AS n, string_agg(tool || '=' || n, ',' ORDER BY tool) AS tools
     FROM pairs GROUP BY name ORDER BY n DESC, name LIMIT 14""",
 )
 def _(spark, d):
-    out = agg.tool_activity(v.tool_calls(spark, d, START), DAYS, NOW_MS)
+    out = agg.tool_activity(v.tool_calls(spark, d, START), DAYS, NOW_MS, top=14)
     return out.withColumn("tools", _map_text("tools"))
 
 
@@ -494,7 +494,7 @@ def _(spark, d):
 @query(
     "session_curve",
     """SELECT ts_ms, dedup_key, model, input_tokens, cached_input, cache_write, output_tokens, total_tokens
-    FROM usage_events WHERE session_id = 's3-1' AND tool = 'claude-code' ORDER BY ts_ms, dedup_key LIMIT 5000""",
+    FROM usage_events WHERE session_id = 's3-1' AND tool = 'claude-code' ORDER BY ts_ms, dedup_key""",
 )
 def _(spark, d):
     return sequence.session_curve(v.usage_events(spark, d), "s3-1", "claude-code")

@@ -26,13 +26,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; make one only where none is configured."""
+    """Use the cluster's shared checkpoint folder; only a local session may go without one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="usagelens-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="usagelens-ckpt-")
+    context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

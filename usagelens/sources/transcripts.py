@@ -129,8 +129,8 @@ def claude_tool_calls(lines: DataFrame, tool: str = "claude-code") -> DataFrame:
 
 
 def request_starts(lines: DataFrame) -> DataFrame:
-    """Requests as (path, ref, sent_ms); only the head of these long lines is read."""
-    head = F.substring("value", 1, fixed.REQUEST_HEAD_CHARS)
+    """Requests as (path, ref, sent_ms), by text: these lines are long and need no parsing."""
+    head = F.col("value")
     rows = lines.filter(F.col("value").startswith('{"type":"api-request"')).select(
         "path",
         "block",

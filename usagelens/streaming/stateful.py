@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from usagelens import fixed
-from usagelens.sources.rollouts import Streams, fold_frame
+from usagelens.sources.rollouts import OpenTotals, fold_frame
 
 
 # ------------------------------------------------------------------------ latency pairing
@@ -132,7 +132,7 @@ _FOLD_STATE = "heads array<array<bigint>>, seq long, pending binary"
 def _codex(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     import pickle
 
-    streams, seq, record = Streams(), 0, None
+    streams, seq, record = OpenTotals(), 0, None
     if state.exists:
         heads, seq, pending = state.get
         streams.heads = [tuple(h) for h in heads]
