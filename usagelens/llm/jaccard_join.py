@@ -7,9 +7,10 @@ find the pair. If all they share there is frequent, the prefix is extended by on
 its frequent tokens: the index holds the pairs of those. Sets with so many frequent tokens in the prefix
 that the combinations explode index them singly, against all sets with such tokens.
 
-Candidates are verified on the whole sets. First every node is compared with one hub it shares most index
-keys with; then all pairs of different components that share a key. So a group of thousands of near
-copies costs a star, while no link between two components is lost.
+Candidate pairs that even their bit maps tell apart are dropped; the others are verified on the whole
+sets. First every node is compared with one hub it shares most index keys with; then all pairs of different
+components that share a key. So a group of thousands of near copies costs a star, while no link between two
+components is lost.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ COMBINED = 24
 
 #: sets under one key that are all looked at
 NEAR_SETS = 32
+#: members of candidate pairs that are sent to all tasks; more are shuffled
+BROADCAST_MEMBERS = 500_000
 
 _RARE, _PAIR, _SINGLE, _SINGLE_BIG = range(4)
 
@@ -64,17 +67,40 @@ def _nodes(batches: Iterator[pa.RecordBatch], size: int):
             yield [doc_id for doc_id, _ in part], nodes, sets
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Bit map of a set: at least two bits a token, their number a power of two."""
+    bits = max(256, 1 << int(2 * len(tokens)).bit_length())
+    marks = np.zeros(bits, bool)
+    marks[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def most_common(x: bytes, y: bytes, n: int, m: int) -> int:
+    """Upper bound of the tokens two sets share: every bit in which their maps differ is a token apart."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] | q[len(q) // 2 :]
+    return (n + m - int(np.bitwise_count(p ^ q).sum())) // 2
+
+
 def set_nodes(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, node, n: the node of each row's set and the set's size."""
+    """doc_id, node, n, map: the node of each row's set, the set's size and bit map."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, nodes, sets in _nodes(batches, size):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32())],
-                names=["doc_id", "node", "n"],
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(nodes, pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([signature(s) for s in sets], pa.binary()),
+                ],
+                names=["doc_id", "node", "n", "map"],
             )
 
-    return rows.mapInArrow(describe, "doc_id long, node long, n int")
+    return rows.mapInArrow(describe, "doc_id long, node long, n int, map binary")
 
 
 def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_FROM, room: int = FREQUENT_TOKENS):
@@ -143,7 +169,7 @@ def _index_of(tokens: np.ndarray, frequent: np.ndarray, combined: int) -> tuple[
 
 
 def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, combined: int = COMBINED) -> DataFrame:
-    """key, node, n, place, kind: the index keys of every set that another set has too."""
+    """key, node, n, place, kind, large: keys that sets share, ``large`` where more than a few do."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_TOKENS numbers
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +216,7 @@ def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, co
         & _enough_room(F.col("n"), F.col("place"), o["n"], o["place"]),
     )
     fits = F.when(F.col("size") == 1, False).when(F.col("size") <= NEAR_SETS + 1, any_similar).otherwise(some)
-    return beside.filter(fits).select("key", "node", "n", "place", "kind")
+    return beside.filter(fits).select("key", "node", "n", "place", "kind", (F.col("size") > NEAR_SETS + 1).alias("large"))
 
 
 def _similar_sizes(a, b):
@@ -217,30 +243,51 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components that share a key and may be similar."""
+def _key_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): all pairs of sets under one key that may be similar and, if known, differ in ``label``."""
+    left, right = entries.alias("x"), entries.alias("y")
+    same = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.node") < F.col("y.node"))
+        & _similar_sizes(F.col("x.n"), F.col("y.n"))
+        & ((F.col("x.kind") != _SINGLE) | (F.col("y.kind") != _SINGLE))
+        & _enough_room(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
+    )
+    if "label" in entries.columns:
+        same = same & (F.col("x.label") != F.col("y.label"))
+    return left.join(right, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _open_keys(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of the keys that sets of more than one component have, with their component."""
     labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_key = Window.partitionBy("key")
-    open_keys = (
+    return (
         labelled.withColumn("least", F.min("label").over(by_key))
         .withColumn("most", F.max("label").over(by_key))
         .filter(F.col("least") != F.col("most"))
     )
-    left, right = open_keys.alias("x"), open_keys.alias("y")
-    pairs = left.join(
-        right,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.label") != F.col("y.label"))
-        & _similar_sizes(F.col("x.n"), F.col("y.n"))
-        & ((F.col("x.kind") != _SINGLE) | (F.col("y.kind") != _SINGLE))
-        & _enough_room(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")),
-    )
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def node_sets(rows: DataFrame, members: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """node, tokens (sorted 64-bit hashes as binary) of the documents in ``members(doc_id)``."""
+def _may_be_similar(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs whose bit maps allow enough common tokens. ``maps``: node, n, map."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            keep = [(100 + PERCENT) * most_common(x, y, n, m) >= PERCENT * (n + m) for x, y, n, m in zip(*columns)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = pairs.join(maps.select(F.col("node").alias("a"), F.col("n"), F.col("map").alias("x")), "a")
+    second = first.join(maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("map").alias("y")), "b")
+    return second.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def node_sets(rows: DataFrame, members: DataFrame, size: int = SHINGLE, room: int = BROADCAST_MEMBERS) -> DataFrame:
+    """node, tokens (sorted 64-bit hashes as binary) of the documents in ``members(doc_id)``.
+
+    Few members, by count, are sent to all tasks; else texts and members are shuffled together.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, nodes, sets in _nodes(batches, size):
@@ -248,8 +295,9 @@ def node_sets(rows: DataFrame, members: DataFrame, size: int = SHINGLE) -> DataF
                 [pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"]
             )
 
-    chosen = rows.join(members, "doc_id", "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(collect, "node long, tokens binary").dropDuplicates(["node"])
+    wanted = F.broadcast(members) if members.limit(room + 1).count() <= room else members
+    chosen = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    return chosen.mapInArrow(collect, "node long, tokens binary")
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,7 +314,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     second = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return second.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return second.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame, seed: DataFrame) -> DataFrame:
@@ -316,18 +364,31 @@ def jaccard_components(
     rows = base.withColumn("text", base["text"].cast("binary"))
     nodes = reliable(set_nodes(rows, size))
     classes = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("label"))
+    maps = nodes.select("node", "n", "map").dropDuplicates(["node"])
     frequent = frequent_tokens(rows, size, frequent_from)
     entries = reliable(index_entries(rows, frequent, size, combined))
-    members = entries.select("node").distinct().join(classes, "node").select(F.col("label").alias("doc_id"))
-    sets = reliable(node_sets(rows, members.filter("doc_id IS NOT NULL"), size))
+
+    large = entries.filter("large")
+    star = reliable(_may_be_similar(_hub_pairs(entries), maps))
+    near = reliable(_may_be_similar(_key_pairs(entries.filter("NOT large")), maps))
     seed = classes.filter("label IS NOT NULL")
 
-    hub_pairs = reliable(_hub_pairs(entries))
-    star = reliable(verify_pairs(hub_pairs, sets))
-    first = components(star, seed)
-    cross = _cross_pairs(entries, first).join(hub_pairs, ["a", "b"], "left_anti")
-    rest = reliable(verify_pairs(cross, sets))
-    links = star.union(rest)
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        members = reliable(needed.join(seed, "node").select(F.col("label").alias("doc_id")))
+        return reliable(node_sets(rows, members, size))
+
+    linked = reliable(verify_pairs(star, sets_of(star)))
+    first = reliable(components(linked, seed))
+    apart = near.join(star, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        of_end = first.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        apart = apart.join(of_end, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    apart = apart.filter("label_a <> label_b").select("a", "b")
+    across = _may_be_similar(_key_pairs(_open_keys(large, first)), maps).join(star, ["a", "b"], "left_anti")
+    open_pairs = reliable(apart.union(across).distinct())
+    rest = reliable(verify_pairs(open_pairs, sets_of(open_pairs)))
+    links = linked.union(rest)
     final = first if rest.isEmpty() else components(links, seed)
 
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(
