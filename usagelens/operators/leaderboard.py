@@ -220,7 +220,7 @@ def accept_reports(reports: DataFrame, banned: DataFrame, gap_ms: int = fixed.TH
 
 
 def merge_daily(daily: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Last reported tokens per (id, day); the value may fall."""
+    """Last reported tokens per (id, day); the value may fall. Of reports at one instant the largest counts."""
     new = accepted.select(
         "id", "day", F.col("day_tokens").cast("long").alias("tokens"), F.col("received_ms").alias("updated_at")
     )
@@ -228,7 +228,8 @@ def merge_daily(daily: DataFrame, accepted: DataFrame) -> DataFrame:
         daily.select("id", "day", "tokens", "updated_at")
         .unionByName(new)
         .groupBy("id", "day")
-        .agg(F.max_by("tokens", "updated_at").alias("tokens"), F.max("updated_at").alias("updated_at"))
+        .agg(F.max(F.struct("updated_at", "tokens")).alias("last"))
+        .select("id", "day", "last.tokens", "last.updated_at")
     )
 
 

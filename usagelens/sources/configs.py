@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ _CATALOG_COSTS = (
     "output_cost_per_token:double,cache_creation_input_token_cost:double>"
 )
 
+_LOG = logging.getLogger(__name__)
+
 
 # ------------------------------------------------------------------------ price catalog
 
@@ -87,11 +90,12 @@ def price_catalog_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def _read_json(spark: SparkSession, path: str):
-    """A settings file through Spark's file systems; None when it is missing or malformed."""
+    """A settings file through Spark's file systems; None, and a warning, when it can't be read."""
     try:
         rows = spark.read.option("wholetext", "true").text(path).take(1)
         return json.loads(rows[0]["value"]) if rows else None
-    except Exception:  # noqa: BLE001 - any unreadable settings file means defaults
+    except Exception as error:  # noqa: BLE001 - any unreadable settings file means defaults
+        _LOG.warning("settings file %s is not used: %s", path, str(error).split("\n", 1)[0])
         return None
 
 
@@ -141,7 +145,8 @@ def load_alert_rules(spark: SparkSession, path: str) -> DataFrame:
     """Alert rules; the default rules when the file is missing, malformed or invalid."""
     body = _read_json(spark, path)
     try:
-        assert body["version"] == 1 and isinstance(body["rules"], list)
+        if body["version"] != 1 or not isinstance(body["rules"], list):
+            raise ValueError("unknown version or no list of rules")
         rows = [
             (
                 i,
@@ -154,7 +159,7 @@ def load_alert_rules(spark: SparkSession, path: str) -> DataFrame:
             )
             for i, r in enumerate(body["rules"], start=1)
         ]
-    except (AssertionError, KeyError, TypeError, ValueError):
+    except (KeyError, TypeError, ValueError):
         return default_rules(spark)
     rules = literal_table(spark, rows, f"pos long, {RULE_SCHEMA}")
     if validate_rules(rules).limit(1).count():

@@ -210,8 +210,8 @@ def export_usage_cube(
 # ------------------------------------------------------------------------------- snapshots
 
 
-def snapshot_table(df: DataFrame, path: str, day: str, keep: int = 7) -> list[str]:
-    """Dated full copy below ``path``; only the newest ``keep`` copies stay. Returns their days."""
+def snapshot_table(df: DataFrame, path: str, day: str, keep: int | None = None) -> list[str]:
+    """Dated full copy below ``path``; with ``keep`` only so many newest copies stay. Returns their days."""
     spark = df.sparkSession
     target = f"{path}/snapshot={day}"
     if not table_exists(spark, target):
@@ -223,9 +223,10 @@ def snapshot_table(df: DataFrame, path: str, day: str, keep: int = 7) -> list[st
         for status in system.listStatus(root)
         if status.getPath().getName().startswith("snapshot=")
     )
-    for name in found[:-keep]:
+    stay = found if keep is None else found[-keep:]
+    for name in found[: len(found) - len(stay)]:
         system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-    return [name.removeprefix("snapshot=") for name in found[-keep:]]
+    return [name.removeprefix("snapshot=") for name in stay]
 
 
 # --------------------------------------------------------------------------- masked export
