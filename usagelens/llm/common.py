@@ -60,4 +60,16 @@ def tasks_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: ids that are sent to all tasks; longer lists are shuffled together with the documents
+BROADCAST_IDS = 500_000
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", room: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` with an id that some row of ``verdicts(doc_id, kept)`` keeps; null ids stay."""
+    gone = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept AND doc_id IS NOT NULL")
+    ids = reliable(gone.select(F.col("doc_id").alias("_gone")))
+    listed = F.broadcast(ids) if ids.limit(room + 1).count() <= room else ids
+    return docs.join(listed, docs[id_col].cast("long") == listed["_gone"], "left_anti")
+
+
 QueryFn = Callable[[SparkSession, str], DataFrame]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import FOLD_BYTES, reliable, text_rows
+from usagelens.llm.common import FOLD_BYTES, keep_rows, reliable, text_rows
 
 SALTS = 32
 Digest = Callable[[bytes], str]
@@ -116,6 +116,5 @@ def exact_duplicates(
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; rows that repeat one id stay together."""
-    stay = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_kept"]), "left_semi")
+    """The rows of ``docs`` that stay, with their columns; rows of one id stay together, those of a null id stay."""
+    return keep_rows(docs, exact_duplicates(docs, id_col, text_col), id_col)

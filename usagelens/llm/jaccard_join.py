@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import FOLD_BYTES, reliable, tasks_for, text_rows
+from usagelens.llm.common import BROADCAST_IDS, FOLD_BYTES, keep_rows, reliable, tasks_for, text_rows
 from usagelens.llm.shingles import shingle_sets, slices
 
 SHINGLE = 5
@@ -39,8 +39,6 @@ COMBINED = 24
 
 #: sets under one key that are all looked at
 NEAR_SETS = 32
-#: members of candidate pairs that are sent to all tasks; more are shuffled
-BROADCAST_MEMBERS = 500_000
 
 _RARE, _PAIR, _SINGLE, _SINGLE_BIG = range(4)
 
@@ -283,7 +281,7 @@ def _may_be_similar(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return second.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def node_sets(rows: DataFrame, members: DataFrame, size: int = SHINGLE, room: int = BROADCAST_MEMBERS) -> DataFrame:
+def node_sets(rows: DataFrame, members: DataFrame, size: int = SHINGLE, room: int = BROADCAST_IDS) -> DataFrame:
     """node, tokens (sorted 64-bit hashes as binary) of the documents in ``members(doc_id)``.
 
     Few members, by count, are sent to all tasks; else texts and members are shuffled together.
@@ -408,6 +406,5 @@ def jaccard_components(
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component, with their columns; rows of a null id stay."""
-    found = jaccard_components(docs, id_col, text_col).filter("doc_id <> component_id")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    found = jaccard_components(docs, id_col, text_col)
+    return keep_rows(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), id_col)
