@@ -29,7 +29,7 @@ from usagelens.llm.shingles import shingle_sets, slices
 SHINGLE = 5
 #: similar from 100 * intersection >= PERCENT * union on
 PERCENT = 75
-#: a token in more prefixes than this is frequent, as far as the table has room
+#: a token in more sets than this is frequent, as far as the table has room
 FREQUENT_FROM = 64
 FREQUENT_TOKENS = 500_000
 #: tokens that a task counts at once
@@ -102,32 +102,34 @@ def set_nodes(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_FROM, room: int = FREQUENT_TOKENS):
-    """The most frequent tokens of the sets' prefixes, at most ``room``.
+    """The most frequent tokens of the sets, at most ``room``.
 
     Tokens that a task sees once are not sent. The join is exact under any choice: the table only decides
     which tokens come last in the order.
     """
 
-    def tally(heads: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(heads), return_counts=True)
+    def tally(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         tokens, counts = tokens[counts > 1], counts[counts > 1]
         return pa.RecordBatch.from_arrays(
             [pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "seen"]
         )
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, total = [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, seen = [], 0, set()
         for _, nodes, sets in _nodes(batches, size):
-            for s in dict(zip(nodes, sets)).values():
-                heads.append(s[: prefix_length(len(s))])
-                total += len(heads[-1])
+            for node, s in zip(nodes, sets):
+                if node not in seen:
+                    seen.add(node)
+                    held.append(s)
+                    total += len(s)
             if total >= TASK_TOKENS:
-                yield tally(heads)
-                heads, total = [], 0
-        if heads:
-            yield tally(heads)
+                yield tally(held)
+                held, total, seen = [], 0, set()
+        if held:
+            yield tally(held)
 
-    counted = rows.mapInArrow(prefixes, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
+    counted = rows.mapInArrow(count, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     found = counted.filter(F.col("seen") > least).orderBy(F.desc("seen"), "token").limit(room)
     return np.sort(np.array([row["token"] for row in found.select("token").collect()], np.int64).view(np.uint64))
 
@@ -167,7 +169,7 @@ def _index_of(tokens: np.ndarray, frequent: np.ndarray, combined: int) -> tuple[
 
 
 def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, combined: int = COMBINED) -> DataFrame:
-    """key, node, n, place, kind, large: keys that sets share, ``large`` where more than a few do."""
+    """key, node, n, place, kind: the index keys under which a set may have a similar one."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_TOKENS numbers
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +216,7 @@ def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, co
         & _enough_room(F.col("n"), F.col("place"), o["n"], o["place"]),
     )
     fits = F.when(F.col("size") == 1, False).when(F.col("size") <= NEAR_SETS + 1, any_similar).otherwise(some)
-    return beside.filter(fits).select("key", "node", "n", "place", "kind", (F.col("size") > NEAR_SETS + 1).alias("large"))
+    return beside.filter(fits).select("key", "node", "n", "place", "kind")
 
 
 def _similar_sizes(a, b):
@@ -242,7 +244,7 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _key_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): all pairs of sets under one key that may be similar and, if known, differ in ``label``."""
+    """(a, b): all pairs of sets under one key that may be similar and are of different components."""
     left, right = entries.alias("x"), entries.alias("y")
     same = (
         (F.col("x.key") == F.col("y.key"))
@@ -250,9 +252,8 @@ def _key_pairs(entries: DataFrame) -> DataFrame:
         & _similar_sizes(F.col("x.n"), F.col("y.n"))
         & ((F.col("x.kind") != _SINGLE) | (F.col("y.kind") != _SINGLE))
         & _enough_room(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
+        & (F.col("x.label") != F.col("y.label"))
     )
-    if "label" in entries.columns:
-        same = same & (F.col("x.label") != F.col("y.label"))
     return left.join(right, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -366,9 +367,7 @@ def jaccard_components(
     frequent = frequent_tokens(rows, size, frequent_from)
     entries = reliable(index_entries(rows, frequent, size, combined))
 
-    large = entries.filter("large")
     star = reliable(_may_be_similar(_hub_pairs(entries), maps))
-    near = reliable(_may_be_similar(_key_pairs(entries.filter("NOT large")), maps))
     seed = classes.filter("label IS NOT NULL")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -378,13 +377,8 @@ def jaccard_components(
 
     linked = reliable(verify_pairs(star, sets_of(star)))
     first = reliable(components(linked, seed))
-    apart = near.join(star, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        of_end = first.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-        apart = apart.join(of_end, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-    apart = apart.filter("label_a <> label_b").select("a", "b")
-    across = _may_be_similar(_key_pairs(_open_keys(large, first)), maps).join(star, ["a", "b"], "left_anti")
-    open_pairs = reliable(apart.union(across).distinct())
+    across = _key_pairs(_open_keys(entries, first)).join(star, ["a", "b"], "left_anti")
+    open_pairs = reliable(_may_be_similar(across, maps))
     rest = reliable(verify_pairs(open_pairs, sets_of(open_pairs)))
     links = linked.union(rest)
     final = first if rest.isEmpty() else components(links, seed)
