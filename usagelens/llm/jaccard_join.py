@@ -8,9 +8,9 @@ its frequent tokens: the index holds the pairs of those. Sets with so many frequ
 that the combinations explode index them singly, against all sets with such tokens.
 
 Candidate pairs that even their bit maps tell apart are dropped; the others are verified on the whole
-sets. First every node is compared with one hub it shares most index keys with; then all pairs of different
-components that share a key. So a group of thousands of near copies costs a star, while no link between two
-components is lost.
+sets. In a few rounds every node is compared with one hub it shares most index keys with; then all pairs of different
+components that share a key. So a group of thousands of near copies costs a few stars, while no link between
+two components is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ TASK_TOKENS = 3_000_000
 #: frequent tokens of a prefix that are combined in pairs; sets with more of them use single tokens
 COMBINED = 24
 
+#: rounds of comparing nodes with one hub each, before all open pairs are compared
+STAR_ROUNDS = 3
 #: sets under one key that are all looked at
 NEAR_SETS = 32
 
@@ -131,22 +133,27 @@ def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_
 
     counted = rows.mapInArrow(count, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     found = counted.filter(F.col("seen") > least).orderBy(F.desc("seen"), "token").limit(room)
-    return np.sort(np.array([row["token"] for row in found.select("token").collect()], np.int64).view(np.uint64))
+    # most frequent first, so the rank from the end is the place in the order: rarer ones come earlier
+    tokens = np.array([row["token"] for row in found.select("token").collect()], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (len(tokens) - order).astype(np.int64)
 
 
-def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(tokens), bool)
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    return frequent[at] == tokens
+def _ordered(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """A set in the order of all tokens, rare ones by hash and then frequent ones by count; how many are rare."""
+    known, ranks = frequent
+    if not len(known):
+        return tokens, len(tokens)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    often = known[at] == tokens
+    last = tokens[often][np.argsort(ranks[at[often]])]
+    return np.concatenate([tokens[~often], last]), len(tokens) - len(last)
 
 
-def _index_of(tokens: np.ndarray, frequent: np.ndarray, combined: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _index_of(tokens: np.ndarray, frequent: tuple, combined: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, places of the first token, kinds) under which a set is indexed."""
     n = len(tokens)
-    often = _is_frequent(tokens, frequent)
-    order = np.concatenate([tokens[~often], tokens[often]])
-    rare = n - int(often.sum())
+    order, rare = _ordered(tokens, frequent)
     one, two = prefix_length(n), prefix_length(n, 2)
     keys, places, kinds = [order[: min(one, rare)]], [np.arange(min(one, rare))], [np.full(min(one, rare), _RARE)]
     tail = order[rare:two]
@@ -168,9 +175,9 @@ def _index_of(tokens: np.ndarray, frequent: np.ndarray, combined: int) -> tuple[
     return np.concatenate(keys), np.concatenate(places), np.concatenate(kinds)
 
 
-def index_entries(rows: DataFrame, frequent: np.ndarray, size: int = SHINGLE, combined: int = COMBINED) -> DataFrame:
+def index_entries(rows: DataFrame, frequent: tuple, size: int = SHINGLE, combined: int = COMBINED) -> DataFrame:
     """key, node, n, place, kind: the index keys under which a set may have a similar one."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_TOKENS numbers
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_TOKENS tokens with their ranks
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, nodes, sets in _nodes(batches, size):
@@ -228,19 +235,26 @@ def _enough_room(n, place, other_n, other_place):
     return (100 + PERCENT) * F.least(n - place, other_n - other_place) >= PERCENT * (n + other_n)
 
 
-def _hub_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): every node with the hub it shares most keys with; of a key, the hub is the least node."""
-    hubs = entries.filter(F.col("kind") != _SINGLE).groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("hub"))
+def _hub_pairs(entries: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(a, b): every node with the hub of another component it shares most keys with.
+
+    The hub of a key is its node of least component. Pairs of ``tried`` are left out.
+    """
+    least = F.min(F.struct("label", "node", "n", "place")).alias("hub")
+    hubs = entries.filter(F.col("kind") != _SINGLE).groupBy("key").agg(least)
     pairs = entries.join(hubs, "key").filter(
-        (F.col("node") != F.col("hub.node"))
+        (F.col("label") != F.col("hub.label"))
         & _similar_sizes(F.col("n"), F.col("hub.n"))
         & _enough_room(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"))
     )
     counted = pairs.groupBy("node", F.col("hub.node").alias("hub_node")).agg(F.count(F.lit(1)).alias("keys"))
-    best = counted.groupBy("node").agg(F.max(F.struct("keys", "hub_node")).alias("best"))
-    return best.select(
-        F.least("node", "best.hub_node").alias("a"), F.greatest("node", "best.hub_node").alias("b")
-    ).distinct()
+    ends = counted.select(
+        "node", "keys", "hub_node", F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")
+    )
+    if tried is not None:
+        ends = ends.join(tried, ["a", "b"], "left_anti")
+    best = ends.groupBy("node").agg(F.max(F.struct("keys", "hub_node", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
 
 
 def _key_pairs(entries: DataFrame) -> DataFrame:
@@ -257,9 +271,15 @@ def _key_pairs(entries: DataFrame) -> DataFrame:
     return left.join(right, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _open_keys(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries of the keys that sets of more than one component have, with their component."""
-    labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _open_keys(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries of the keys that sets of more than one component have, with their component.
+
+    Without ``labels`` every node is a component of its own.
+    """
+    if labels is None:
+        return entries.withColumn("label", F.col("node"))
+    known = labels.select("node", F.xxhash64("label").alias("label"))  # apart from nodes, which are hashes too
+    labelled = entries.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_key = Window.partitionBy("key")
     return (
         labelled.withColumn("least", F.min("label").over(by_key))
@@ -367,21 +387,27 @@ def jaccard_components(
     frequent = frequent_tokens(rows, size, frequent_from)
     entries = reliable(index_entries(rows, frequent, size, combined))
 
-    star = reliable(_may_be_similar(_hub_pairs(entries), maps))
     seed = classes.filter("label IS NOT NULL")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         members = reliable(needed.join(seed, "node").select(F.col("label").alias("doc_id")))
-        return reliable(node_sets(rows, members, size))
-
-    linked = reliable(verify_pairs(star, sets_of(star)))
-    first = reliable(components(linked, seed))
-    across = _key_pairs(_open_keys(entries, first)).join(star, ["a", "b"], "left_anti")
-    open_pairs = reliable(_may_be_similar(across, maps))
-    rest = reliable(verify_pairs(open_pairs, sets_of(open_pairs)))
-    links = linked.union(rest)
-    final = first if rest.isEmpty() else components(links, seed)
+        return reliable(verify_pairs(pairs, reliable(node_sets(rows, members, size))))
+
+    # Stars: each round joins components; what they leave apart is compared pair by pair.
+    links = labels = tried = None
+    for _ in range(STAR_ROUNDS):
+        pairs = reliable(_hub_pairs(_open_keys(entries, labels), tried))
+        new = verified(reliable(_may_be_similar(pairs, maps)))
+        tried = pairs if tried is None else tried.union(pairs)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        labels = reliable(components(links, seed))
+    across = _key_pairs(_open_keys(entries, labels)).join(tried, ["a", "b"], "left_anti")
+    rest = verified(reliable(_may_be_similar(across, maps)))
+    links = rest if links is None else links.union(rest)
+    final = labels if labels is not None and rest.isEmpty() else components(links, seed)
 
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(
         F.count(F.lit(1)).alias("n_links")
