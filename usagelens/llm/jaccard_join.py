@@ -38,7 +38,7 @@ TASK_TOKENS = 3_000_000
 COMBINED = 24
 
 #: rounds of comparing nodes with one hub each, before all open pairs are compared
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: sets under one key that are all looked at
 NEAR_SETS = 32
 
@@ -342,16 +342,17 @@ def components(links: DataFrame, seed: DataFrame) -> DataFrame:
     Every round a node takes the least label among its neighbours', then the label that its label's own
     node has; rounds end when nothing changes. ``seed``: node, label, with one node per label.
     """
+    # Shuffled joins: of many small rounds the driver would hold every broadcast table.
     both = reliable(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     nodes = both.select(F.col("a").alias("node")).distinct()
-    labels = reliable(nodes.join(seed, "node").select("node", "label", F.col("label").alias("own")))
+    labels = reliable(nodes.join(seed.hint("merge"), "node").select("node", "label", F.col("label").alias("own")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, labels["node"] == near["a"]).select(
+        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        stepped = labels.join(near.hint("merge"), labels["node"] == near["a"]).select(
             "node", "own", "label", F.least("label", "near").alias("next")
         )
         roots = stepped.select(F.col("own").alias("root"), F.col("next").alias("root_next"))
-        jumped = stepped.join(roots, stepped["next"] == roots["root"], "left").select(
+        jumped = stepped.join(roots.hint("merge"), stepped["next"] == roots["root"], "left").select(
             "node", F.least("next", F.coalesce("root_next", "next")).alias("label"), "own",
             (F.col("label") != F.least("next", F.coalesce("root_next", "next"))).alias("moved"),
         )

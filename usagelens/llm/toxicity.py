@@ -210,20 +210,21 @@ def fit_label_model(patterns: dict[int, int], voters: int, rounds: int = 60, sta
     return dict(zip(codes, q.tolist()))
 
 
-def _fit_logistic(rows: list[tuple[list[int], float]], n_features: int, ridge: float = 0.1, rounds: int = 12):
-    """Newton steps on soft labels; returns weights and bias."""
+def _fit_logistic(rows: list[tuple[list[int], float, int]], n_features: int, ridge: float = 0.1, rounds: int = 12):
+    """Newton steps on soft labels of rows that stand for several texts; returns weights and bias."""
     x = np.zeros((len(rows), n_features + 1))
     x[:, n_features] = 1
-    for i, (on, _) in enumerate(rows):
+    for i, (on, _, _) in enumerate(rows):
         x[i, on] = 1
-    y = np.array([p for _, p in rows])
+    y = np.array([p for _, p, _ in rows])
+    many = np.array([float(n) for _, _, n in rows])
     w = np.zeros(n_features + 1)
     penalty = np.full(n_features + 1, ridge)
     penalty[n_features] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        slope = x.T @ (many * (p - y)) + penalty * w
+        curve = (x * (many * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
         w -= np.linalg.solve(curve, slope)
     return w[:n_features], float(w[n_features])
 
@@ -269,9 +270,10 @@ def train_toxicity(
     counted = {row["votes"]: row["n"] for row in cast.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior = fit_label_model(counted, _VOTERS)
     share = min(1.0, labelled_rows / max(1, sum(counted.values())))
-    # The classifier's rows: a sample bounded like the labelled one.
-    picked = rows.filter(training & (pick < int(share * 1_000_000))).select("text").mapInArrow(vote, schema).collect()
-    rows_in = [(list(row["hits"]), posterior[row["votes"]]) for row in picked]
+    # The classifier's rows: a sample bounded like the labelled one; texts with the same features are one row.
+    picked = rows.filter(training & (pick < int(share * 1_000_000))).select("text").mapInArrow(vote, schema)
+    alike = picked.groupBy("votes", "hits").agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "hits").collect()
+    rows_in = [(list(row["hits"]), posterior[row["votes"]], row["n"]) for row in alike]
     if not rows_in:
         return ToxicityModel()
     weights, bias = _fit_logistic(rows_in, len(names))
