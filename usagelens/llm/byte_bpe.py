@@ -197,7 +197,10 @@ def encode_texts(
 
 def decode_ids(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``decoded``: the raw bytes of the ids, one after the other."""
-    tokens = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = token
+    tokens = encoded.sparkSession.sparkContext.broadcast(by_id)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
