@@ -207,6 +207,19 @@ def test_stream_fold_equals_batch(spark, tmp_path, make_lines):
     assert got == batch and len(batch) > 6
 
 
+def test_stream_fold_goes_on_from_its_state(spark, tmp_path, make_lines):
+    from tests_support import rollout_records
+
+    lines = make_lines("codex", {"/s/f.jsonl": rollout_records(1)})
+    rows = rollouts.fold_input(rollouts.annotated(rollouts.records(lines))).orderBy("path", "pos")
+    # the second batch begins with the repeat of the last total of the first one
+    middle = sorted(r["pos"] for r in rows.filter("kind = 'count'").collect())[1]
+    stream = source(spark, tmp_path, "fold2", rows.filter(F.col("pos") <= middle).coalesce(1))
+    source(spark, tmp_path, "fold2", rows.filter(F.col("pos") > middle).coalesce(1))
+    got = run_memory(spark, stateful.stream_codex_fold(stream), "fld2").orderBy("path", "pos").collect()
+    assert got == rollouts.folded(lines).orderBy("path", "pos").collect()
+
+
 def test_stream_pair_latency_and_ledgers(spark, tmp_path):
     sent = spark.createDataFrame([("/f", "r1", 1000), ("/f", "r2", 1000)], "path string, ref string, sent_ms long")
     got = spark.createDataFrame([("/f", "r1", "k1", 3000), ("/f", "r2", "k2", 2_000_000)],

@@ -132,14 +132,14 @@ _FOLD_STATE = "heads array<array<bigint>>, seq long, pending binary"
 def _codex(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     import pickle
 
-    streams, seq, record = OpenTotals(), 0, None
+    totals, seq, record = OpenTotals(), 0, None
     if state.exists:
         heads, seq, pending = state.get
-        streams.heads = [tuple(h) for h in heads]
+        totals = OpenTotals((tuple(h), True) for h in heads)
         record = pickle.loads(pending) if pending else None
     rows = pd.concat(list(batches)).sort_values(["block", "pos"])
-    out, seq, record = fold_frame(rows, streams, seq, record)
-    state.update(([list(h) for h in streams.heads], seq, pickle.dumps(record) if record else None))
+    out, seq, record = fold_frame(rows, totals, seq, record)
+    state.update(([list(t) for t in totals], seq, pickle.dumps(record) if record else None))
     yield out
 
 
