@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 
+from usagelens.llm import jaccard_join
 from usagelens.llm.common import FOLD_BYTES, table
 from usagelens.llm.exact_dedup import exact_duplicates, keep_one_copy
 from usagelens.llm.jaccard_join import jaccard_components, keep_one_of_each
 from usagelens.llm.substring_dedup import remove_repeats
 
-from .conftest import SF, awkward_rows
+from .conftest import SF, awkward_rows, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -103,6 +104,33 @@ def test_jaccard_with_frequent_tokens(spark):
         assert got == brute_components(rows), combined
 
 
+def brute_links(rows):
+    sets = {frozenset(shingles(text)) for _, text in rows} - {frozenset()}
+    n_links = {s: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in sets) for s in sets}
+    return sorted((doc_id, n_links.get(frozenset(shingles(text)), 0)) for doc_id, text in rows)
+
+
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    # Near copies of a hub that are similar to each other or not, chains whose ends differ, sizes across classes.
+    base = words(21, 130)
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for i in range(40):
+        text = base[: 118 + i % 13]
+        for at in range(i % 4):
+            text = text[: 9 + 31 * at + i % 3] + [f"u{i}x{at}"] + text[10 + 31 * at + i % 3 :]
+        rows.append((2 + i, " ".join(text)))
+    for i in range(12):
+        rows.append((100 + i, " ".join(words(22, 200)[5 * i : 5 * i + 70])))
+    rows += [(200, "a b c d e f"), (201, "a b c d e f"), (202, "lone text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    expected = brute_links(rows)
+    assert max(n for _, n in expected) > 20
+    for block in (256, 3):
+        monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+        got = jaccard_components(docs)
+        assert sorted((r.doc_id, r.n_links) for r in got.collect()) == expected, block
+
+
 def test_jaccard_on_documents(spark):
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -11,12 +11,17 @@ Candidate pairs that even their bit maps tell apart are dropped; the others are
 sets. In a few rounds every node is compared with one hub it shares most index keys with; then all pairs of different
 components that share a key. So a group of thousands of near copies costs a few stars, while no link between
 two components is lost.
+
+The links of every set are counted afterwards, as all of them are inside components: a component of more than
+two sets is dealt to blocks by size and hash, every two blocks that may hold similar sets are compared in one
+step, and only a count for each set leaves it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,12 @@ STAR_ROUNDS = 2
 #: sets under one key that are all looked at
 NEAR_SETS = 32
 
+#: sets and tokens of a block, two of which are compared at once
+BLOCK_SETS = 256
+BLOCK_TOKENS = 1 << 22
+#: tokens that are compared at once
+BLOCK_COLUMNS = 4096
+
 _RARE, _PAIR, _SINGLE, _SINGLE_BIG = range(4)
 
 
@@ -362,6 +373,118 @@ def components(links: DataFrame, seed: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def similar_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """For each set with how many others it is similar.
+
+    If ``left`` is less than their number, only pairs of one of the first ``left`` sets and one of the others count.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # tokens of one set are common to none
+    often = (held > 1)[column]
+    owner, column = np.repeat(np.arange(len(sets)), sizes)[often], (np.cumsum(held > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    alone = left == len(sets)
+    right = slice(0 if alone else left, None)
+    both = np.zeros((left, len(sizes[right])))
+    width = min(BLOCK_COLUMNS, int((held > 1).sum()))
+    for start in range(0, int((held > 1).sum()), BLOCK_COLUMNS):
+        begin, end = np.searchsorted(column, [start, start + width])
+        marks = np.zeros((len(sets), width), np.float32)
+        marks[owner[begin:end], column[begin:end] - start] = 1
+        both += marks[:left] @ marks[right].T
+    similar = (100 + PERCENT) * both >= PERCENT * (sizes[:left, None] + sizes[None, right])
+    if alone:
+        np.fill_diagonal(similar, False)
+        return similar.sum(axis=1)
+    return np.concatenate([similar.sum(axis=1), similar.sum(axis=0)])
+
+
+def link_counts(rows: DataFrame, labels: DataFrame, seed: DataFrame, sizes: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """node, n_links: with how many other sets each set of ``labels(node, label)`` is similar.
+
+    ``seed``: node, label (an id of the set); ``sizes``: node, n. Two sets of one component are linked. Those of
+    a larger one are dealt to blocks; a class of sizes, their number of binary digits, has as many as its count
+    asks for, by a hash of the set, and sets of classes further apart than one are not similar.
+    """
+    members = labels.groupBy("label").agg(F.count(F.lit(1)).alias("sets"))
+    counted = labels.join(members, "label")
+    two = counted.filter("sets = 2").select("node", F.lit(1).cast("long").alias("n_links"))
+    digits = F.length(F.bin(F.col("n").cast("long"))).alias("class")
+    many = reliable(counted.filter("sets > 2").join(sizes, "node").select("node", "label", digits))
+    if many.isEmpty():
+        return two
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.pow(F.lit(2.0), F.col("class")))))
+    classes = many.groupBy("label", "class").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("blocks"))
+    by_label = classes.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks"))
+
+    def blocks_of(distance: int):
+        return F.coalesce(F.try_element_at("blocks", F.col("class") + distance), F.lit(0))
+
+    def others(distance: int, group):
+        return F.transform(F.filter(F.sequence(F.lit(0), blocks_of(distance)), lambda j: j < blocks_of(distance)), group)
+
+    own = F.pmod(F.xxhash64("node"), blocks_of(0).cast("long")).cast("int")
+    known = F.col("class").cast("int")
+    with_own = others(
+        0,
+        lambda j: F.struct(
+            F.xxhash64("label", known, F.lit(0), F.least("own", j), F.greatest("own", j)).alias("group"),
+            F.when(j == F.col("own"), 0).when(F.col("own") < j, 1).otherwise(2).alias("side"),
+        ),
+    )
+    with_next = others(
+        1,
+        lambda j: F.struct(
+            F.xxhash64("label", known, F.lit(1), F.col("own"), j).alias("group"), F.lit(1).alias("side")
+        ),
+    )
+    with_last = others(
+        -1,
+        lambda j: F.struct(
+            F.xxhash64("label", known - 1, F.lit(1), j, F.col("own")).alias("group"), F.lit(2).alias("side")
+        ),
+    )
+    dealt = (
+        many.join(by_label, "label")
+        .withColumn("own", own)
+        .select("node", F.explode(F.concat(with_own, with_next, with_last)).alias("at"))
+        .select("node", "at.group", "at.side")
+    )
+    chosen = reliable(many.select("node").join(seed, "node").select(F.col("label").alias("doc_id")))
+    sets = node_sets(rows, chosen, size)
+    placed = dealt.join(sets, "node").repartition(tasks_for(rows), "group").sortWithinPartitions("group", "side")
+
+    def compare(held: dict[int, tuple[int, np.ndarray]]) -> np.ndarray:
+        sides = [side for side, _ in held.values()]
+        left = sum(side < 2 for side in sides)
+        if sides[0] and left in (0, len(sides)):
+            return np.zeros(len(sides), np.int64)  # the other block has no sets
+        return similar_counts([tokens for _, tokens in held.values()], left)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, done = {}, None, []
+        for batch in chain(batches, [None]):
+            if batch is None:
+                done += [(list(held), compare(held))] if held else []
+            else:
+                columns = (batch.column(c).to_pylist() for c in ("group", "side", "node", "tokens"))
+                for name, side, node, tokens in zip(*columns):
+                    if held and name != now:
+                        done.append((list(held), compare(held)))
+                        held = {}
+                    now = name
+                    held[node] = side, np.frombuffer(tokens, np.uint64)  # rows that repeat an id give a set twice
+            if done:
+                nodes, counts = (np.concatenate(column).astype(np.int64) for column in zip(*done))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts)], names=["node", "n_links"])
+                done = []
+
+    found = placed.select("group", "side", "node", "tokens").mapInArrow(count, "node long, n_links long")
+    return two.union(found.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -373,8 +496,7 @@ def jaccard_components(
     """doc_id, n_shingles, n_links, component_id for every row.
 
     Words are split at ASCII white space after lower-casing A-Z. ``component_id`` is the smallest id
-    reachable by links; ``n_links`` counts the other sets (not copies) with a verified link that was
-    needed, at least one for any set that has a partner. Texts without words, nulls among them, are
+    reachable by links; ``n_links`` counts the other sets (not copies) that are similar. Texts without words, nulls among them, are
     linked with nothing. Rows that repeat an id are separate rows of the join; rows with a null id are
     judged but never name a component. An empty table gives no rows.
 
@@ -410,9 +532,7 @@ def jaccard_components(
     links = rest if links is None else links.union(rest)
     final = labels if labels is not None and rest.isEmpty() else components(links, seed)
 
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(
-        F.count(F.lit(1)).alias("n_links")
-    )
+    degree = link_counts(rows, final, seed, maps.select("node", "n"), size)
     groups = classes.join(final.withColumnRenamed("label", "component"), "node", "left").join(degree, "node", "left")
     verdicts = groups.select(
         "node", F.coalesce("component", "label").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
