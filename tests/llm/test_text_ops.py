@@ -16,6 +16,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from usagelens.llm import toxicity
 from usagelens.llm.bpe import merge_pairs, merge_short, pair_table
 from usagelens.llm.byte_bpe import PieceEncoder, decode_ids, encode_texts, read_ranks, windows_of
 from usagelens.llm.common import FOLD_BYTES, table
@@ -142,6 +143,29 @@ def test_toxicity_on_documents(spark, awkward, nothing):
     assert unlabelled == ToxicityModel() and drop_toxic(awkward, unlabelled).count() == len(awkward_rows())
 
 
+def test_toxicity_folds_only_copies(spark):
+    from pyspark.sql import functions as F
+
+    # All share one long word; two copies differ in case and space, one text has both labels.
+    texts = [f"passageword text number{i}" for i in range(20)] + ["Passageword  text\nNUMBER3", "passageword text number4"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in (0, 4))) for i in range(22)], "doc_id long, toxic int")
+    got = toxicity._labelled(docs, labels, "toxic", F.lit(True), 12_000)
+    expected = [(t, int(i in (0, 4))) for i, t in enumerate(texts) if i != 20]
+    assert sorted(tuple(r) for r in got.select("text", "label").collect()) == sorted(expected)
+
+
+def test_toxicity_fit_uses_all_texts_in_any_order(spark):
+    rows = [(i % 2, [0] if i % 2 else [], 1 + i) for i in range(40)]
+    fits = []
+    for parts in (1, 7):
+        alike = spark.createDataFrame(rows, "votes int, hits array<int>, n long").repartition(parts)
+        weights, bias = toxicity._fit_logistic(alike, {0: 0.1, 1: 0.8}, 1)
+        fits.append((weights.tolist(), bias))
+    assert fits[0] == fits[1]
+    assert abs(fits[0][1] - math.log(0.1 / 0.9)) < 0.01 and abs(sum(fits[0][0]) + bias - math.log(0.8 / 0.2)) < 0.01
+
+
 def test_quality(spark, awkward, nothing):
     from pyspark.sql import functions as F
 

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import crc_bucket, tasks_for, text_rows
+from usagelens.llm.common import crc_bucket, reliable, tasks_for, text_rows
 
-#: labelled rows from which lexicons are taken, and texts on which the classifier is trained
+#: labelled rows from which lexicons are taken
 LABELLED_ROWS = 12_000
 #: features the classifier may use
 MAX_FEATURES = 400
@@ -115,12 +115,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, training: Colu
     share = min(1.0, bound / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # at most about ``bound`` rows of two numbers, whatever the table's size
-    sample = docs.filter(training).join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select("text", "label")
-    # Copies would make every word of a copied text look frequent: of texts with the same smallest hash
-    # over their long words, near copies mostly, one stays.
-    rare = F.array_min(F.transform(F.filter(F.split("text", "\\s+"), lambda w: F.length(w) > 8), lambda w: F.xxhash64(w)))
-    sample = sample.withColumn("near", F.coalesce(rare, F.xxhash64("text"))).repartition(tasks_for(docs), "near")
-    return sample.dropDuplicates(["near"]).drop("near")
+    sample = docs.filter(training).join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select("doc_id", "text", "label")
+    # Copies would make every word of a copied text look frequent: of texts that differ in case and white
+    # space only and have the same label, the one of smallest id stays.
+    digest = F.sha2(F.trim(F.regexp_replace(F.lower("text"), "\\s+", " ")), 256)
+    first = sample.groupBy(digest.alias("digest"), "label").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    return first.select("first.text", "label")
 
 
 def _induce_lexicons(sample: DataFrame, least: int = 4, purity: float = 0.97) -> dict[str, int]:
@@ -210,22 +210,48 @@ def fit_label_model(patterns: dict[int, int], voters: int, rounds: int = 60, sta
     return dict(zip(codes, q.tolist()))
 
 
-def _fit_logistic(rows: list[tuple[list[int], float, int]], n_features: int, ridge: float = 0.1, rounds: int = 12):
-    """Newton steps on soft labels of rows that stand for several texts; returns weights and bias."""
-    x = np.zeros((len(rows), n_features + 1))
-    x[:, n_features] = 1
-    for i, (on, _, _) in enumerate(rows):
-        x[i, on] = 1
-    y = np.array([p for _, p, _ in rows])
-    many = np.array([float(n) for _, _, n in rows])
-    w = np.zeros(n_features + 1)
-    penalty = np.full(n_features + 1, ridge)
+def _fit_logistic(
+    alike: DataFrame, posterior: dict[int, float], n_features: int, ridge: float = 0.1, rounds: int = 12
+) -> tuple[np.ndarray, float]:
+    """Newton steps on soft labels; returns weights and bias. ``alike``: votes, hits, n for texts that count ``n`` times.
+
+    Slope and curve are summed in Spark. Their terms are multiples of 2 ** -20, so the sums are the same in any order.
+    """
+    size = n_features + 1
+    w = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[n_features] = 1e-6
+
+    def partial(w: np.ndarray):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((size + 1, size))  # the slope below the curve
+            for batch in batches:
+                x = np.zeros((batch.num_rows, size))
+                x[:, n_features] = 1
+                for i, on in enumerate(batch.column("hits").to_pylist()):
+                    x[i, on] = 1
+                y = np.array([posterior[v] for v in batch.column("votes").to_pylist()])
+                many = np.array(batch.column("n").to_pylist(), float)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                bent, off = (np.round(many * v * 2**20) / 2**20 for v in (np.maximum(p * (1 - p), 1e-6), p - y))
+                total[:size] += (x * bent[:, None]).T @ x
+                total[size] += x.T @ off
+            flat = total.ravel()
+            cells = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(flat[cells])], names=["cell", "value"])
+
+        return add
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (many * (p - y)) + penalty * w
-        curve = (x * (many * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        w -= np.linalg.solve(curve, slope)
+        sums = alike.mapInArrow(partial(w), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        total = np.zeros((size + 1) * size)
+        for row in sums.collect():  # at most (MAX_FEATURES + 2) squared
+            total[row["cell"]] = row["value"]
+        total = total.reshape(size + 1, size)
+        step = np.linalg.solve(total[:size] + np.diag(penalty), total[size] + penalty * w)
+        w = w - step
+        if np.abs(step).max() < 1e-7:
+            break
     return w[:n_features], float(w[n_features])
 
 
@@ -239,8 +265,8 @@ def train_toxicity(
 ) -> ToxicityModel:
     """A model learnt from rows outside the held-out fold (crc32 of the id as text, modulo 4, is 2).
 
-    Votes are counted over all training texts; only the lexicons and the classifier come from samples,
-    bounded by ``labelled_rows``. Without a toxic labelled row every score is 0. Null labels, null ids and
+    Votes are counted over all training texts and the classifier is fitted on all of them; only the lexicons come
+    from a sample, bounded by ``labelled_rows``. Without a toxic labelled row every score is 0. Null labels, null ids and
     labels of absent documents are ignored; of several labels of one id the largest counts.
     """
     rows = text_rows(docs, id_col, text_col)
@@ -264,19 +290,14 @@ def train_toxicity(
                 names=["votes", "hits"],
             )
 
-    pick, schema = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "votes int, hits array<int>"
-    cast = rows.filter(training).select("text").mapInArrow(vote, schema)
+    cast = rows.filter(training).select("text").mapInArrow(vote, "votes int, hits array<int>")
+    # Texts with the same features are one row.
+    alike = reliable(cast.groupBy("votes", "hits").agg(F.count(F.lit(1)).alias("n")))
     # Vote patterns: at most 2 ** voters of them.
-    counted = {row["votes"]: row["n"] for row in cast.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {row["votes"]: row["n"] for row in alike.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     posterior = fit_label_model(counted, _VOTERS)
-    share = min(1.0, labelled_rows / max(1, sum(counted.values())))
-    # The classifier's rows: a sample bounded like the labelled one; texts with the same features are one row.
-    picked = rows.filter(training & (pick < int(share * 1_000_000))).select("text").mapInArrow(vote, schema)
-    alike = picked.groupBy("votes", "hits").agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "hits").collect()
-    rows_in = [(list(row["hits"]), posterior[row["votes"]], row["n"]) for row in alike]
-    if not rows_in:
-        return ToxicityModel()
-    weights, bias = _fit_logistic(rows_in, len(names))
+    parts = min(tasks_for(docs), 4 + alike.count() // 20_000)
+    weights, bias = _fit_logistic(alike.coalesce(parts), posterior, len(names))
     return ToxicityModel(voter_of, posterior, dict(zip(names, weights.tolist())), bias)
 
 
