@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-from usagelens.llm import jaccard_join
+from usagelens.llm import jaccard_join, substring_dedup
 from usagelens.llm.common import FOLD_BYTES, table
 from usagelens.llm.exact_dedup import exact_duplicates, keep_one_copy
 from usagelens.llm.jaccard_join import jaccard_components, keep_one_of_each
+from usagelens.llm.shingles import run_hashes, word_hashes
 from usagelens.llm.substring_dedup import remove_repeats
 
 from .conftest import SF, awkward_rows, words
@@ -179,3 +180,21 @@ def test_substring_on_documents(spark):
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert removal_rows(remove_repeats(docs)) == brute_removal(rows)
+
+
+def test_substring_splits_a_hot_anchor(spark, monkeypatch):
+    # A stretch of eight words in other surroundings in every document is the anchor of 43 windows in each.
+    some = words(31, 20_000)
+    hashes, _ = word_hashes([" ".join(some).encode()])
+    at = int(run_hashes(hashes, 8).argmin())
+    rows = [(i, " ".join(words(500 + 2 * i, 60) + some[at : at + 8] + words(501 + 2 * i, 60))) for i in range(120)]
+    rows += [(200, rows[3][1]), (201, rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substring_dedup, "GROUP_LEAVES", 2_000)
+    known = docs.selectExpr("doc_id", "cast(text AS binary) AS text")
+    sizes = {}
+    for part, held in substring_dedup.subtrees(known, 50, 8).select("part", "docs").collect():
+        if part >= 0:
+            sizes[part] = sizes.get(part, 0) + len(held) // 8
+    assert sum(sizes.values()) > 5_000 and max(sizes.values()) < 1_000
+    assert removal_rows(remove_repeats(docs)) == brute_removal(rows)

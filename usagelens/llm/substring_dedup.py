@@ -10,7 +10,8 @@ neighbouring suffixes mostly share theirs.
    and settles what it can: of a node's documents all but the first lose the window. Only the leaves of
    the node's first document go on to the anchor's group, so a passage that a third of all documents share
    is one node a task there.
-3. Groups, as many as there are shuffle tasks, merge the subtrees below their anchors in the same way.
+3. Groups merge the subtrees below their anchors in the same way. There are as many as the count of suffixes
+   asks for, and an anchor with too many of them is split further by the paths, each piece a group of its own.
 4. Every document loses the words its windows cover.
 
 Paths are compared by 64-bit fingerprints of the window's words.
@@ -27,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import tasks_for, text_rows
+from usagelens.llm.common import reliable, tasks_for, text_rows
 from usagelens.llm.shingles import _BASE, _INVERSE, _MIX_A, _mix, run_hashes, slices, word_hashes
 
 WINDOW = 50
 ANCHOR = 8
 #: suffixes that a task sorts at once
 TASK_SUFFIXES = 2_000_000
+#: suffixes of a group, of which a group has half on average; an anchor with more than a quarter is split
+GROUP_LEAVES = 2_000_000
+#: an anchor with fewer suffixes is never split
+WHOLE_ANCHOR = 1_000
 
 
 def _paths(words: np.ndarray, window: int) -> np.ndarray:
@@ -69,22 +74,52 @@ def _documents(batch_rows: Iterator[tuple], window: int):
 
 
 def document_anchors(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, anchor: the distinct anchors of every document."""
+    """doc_id, anchor, leaves: the distinct anchors of every document and the windows that have them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
+            ids, found, many = [], [], []
             pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             for (doc_id,), words in _documents(pairs, window):
-                own = np.unique(_anchors(words, window, anchor))
+                own, leaves = np.unique(_anchors(words, window, anchor), return_counts=True)
+                many.append(leaves.astype(np.int64))
                 ids.append(np.full(len(own), doc_id, np.int64))
                 found.append(own)
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "anchor"]
+                    [pa.array(np.concatenate(c)) for c in (ids, [own.view(np.int64) for own in found], many)],
+                    names=["doc_id", "anchor", "leaves"],
                 )
 
-    return rows.mapInArrow(find, "doc_id long, anchor long")
+    return rows.mapInArrow(find, "doc_id long, anchor long, leaves long")
+
+
+def split_anchors(shared: DataFrame, parts: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of groups; the anchors to split, sorted, with their first piece's group and number of pieces.
+
+    ``shared``: anchor, leaves. At most about as many anchors are split as there are groups.
+    """
+    total = shared.agg(F.sum("leaves")).first()[0] or 0
+    groups = max(parts, -(-2 * total // GROUP_LEAVES))
+    room = max(1, min(GROUP_LEAVES // 4, max(WHOLE_ANCHOR, total // groups)))
+    hot = shared.filter(F.col("leaves") > room).collect()
+    anchors = np.array([row["anchor"] for row in hot], np.int64).view(np.uint64)
+    pieces = np.array([-(-row["leaves"] // room) for row in hot], np.int64)
+    order = np.argsort(anchors)
+    anchors, pieces = anchors[order], pieces[order]
+    return groups, anchors, groups + np.cumsum(pieces) - pieces, pieces
+
+
+def _groups_of(anchors: np.ndarray, paths: np.ndarray, split: tuple) -> np.ndarray:
+    """The group of every leaf; leaves of one path have one group."""
+    groups, hot, first, pieces = split
+    out = (anchors % np.uint64(groups)).astype(np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)
+        often = hot[at] == anchors
+        at = at[often]
+        out[often] = first[at] + (paths[often] % pieces[at].astype(np.uint64)).astype(np.int64)
+    return out
 
 
 def _first_document(paths: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -101,11 +136,12 @@ def _first_document(paths: np.ndarray, docs: np.ndarray) -> np.ndarray:
 _LEAVES = "part int, paths binary, docs binary, places binary"
 
 
-def local_subtrees(candidates: DataFrame, parts: int, window: int, anchor: int, held: int = TASK_SUFFIXES) -> DataFrame:
-    """The leaves that still have to be merged, by part, and under parts from ``parts`` on what is settled.
+def local_subtrees(candidates: DataFrame, split: tuple, window: int, anchor: int, held: int = TASK_SUFFIXES) -> DataFrame:
+    """The leaves that still have to be merged, by part, and under negative parts what is settled.
 
-    ``candidates``: doc_id, text (binary), anchors (the document's anchors that other documents have).
+    ``candidates``: doc_id, text (binary), anchors (the document's anchors that other documents have). ``split``: see ``split_anchors``.
     """
+    known = candidates.sparkSession.sparkContext.broadcast(split)  # about as many anchors as groups
 
     def leaves(part: int, paths: np.ndarray, docs: np.ndarray, places: np.ndarray) -> dict:
         return {"part": part, "paths": paths.tobytes(), "docs": docs.tobytes(), "places": places.tobytes()}
@@ -113,14 +149,14 @@ def local_subtrees(candidates: DataFrame, parts: int, window: int, anchor: int,
     def settle(held_now: list[tuple]) -> pa.RecordBatch:
         paths, anchors, docs, places = (np.concatenate(column) for column in zip(*held_now))
         first = _first_document(paths, docs) == docs
-        group = (anchors % np.uint64(parts)).astype(np.int64)
+        group = _groups_of(anchors, paths, known.value)
         rows = []
         for part in np.unique(group[first]).tolist():
             at = np.flatnonzero(first & (group == part))
             rows.append(leaves(part, paths[at], docs[at], places[at]))
         at = np.flatnonzero(~first)
         if len(at):
-            rows.append(leaves(parts + int(docs[0] % parts), paths[:0], docs[at], places[at]))
+            rows.append(leaves(-1 - int(docs[0] % known.value[0]), paths[:0], docs[at], places[at]))
         schema = pa.schema([("part", pa.int32()), ("paths", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -142,13 +178,26 @@ def local_subtrees(candidates: DataFrame, parts: int, window: int, anchor: int,
     return candidates.mapInArrow(build, _LEAVES)
 
 
-def merge_subtrees(leaves: DataFrame, parts: int) -> DataFrame:
+def subtrees(known: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The leaves of ``local_subtrees`` over rows of doc_id and text (binary)."""
+    anchors = document_anchors(known, window, anchor)
+    shared = anchors.groupBy("anchor").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("leaves").alias("leaves")
+    )
+    shared = reliable(shared.filter("least < most").select("anchor", "leaves"))
+    found = anchors.select("doc_id", "anchor").join(shared.select("anchor"), "anchor")
+    by_doc = found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    candidates = known.join(by_doc, "doc_id").select("doc_id", "anchors", "text")
+    return local_subtrees(candidates, split_anchors(shared, tasks_for(known)), window, anchor)
+
+
+def merge_subtrees(leaves: DataFrame) -> DataFrame:
     """doc_id, places (starts of windows to remove as unsigned 32-bit integers) from each group."""
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         docs = np.frombuffer(b"".join(rows["docs"]), np.int64)
         places = np.frombuffer(b"".join(rows["places"]), np.uint32)
-        if key[0] < parts:
+        if key[0] >= 0:
             paths = np.frombuffer(b"".join(rows["paths"]), np.uint64)
             gone = _first_document(paths, docs) != docs
             docs, places = docs[gone], places[gone]
@@ -181,13 +230,8 @@ def remove_repeats(
     base = text_rows(docs, id_col, text_col)
     rows = base.withColumn("text", base["text"].cast("binary"))
     known = rows.filter("doc_id IS NOT NULL")
-    anchors = document_anchors(known, window, anchor)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = shared.filter("least < most").select("anchor")
-    by_doc = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    parts = tasks_for(docs)
-    leaves = local_subtrees(known.join(by_doc, "doc_id").select("doc_id", "anchors", "text"), parts, window, anchor)
-    gone = merge_subtrees(leaves, parts).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    leaves = subtrees(known, window, anchor)
+    gone = merge_subtrees(leaves).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
