@@ -7,16 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.llm.byte_bpe import decode_ids, encode_texts, read_ranks
+from usagelens.llm.centroid_clustering import cluster_vectors
 from usagelens.llm.common import QueryFn, table
 from usagelens.llm.decontaminate import find_leaks
 from usagelens.llm.exact_dedup import exact_duplicates
 from usagelens.llm.jaccard_join import jaccard_components
 from usagelens.llm.language_model import score_language_model
 from usagelens.llm.quality import score_quality, train_quality
+from usagelens.llm.simhash import simhash_components
 from usagelens.llm.substring_dedup import remove_repeats
 from usagelens.llm.token_counts import count_tokens, read_pieces
 from usagelens.llm.toxicity import score_toxicity, train_toxicity
 from usagelens.llm.url_filter import Rule, judge_urls, train_url_model
+from usagelens.llm.vector_codes import encode_vectors
+from usagelens.llm.vector_sql import cluster_sql, codes_sql
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -155,3 +159,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_model")
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language_model(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op12_centroid_clustering", cluster_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_vector_codes", codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
