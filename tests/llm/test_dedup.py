@@ -132,6 +132,21 @@ def test_jaccard_counts_all_links(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_links) for r in got.collect()) == expected, block
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    """A chain whose middle has no id, with copies of it, and a pair without any id."""
+    base = words(31, 100)
+    rows = [
+        (1, " ".join(base)), (None, " ".join(base[:88] + ["n"])), (None, " ".join(base[:88] + ["n"])), (2, " ".join(base[:76])),
+        (None, " ".join(words(32, 80))), (None, " ".join(words(32, 80)[:78])), (9, "alone"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = jaccard_components(docs)
+    assert as_rows(got) == brute_components(rows)
+    links = brute_links([(str(i), t) for i, t in rows])
+    assert sorted((str(r.doc_id), r.n_links) for r in got.collect()) == links
+    assert {r.component_id for r in got.filter("doc_id IN (1, 2)").collect()} == {1}
+
+
 def test_jaccard_on_documents(spark):
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -28,8 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import BROADCAST_IDS, FOLD_BYTES, keep_rows, reliable, tasks_for, text_rows
+from usagelens.llm.common import BROADCAST_IDS, FOLD_BYTES, keep_rows, tasks_for, text_rows
+from usagelens.llm.components import connected
+from usagelens.llm.scratch import Scratch
 from usagelens.llm.shingles import shingle_sets, slices
+from usagelens.operators.skew import salted_join
 
 SHINGLE = 5
 #: similar from 100 * intersection >= PERCENT * union on
@@ -145,7 +148,7 @@ def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_
     counted = rows.mapInArrow(count, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     found = counted.filter(F.col("seen") > least).orderBy(F.desc("seen"), "token").limit(room)
     # most frequent first, so the rank from the end is the place in the order: rarer ones come earlier
-    tokens = np.array([row["token"] for row in found.select("token").collect()], np.int64).view(np.uint64)
+    tokens = found.select("token").toArrow().column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], (len(tokens) - order).astype(np.int64)
 
@@ -282,15 +285,14 @@ def _key_pairs(entries: DataFrame) -> DataFrame:
     return left.join(right, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _open_keys(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Entries of the keys that sets of more than one component have, with their component.
+def _open_keys(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Entries of the keys that sets of more than one component have, with the root of their component.
 
-    Without ``labels`` every node is a component of its own.
+    A node that ``roots(node, root)`` hasn't is a component of its own.
     """
-    if labels is None:
+    if roots is None:
         return entries.withColumn("label", F.col("node"))
-    known = labels.select("node", F.xxhash64("label").alias("label"))  # apart from nodes, which are hashes too
-    labelled = entries.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     by_key = Window.partitionBy("key")
     return (
         labelled.withColumn("least", F.min("label").over(by_key))
@@ -313,10 +315,12 @@ def _may_be_similar(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return second.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def node_sets(rows: DataFrame, members: DataFrame, size: int = SHINGLE, room: int = BROADCAST_IDS) -> DataFrame:
-    """node, tokens (sorted 64-bit hashes as binary) of the documents in ``members(doc_id)``.
+def node_sets(rows: DataFrame, seed: DataFrame, needed: DataFrame, size: int = SHINGLE, room: int = BROADCAST_IDS) -> DataFrame:
+    """node, tokens (sorted 64-bit hashes as binary) of the nodes in ``needed(node)``.
 
-    Few members, by count, are sent to all tasks; else texts and members are shuffled together.
+    ``seed``: node, label (an id of a document with that set, null if none has one). The texts of these ids are read
+    again; sets without an id are found among the rows of a null id. Few ids, by count, are sent to all tasks; else
+    texts and ids are shuffled together.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +329,18 @@ def node_sets(rows: DataFrame, members: DataFrame, size: int = SHINGLE, room: in
                 [pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"]
             )
 
-    wanted = F.broadcast(members) if members.limit(room + 1).count() <= room else members
+    members = needed.join(seed, "node")
+    ids = members.filter("label IS NOT NULL").select(F.col("label").alias("doc_id"))
+    wanted = F.broadcast(ids) if ids.limit(room + 1).count() <= room else ids
     chosen = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(collect, "node long, tokens binary")
+    found = chosen.mapInArrow(collect, "node long, tokens binary")
+    nameless = members.filter("label IS NULL").select("node")
+    if nameless.isEmpty():
+        return found
+    others = rows.filter("doc_id IS NULL").select("doc_id", "text").mapInArrow(collect, "node long, tokens binary")
+    # many rows may share a set
+    one_each = others.join(nameless, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens"))
+    return found.unionByName(one_each)
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,32 +360,6 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return second.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(links: DataFrame, seed: DataFrame) -> DataFrame:
-    """node, label for every node of ``links(a, b)``: the least ``seed`` label of its component.
-
-    Every round a node takes the least label among its neighbours', then the label that its label's own
-    node has; rounds end when nothing changes. ``seed``: node, label, with one node per label.
-    """
-    # Shuffled joins: of many small rounds the driver would hold every broadcast table.
-    both = reliable(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    labels = reliable(nodes.join(seed.hint("merge"), "node").select("node", "label", F.col("label").alias("own")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near.hint("merge"), labels["node"] == near["a"]).select(
-            "node", "own", "label", F.least("label", "near").alias("next")
-        )
-        roots = stepped.select(F.col("own").alias("root"), F.col("next").alias("root_next"))
-        jumped = stepped.join(roots.hint("merge"), stepped["next"] == roots["root"], "left").select(
-            "node", F.least("next", F.coalesce("root_next", "next")).alias("label"), "own",
-            (F.col("label") != F.least("next", F.coalesce("root_next", "next"))).alias("moved"),
-        )
-        jumped = reliable(jumped)
-        labels = jumped.drop("moved")
-        if jumped.filter("moved").isEmpty():
-            return labels.select("node", "label")
-
-
 def similar_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
     """For each set with how many others it is similar.
 
@@ -401,10 +388,12 @@ def similar_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
     return np.concatenate([similar.sum(axis=1), similar.sum(axis=0)])
 
 
-def link_counts(rows: DataFrame, labels: DataFrame, seed: DataFrame, sizes: DataFrame, size: int = SHINGLE) -> DataFrame:
+def link_counts(
+    rows: DataFrame, labels: DataFrame, seed: DataFrame, sizes: DataFrame, scratch: Scratch, size: int = SHINGLE
+) -> DataFrame:
     """node, n_links: with how many other sets each set of ``labels(node, label)`` is similar.
 
-    ``seed``: node, label (an id of the set); ``sizes``: node, n. Two sets of one component are linked. Those of
+    ``seed``: node, label (an id of the set, or null); ``sizes``: node, n. Two sets of one component are linked. Those of
     a larger one are dealt to blocks; a class of sizes, their number of binary digits, has as many as its count
     asks for, by a hash of the set, and sets of classes further apart than one are not similar.
     """
@@ -412,7 +401,7 @@ def link_counts(rows: DataFrame, labels: DataFrame, seed: DataFrame, sizes: Data
     counted = labels.join(members, "label")
     two = counted.filter("sets = 2").select("node", F.lit(1).cast("long").alias("n_links"))
     digits = F.length(F.bin(F.col("n").cast("long"))).alias("class")
-    many = reliable(counted.filter("sets > 2").join(sizes, "node").select("node", "label", digits))
+    many = scratch.save(counted.filter("sets > 2").join(sizes, "node").select("node", "label", digits), "many")
     if many.isEmpty():
         return two
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.pow(F.lit(2.0), F.col("class")))))
@@ -452,8 +441,7 @@ def link_counts(rows: DataFrame, labels: DataFrame, seed: DataFrame, sizes: Data
         .select("node", F.explode(F.concat(with_own, with_next, with_last)).alias("at"))
         .select("node", "at.group", "at.side")
     )
-    chosen = reliable(many.select("node").join(seed, "node").select(F.col("label").alias("doc_id")))
-    sets = node_sets(rows, chosen, size)
+    sets = node_sets(rows, seed, many.select("node"), size)
     placed = dealt.join(sets, "node").repartition(tasks_for(rows), "group").sortWithinPartitions("group", "side")
 
     def compare(held: dict[int, tuple[int, np.ndarray]]) -> np.ndarray:
@@ -497,47 +485,51 @@ def jaccard_components(
 
     Words are split at ASCII white space after lower-casing A-Z. ``component_id`` is the smallest id
     reachable by links; ``n_links`` counts the other sets (not copies) that are similar. Texts without words, nulls among them, are
-    linked with nothing. Rows that repeat an id are separate rows of the join; rows with a null id are
-    judged but never name a component. An empty table gives no rows.
+    linked with nothing. Rows that repeat an id are separate rows of the join; rows with a null id link others
+    like any row, but never name a component: it is null where all its rows have none. An empty table gives no rows.
 
     Shingles and sets are compared as 64-bit hashes.
     """
+    scratch = Scratch(docs.sparkSession)
     base = text_rows(docs, id_col, text_col)
     rows = base.withColumn("text", base["text"].cast("binary"))
-    nodes = reliable(set_nodes(rows, size))
-    classes = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("label"))
-    maps = nodes.select("node", "n", "map").dropDuplicates(["node"])
+    nodes = scratch.save(set_nodes(rows, size), "nodes")
+    facts = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("label"), F.min("n").alias("n"), F.min("map").alias("map"))
+    facts = scratch.save(facts, "sets")
+    seed, maps = facts.select("node", "label"), facts.select("node", "n", "map")
     frequent = frequent_tokens(rows, size, frequent_from)
-    entries = reliable(index_entries(rows, frequent, size, combined))
-
-    seed = classes.filter("label IS NOT NULL")
+    entries = scratch.save(index_entries(rows, frequent, size, combined), "entries")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        members = reliable(needed.join(seed, "node").select(F.col("label").alias("doc_id")))
-        return reliable(verify_pairs(pairs, reliable(node_sets(rows, members, size))))
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        likely = scratch.save(_may_be_similar(pairs, maps), f"likely-{name}")
+        needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        return scratch.save(verify_pairs(likely, node_sets(rows, seed, needed, size)), f"links-{name}")
 
     # Stars: each round joins components; what they leave apart is compared pair by pair.
-    links = labels = tried = None
-    for _ in range(STAR_ROUNDS):
-        pairs = reliable(_hub_pairs(_open_keys(entries, labels), tried))
-        new = verified(reliable(_may_be_similar(pairs, maps)))
+    links = roots = tried = None
+    for turn in range(STAR_ROUNDS):
+        pairs = scratch.save(_hub_pairs(_open_keys(entries, roots), tried), f"pairs-{turn}")
+        new = verified(pairs, str(turn))
         tried = pairs if tried is None else tried.union(pairs)
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
-        labels = reliable(components(links, seed))
-    across = _key_pairs(_open_keys(entries, labels)).join(tried, ["a", "b"], "left_anti")
-    rest = verified(reliable(_may_be_similar(across, maps)))
-    links = rest if links is None else links.union(rest)
-    final = labels if labels is not None and rest.isEmpty() else components(links, seed)
-
-    degree = link_counts(rows, final, seed, maps.select("node", "n"), size)
-    groups = classes.join(final.withColumnRenamed("label", "component"), "node", "left").join(degree, "node", "left")
+        roots = connected(links, scratch, f"components-{turn}")
+    across = _key_pairs(_open_keys(entries, roots)).join(tried, ["a", "b"], "left_anti")
+    rest = verified(across, "rest")
+    if not rest.isEmpty():
+        roots = connected(rest if links is None else links.union(rest), scratch)
+    if roots is None:
+        roots = rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    named = roots.join(seed, "node").groupBy("root").agg(F.min("label").alias("component"))
+
+    degree = link_counts(rows, roots.withColumnRenamed("root", "label"), seed, maps.select("node", "n"), scratch, size)
+    groups = seed.join(roots, "node", "left").join(named, "root", "left").join(degree, "node", "left")
     verdicts = groups.select(
         "node", F.coalesce("component", "label").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    return nodes.join(verdicts, "node", "left").select(
+    # many rows may share a set
+    return salted_join(nodes.select("doc_id", "node", "n"), verdicts, ["node"], "left", "doc_id").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
