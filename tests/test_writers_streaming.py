@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from usagelens.operators import rollup
 from usagelens.operators.dedup import dedup_events, merge_upsert
 from usagelens.plans import views
-from usagelens.sources import files, rollouts, transcripts, writers
+from usagelens.sources import files, transcripts, writers
 from usagelens.streaming import jobs, stateful
 from usagelens.schema import EVENT_SCHEMA, as_events
 
@@ -196,32 +196,10 @@ def test_stream_alert_edges(spark, tmp_path):
     assert [r["notify"] for r in out.orderBy("round").collect()] == [True, False, True, False, True]
 
 
-def test_stream_fold_equals_batch(spark, tmp_path, make_lines):
-    from tests_support import rollout_records
-
-    lines = make_lines("codex", {f"/s/f{i}.jsonl": rollout_records(i) for i in range(3)})
-    rows = rollouts.fold_input(rollouts.annotated(rollouts.records(lines)))
-    stream = source(spark, tmp_path, "fold", rows.orderBy("path", "pos").coalesce(1))
-    got = run_memory(spark, stateful.stream_codex_fold(stream), "fld").orderBy("path", "pos").collect()
-    batch = rollouts.folded(lines).orderBy("path", "pos").collect()
-    assert got == batch and len(batch) > 6
-
-
-def test_stream_fold_goes_on_from_its_state(spark, tmp_path, make_lines):
-    from tests_support import rollout_records
-
-    lines = make_lines("codex", {"/s/f.jsonl": rollout_records(1)})
-    rows = rollouts.fold_input(rollouts.annotated(rollouts.records(lines))).orderBy("path", "pos")
-    # the second batch begins with the repeat of the last total of the first one
-    middle = sorted(r["pos"] for r in rows.filter("kind = 'count'").collect())[1]
-    stream = source(spark, tmp_path, "fold2", rows.filter(F.col("pos") <= middle).coalesce(1))
-    source(spark, tmp_path, "fold2", rows.filter(F.col("pos") > middle).coalesce(1))
-    got = run_memory(spark, stateful.stream_codex_fold(stream), "fld2").orderBy("path", "pos").collect()
-    assert got == rollouts.folded(lines).orderBy("path", "pos").collect()
-
-
 def test_stream_pair_latency_and_ledgers(spark, tmp_path):
-    sent = spark.createDataFrame([("/f", "r1", 1000), ("/f", "r2", 1000)], "path string, ref string, sent_ms long")
+    # the last send before the reply counts
+    sent = spark.createDataFrame([("/f", "r1", 500), ("/f", "r1", 1000), ("/f", "r1", 4000), ("/f", "r2", 1000)],
+                                 "path string, ref string, sent_ms long")
     got = spark.createDataFrame([("/f", "r1", "k1", 3000), ("/f", "r2", "k2", 2_000_000)],
                                 "path string, ref string, dedup_key string, ts_ms long")
     pairs = stateful.stream_pair_latency(source(spark, tmp_path, "q", sent), source(spark, tmp_path, "a", got))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +11,7 @@ from usagelens.functions.names import sanitize_name
 from usagelens.functions.predicates import utc_window
 from usagelens.functions.times import utc_day, utc_day_offset
 from usagelens.operators.rank import global_rank
+from usagelens.operators.spaced import spaced
 
 
 def rank_players(players: DataFrame, metric: str) -> DataFrame:
@@ -169,38 +167,13 @@ def validate_reports(reports: DataFrame, now_ms: Column | int) -> DataFrame:
     return reports.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
-def throttle_rows(
-    batches: Iterator[pd.DataFrame], gap_ms: int = fixed.THROTTLE_MS
-) -> Iterator[pd.DataFrame]:
-    """Keep reports at least ``gap_ms`` after the last kept one of their id.
-
-    Batches arrive sorted by (id, received_ms); only the last kept instant is carried along.
-    """
-    current, last_kept = None, None
-    for batch in batches:
-        keep = []
-        for player, at in zip(batch["id"].tolist(), batch["received_ms"].tolist()):
-            if player != current:
-                current, last_kept = player, None
-            kept = last_kept is None or at - last_kept >= gap_ms
-            if kept:
-                last_kept = at
-            keep.append(kept)
-        yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
-
-
 def throttle(reports: DataFrame, gap_ms: int = fixed.THROTTLE_MS) -> DataFrame:
-    """At most one report per id and gap.
+    """At most one report per id and gap: the first, then the first one a gap or more after the last kept one.
 
-    Equal instants fold first; then the fold streams over each id in time order and holds one
-    instant, so an id with very many reports needs no memory.
+    Of reports at one instant the one of smallest ``ord`` counts. An id with very many reports spreads over time slices.
     """
     times = reports.groupBy("id", "received_ms").agg(F.min("ord").alias("ord"))
-    kept = (
-        times.repartition("id")
-        .sortWithinPartitions("id", "received_ms")
-        .mapInPandas(lambda it: throttle_rows(it, gap_ms), "id string, received_ms long, ord long")
-    )
+    kept = spaced(times, ["id"], "received_ms", gap_ms).join(times, ["id", "received_ms"])
     return reports.join(kept.select("id", "ord"), ["id", "ord"], "left_semi")
 
 

@@ -10,6 +10,7 @@ from usagelens import fixed
 from usagelens.functions.predicates import since
 from usagelens.functions.times import day_start_ms, local_day
 from usagelens.operators.skew import running, salted_join
+from usagelens.operators.spaced import spaced
 from usagelens.schema import BILLED_COLUMNS
 
 
@@ -62,19 +63,19 @@ def anchored_blocks(
     events: DataFrame,
     now_ms: int,
     width_ms: int = 5 * fixed.HOUR_MS,
-    lookback_ms: int = 36 * fixed.HOUR_MS,
+    lookback_ms: int | None = None,
     tool: str = "claude-code",
 ) -> DataFrame:
     """Usage of the blocks that are open at ``now``; one row.
 
     Inside a session a block starts at its first event and the next one at the first event at
-    least ``width_ms`` later. A start follows from the one before, and the lookback holds only
-    ``lookback / width`` of them, so each round finds the next start of every session by an
-    aggregate. Rows are folded to (session, instant) first; sessions are salted, so no round
-    gathers a session in one task.
+    least ``width_ms`` later, whatever the session's age; with ``lookback_ms`` older events are not
+    looked at, which moves the starts of sessions that began before. Rows are folded to (session,
+    instant) first.
     """
+    recent = events if lookback_ms is None else since(events, now_ms - lookback_ms)
     rows = (
-        since(events, now_ms - lookback_ms)
+        recent
         .filter(F.col("tool") == tool)
         # rows without a session form one group
         .groupBy(
@@ -82,16 +83,7 @@ def anchored_blocks(
         )
         .agg(F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("calls"))
     )
-    start = rows.groupBy("session_id").agg(F.min("ts_ms").alias("start_ms"))
-    starts = start
-    for _ in range(-(-lookback_ms // width_ms) - 1):
-        start = (
-            salted_join(rows, start, ["session_id"], spread_by="ts_ms")
-            .filter(F.col("ts_ms") >= F.col("start_ms") + width_ms)
-            .groupBy("session_id")
-            .agg(F.min("ts_ms").alias("start_ms"))
-        )
-        starts = starts.unionByName(start)
+    starts = spaced(rows, ["session_id"], "ts_ms", width_ms).withColumnRenamed("ts_ms", "start_ms")
     # blocks do not overlap: at most one per session is open
     is_open = (F.col("start_ms") <= now_ms) & (F.col("start_ms") > now_ms - width_ms)
     open_blocks = starts.filter(is_open)

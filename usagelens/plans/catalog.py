@@ -8,6 +8,7 @@ from usagelens.plans import (  # noqa: F401 - importing registers the queries
     dedup_queries,
     function_queries,
     source_queries,
+    stream_queries,
     usage_queries,
 )
 from usagelens.plans.registry import ORACLE, QUERIES

@@ -475,6 +475,24 @@ H5, H36 = 18_000_000, 129_600_000
 
 @query(
     "anchored_blocks",
+    f"""WITH RECURSIVE r AS (SELECT coalesce(session_id, '') AS s, ts_ms, total_tokens FROM usage_events
+      WHERE tool = 'claude-code'),
+    b AS (SELECT s, min(ts_ms) AS st FROM r GROUP BY s
+      UNION ALL
+      SELECT b.s, (SELECT min(r.ts_ms) FROM r WHERE r.s = b.s AND r.ts_ms >= b.st + {H5}) AS st
+      FROM b WHERE EXISTS (SELECT 1 FROM r WHERE r.s = b.s AND r.ts_ms >= b.st + {H5})),
+    o AS (SELECT * FROM b WHERE st <= {NOW_MS} AND {NOW_MS} < st + {H5}),
+    t AS (SELECT CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS window_tokens, count(*) AS window_calls, min(st) AS window_start
+      FROM r JOIN o ON r.s = o.s AND r.ts_ms >= o.st AND r.ts_ms < o.st + {H5})
+    SELECT window_start IS NOT NULL AS active, window_tokens, window_calls, window_start,
+      window_start + {H5} AS window_ends_at FROM t""",
+)
+def _(spark, d):
+    return sequence.anchored_blocks(v.usage_events(spark, d), NOW_MS)
+
+
+@query(
+    "anchored_blocks_36h",
     f"""WITH RECURSIVE r AS (SELECT coalesce(session_id, '') AS s, ts_ms, total_tokens FROM usage_events
       WHERE tool = 'claude-code' AND ts_ms >= {NOW_MS - H36}),
     b AS (SELECT s, min(ts_ms) AS st FROM r GROUP BY s
@@ -488,7 +506,7 @@ H5, H36 = 18_000_000, 129_600_000
       window_start + {H5} AS window_ends_at FROM t""",
 )
 def _(spark, d):
-    return sequence.anchored_blocks(v.usage_events(spark, d, NOW_MS - H36), NOW_MS)
+    return sequence.anchored_blocks(v.usage_events(spark, d, NOW_MS - H36), NOW_MS, lookback_ms=H36)
 
 
 @query(

@@ -44,3 +44,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of the executors that made it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a micro-batch uploads what it changed; whole snapshots follow in the background
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """State with values, maps and timers of a key needs the embedded key-value store."""
+    for key, value in _STATE_CONF.items():
+        spark.conf.set(key, value)

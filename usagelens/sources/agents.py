@@ -321,11 +321,8 @@ def pi_tool_calls(lines: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------------- kimi
 
 
-def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
-    """Step-end usage in three layouts; the model is the last configured alias.
-
-    ``workspaces`` maps folder keys (wd_key) to project names.
-    """
+def kimi_steps(lines: DataFrame) -> DataFrame:
+    """Step ends with their usage, and configured model aliases, with file position; no line looks at another."""
     rows = parsed(lines, "step.end", "config.update")
     v = F.col("v")
     wrapped = (V.text(v, "$.type") == "context.append_loop_event") & V.present(v, "$.event")
@@ -337,7 +334,6 @@ def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFram
         event.alias("e"),
         F.coalesce(V.get(v, "$.time", "double"), V.get(v, "$.event.time", "double")).cast("long").alias("ts_ms"),
     )
-    known = in_file_order(flat, {"current": ("last", F.col("alias"))})
     e = F.col("e")
 
     def n(path: str) -> Column:
@@ -349,20 +345,17 @@ def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFram
 
     folded_in = n("input_tokens_details.cached_tokens")
     own, anthropic = has("inputOther"), has("cache_read_input_tokens")
-    ends = known.filter(
+    ends = (
         (V.text(e, "$.type") == "step.end")
         & V.present(e, "$.usage")
         & _text_of_id(e, "$.uuid").isNotNull()
         & F.col("ts_ms").isNotNull()
     )
-    shaped = ends.select(
+    return flat.select(
         *_PLACE,
-        F.concat(F.lit("kimi:"), _text_of_id(e, "$.uuid")).alias("dedup_key"),
+        "alias",
+        F.when(ends, F.concat(F.lit("kimi:"), _text_of_id(e, "$.uuid"))).alias("dedup_key"),
         "ts_ms",
-        F.lit("kimi").alias("tool"),
-        normalize_model(F.coalesce("current", F.lit("kimi-for-coding"))).alias("model"),
-        folder_name(3).alias("session_id"),
-        folder_name(4).alias("wd_key"),
         F.when(own, n("inputOther"))
         .when(anthropic, n("input_tokens"))
         .otherwise(F.greatest(n("input_tokens") - folded_in, F.lit(0)))
@@ -373,6 +366,23 @@ def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFram
         .alias("cached_input"),
         F.when(own, n("inputCacheCreation")).otherwise(n("cache_creation_input_tokens")).alias("cache_write"),
         F.when(own, n("output")).otherwise(n("output_tokens")).alias("output_tokens"),
+    ).filter(F.col("alias").isNotNull() | F.col("dedup_key").isNotNull())
+
+
+def kimi_events(known: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
+    """Event rows of step ends with ``current``, the alias in force."""
+    shaped = known.filter(F.col("dedup_key").isNotNull()).select(
+        *_PLACE,
+        "dedup_key",
+        "ts_ms",
+        F.lit("kimi").alias("tool"),
+        normalize_model(F.coalesce("current", F.lit("kimi-for-coding"))).alias("model"),
+        folder_name(3).alias("session_id"),
+        folder_name(4).alias("wd_key"),
+        "input_tokens",
+        "cached_input",
+        "cache_write",
+        "output_tokens",
     )
     if workspaces is not None:
         names = workspaces.select("wd_key", F.col("name").alias("project"))
@@ -382,6 +392,15 @@ def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFram
     return as_rows(used(with_total(shaped)))
 
 
+def norm_kimi(lines: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
+    """Step-end usage in three layouts; the model is the last configured alias.
+
+    ``workspaces`` maps folder keys (wd_key) to project names.
+    """
+    known = in_file_order(kimi_steps(lines), {"current": ("last", F.col("alias"))})
+    return kimi_events(known, workspaces)
+
+
 # ---------------------------------------------------------------------------------- qoder
 
 

@@ -60,6 +60,20 @@ def steps(lines: DataFrame) -> DataFrame:
     )
 
 
+def with_step_facts(rows: DataFrame, gen_meta: DataFrame) -> DataFrame:
+    """Steps with the model and context that ``gen_meta`` (session_id, step, model, context_tokens) has for them."""
+    meta = gen_meta.filter(F.col("context_tokens") > 0).select(
+        "session_id",
+        "step",
+        normalize_display_model(F.col("model")).alias("meta_model"),
+        F.col("context_tokens").cast("long").alias("context_tokens"),
+    )
+    exact = (
+        F.col("exact_input").isNotNull() & F.col("exact_cached").isNotNull() & F.col("exact_output").isNotNull()
+    )
+    return rows.join(meta, ["session_id", "step"], "left").withColumn("exact", exact)
+
+
 def norm_antigravity(
     lines: DataFrame, gen_meta: DataFrame, default_model: str | None = None
 ) -> DataFrame:
@@ -75,18 +89,9 @@ def norm_antigravity(
     marked = rows.join(first, ["path", "step_number"], "left").withColumn(
         "repeat", F.coalesce(F.struct("block", "pos") > F.col("first_at"), F.lit(False))
     )
-    meta = gen_meta.filter(F.col("context_tokens") > 0).select(
-        "session_id",
-        "step",
-        normalize_display_model(F.col("model")).alias("meta_model"),
-        F.col("context_tokens").cast("long").alias("context_tokens"),
-    )
-    known = marked.join(meta, ["session_id", "step"], "left")
-    exact = (
-        F.col("exact_input").isNotNull() & F.col("exact_cached").isNotNull() & F.col("exact_output").isNotNull()
-    )
+    known = with_step_facts(marked, gen_meta)
     # a response that is dropped as a repeat does not change the model either
-    speaks = F.col("planner") & (~F.col("repeat") | exact)
+    speaks = F.col("planner") & (~F.col("repeat") | F.col("exact"))
     model_now = F.when(speaks, F.col("meta_model")).when(
         ~F.col("repeat") & ~F.col("planner"), F.col("chosen_model")
     )
@@ -96,10 +101,15 @@ def norm_antigravity(
         ),
         {"context": ("sum_before", F.col("adds")), "current": ("last", F.col("model_now"))},
     )
+    return antigravity_events(ordered, default_model)
+
+
+def antigravity_events(ordered: DataFrame, default_model: str | None = None) -> DataFrame:
+    """Event rows of steps with ``repeat``, the running ``context`` and the ``current`` model."""
     from_meta = F.col("context_tokens").isNotNull()
     est_input = F.coalesce("context_tokens", "context")
     exact_total = F.col("exact_input") + F.col("exact_cached") + F.col("exact_output")
-    usable = exact & (exact_total <= fixed.MAX_SAFE_INTEGER)
+    usable = F.col("exact") & (exact_total <= fixed.MAX_SAFE_INTEGER)
     zero = F.lit(0).cast("long")
     thinking = F.least(F.coalesce("exact_thinking", zero), F.col("exact_output"))
     responses = ordered.filter(

@@ -79,6 +79,23 @@ def upsert_events(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame
     return spark.createDataFrame([(d,) for d in touched], "day date")
 
 
+def upsert_ledger(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Append ledger rows (dedup_key, ts_ms, ...; tool calls, credits) whose key the ledger at ``path`` has not.
+
+    Of rows with one key the first one in file order stays. A key names one line of a log and so has one day: only the
+    days of the batch are looked at. The same batch again adds nothing.
+    """
+    order = [c for c in ("path", "block", "pos") if c in rows.columns]
+    at = F.struct(*order) if order else F.col("ts_ms")
+    kept = [c for c in rows.columns if c not in ("dedup_key", *order)]
+    first = with_day(rows.groupBy("dedup_key").agg(F.min_by(F.struct(*kept), at).alias("f")).select("dedup_key", "f.*"))
+    if table_exists(spark, path):
+        days = [row["day"] for row in first.select("day").distinct().collect()]
+        known = spark.read.parquet(path).filter(F.col("day").isin(days)).select("dedup_key")
+        first = first.join(known, "dedup_key", "left_anti")
+    first.write.mode("append").partitionBy("day").parquet(path)
+
+
 # ------------------------------------------------------------------------------ CSV files
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from usagelens.operators.rollup import daily_rollup, touched_days
-from usagelens.sources.writers import table_exists, upsert_events, with_day
+from usagelens.sources import rollouts
+from usagelens.sources.writers import table_exists, upsert_events, upsert_ledger, with_day
+from usagelens.streaming.file_state import stream_antigravity, stream_kimi, stream_rollouts
 
 LINE_SCHEMA = "path string, tool string, block long, pos long, value string"
 
@@ -17,8 +19,9 @@ LINE_SCHEMA = "path string, tool string, block long, pos long, value string"
 def stream_lines(spark: SparkSession, folder: str, tool: str) -> DataFrame:
     """New log segments as a stream of lines (path, tool, block, value).
 
-    A file source never re-reads a file that grew, so growing logs must land as segments. The
-    line position is added inside each micro-batch.
+    A file source never re-reads a file that grew, so growing logs must land as segments here;
+    :func:`usagelens.sources.tail.stream_tail` follows files that grow. The line position is added inside each
+    micro-batch.
     """
     return (
         spark.readStream.option("recursiveFileLookup", "true")
@@ -33,9 +36,38 @@ def stream_lines(spark: SparkSession, folder: str, tool: str) -> DataFrame:
 
 
 def _with_order(events: DataFrame) -> DataFrame:
-    """Order inside a micro-batch: split of the file, then line. Stored rows always come first."""
-    split, line = F.shiftright("block", 20), F.col("pos").bitwiseAND((1 << 33) - 1)
-    return events.withColumn("ord", F.shiftleft(split, 33) + line)
+    """``ord``, unique inside a micro-batch and rising by file, split and line. Stored rows always come first."""
+    sorted_ = events.repartitionByRange("path", "block", "pos", "dedup_key").sortWithinPartitions("path", "block", "pos", "dedup_key")
+    return sorted_.withColumn("ord", F.monotonically_increasing_id())
+
+
+def write_events_stream(
+    events: DataFrame, table: str, checkpoint: str, rollup: str | None = None, calls: str | None = None
+) -> StreamingQuery:
+    """A stream of event rows (with path, block and pos) to the event table, one idempotent upsert per micro-batch.
+
+    A replayed micro-batch writes the same rows again and changes nothing. With ``rollup``, the daily rollup is
+    rebuilt for exactly the days the batch touched. With ``calls``, rows whose ``kind`` is call go to the ledger of
+    tool calls there.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # the upsert looks at the batch several times
+        rows = batch.persist()
+        spark = batch.sparkSession
+        used = rows
+        if calls is not None:
+            used = rollouts.codex_events(rows.filter("kind <> 'call'"))
+            called = rows.filter("kind = 'call'").withColumn("call_id", F.coalesce("call_id", F.col("seq").cast("string")))
+            upsert_ledger(spark, rollouts.codex_calls(called), calls)
+        events = _with_order(used).persist()
+        days = upsert_events(spark, events, table)
+        if rollup is not None:
+            refresh_stored_rollup(spark, table, rollup, days)
+        events.unpersist()
+        rows.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_events(
@@ -45,16 +77,15 @@ def stream_events(
     checkpoint: str,
     rollup: str | None = None,
 ) -> StreamingQuery:
-    """Lines to events to the event table, one idempotent upsert per micro-batch.
+    """Lines to events to the event table, for normalisers whose lines stand alone.
 
-    A replayed micro-batch writes the same rows again and changes nothing. With ``rollup``, the
-    daily rollup is rebuilt for exactly the days the batch touched.
+    Those that carry something from line to line have streams of their own, :func:`stream_codex_events` and the
+    like, which keep it in state. Lines without a position get one inside the micro-batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        lines_in_order = batch.withColumn("pos", F.monotonically_increasing_id())
-        # the upsert looks at the batch several times
-        events = _with_order(normalise(lines_in_order)).persist()
+        placed = batch if "pos" in batch.columns else batch.withColumn("pos", F.monotonically_increasing_id())
+        events = _with_order(normalise(placed)).persist()
         days = upsert_events(batch.sparkSession, events, table)
         if rollup is not None:
             refresh_stored_rollup(batch.sparkSession, table, rollup, days)
@@ -68,6 +99,23 @@ def stream_events(
     )
 
 
+def stream_codex_events(
+    lines: DataFrame, table: str, checkpoint: str, calls: str, rollup: str | None = None, initial: DataFrame | None = None
+) -> StreamingQuery:
+    """Growing rollouts to the event table and the ledger of tool calls; see :mod:`usagelens.streaming.file_state`."""
+    return write_events_stream(stream_rollouts(lines, initial=initial), table, checkpoint, rollup, calls)
+
+
+def stream_kimi_events(lines: DataFrame, table: str, checkpoint: str, workspaces: DataFrame | None = None) -> StreamingQuery:
+    return write_events_stream(stream_kimi(lines, workspaces), table, checkpoint)
+
+
+def stream_antigravity_events(
+    lines: DataFrame, gen_meta: DataFrame, table: str, checkpoint: str, default_model: str | None = None
+) -> StreamingQuery:
+    return write_events_stream(stream_antigravity(lines, gen_meta, default_model), table, checkpoint)
+
+
 def refresh_stored_rollup(
     spark: SparkSession, table: str, rollup: str, days: DataFrame
 ) -> None:
@@ -109,6 +157,7 @@ def stream_freshness(events: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "LINE_SCHEMA", "late_days", "refresh_stored_rollup", "stream_daily_usage", "stream_dedup_ledger",
-    "stream_events", "stream_freshness", "stream_lines", "table_exists", "with_day",
+    "LINE_SCHEMA", "late_days", "refresh_stored_rollup", "stream_antigravity_events", "stream_codex_events",
+    "stream_daily_usage", "stream_dedup_ledger", "stream_events", "stream_freshness", "stream_kimi_events",
+    "stream_lines", "table_exists", "with_day", "write_events_stream",
 ]

@@ -1,7 +1,8 @@
-"""Stateful streams: latency pairing, counter streams, throttling, live context, alert levels.
+"""Stateful streams: latency pairing, throttling, live context, alert levels.
 
-Each handler keeps a few values per key; keys come from the grouping, so state is spread over
-the cluster and survives through the state store.
+Each processor keeps a few typed values per key; keys come from the grouping, so state is spread over the cluster
+and survives through the state store. Event-time timers drop what can no longer matter, so the number of keys with
+state follows the traffic near the watermark, not the history.
 """
 
 from __future__ import annotations
@@ -11,145 +12,195 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from usagelens import fixed
-from usagelens.sources.rollouts import OpenTotals, fold_frame
+from usagelens.session import use_keyed_state
+
+
+def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """One key's rows of a micro-batch, sorted."""
+    return pd.concat(list(rows)).sort_values(list(by), kind="stable")
+
+
+class Keyed(StatefulProcessor):
+    """Value state with one event-time timer: the state goes when the watermark passes the instant set last."""
+
+    state, out = "", ""
+
+    def prepared(self) -> Keyed:
+        """Schemas are parsed on the driver."""
+        self.schema = StructType.fromDDL(f"{self.state}, until_ms long")
+        return self
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.schema)
+
+    def get(self) -> tuple | None:
+        return self.value.get()[:-1] if self.value.exists() else None
+
+    def put(self, values: tuple, until_ms: int) -> None:
+        if self.value.exists():
+            self.handle.deleteTimer(self.value.get()[-1])
+        self.value.update((*values, until_ms))
+        self.handle.registerTimer(until_ms)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[field.split()[0] for field in self.out.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.value.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(rows: DataFrame, keys: list[str], processor: Keyed, time_ms: str, delay: str, mode: str = "append") -> DataFrame:
+    use_keyed_state(rows.sparkSession)
+    timed = rows.withColumn("event_time", F.timestamp_millis(time_ms)).withWatermark("event_time", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor.prepared(), outputStructType=StructType.fromDDL(processor.out), outputMode=mode, timeMode="eventTime"
+    )
 
 
 # ------------------------------------------------------------------------ latency pairing
 
 
+class LastSend(Keyed):
+    """Replies with the wait since the last send of their reference before them."""
+
+    state, out = "sent_ms long", "dedup_key string, duration_ms long"
+
+    def __init__(self, max_ms: int) -> None:
+        self.max_ms = max_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.get()
+        sent = first = None if held is None else held[0]
+        found = []
+        # at one instant replies come first: a wait of nothing is no wait
+        for row in _in_order(rows, "at_ms", "is_send").itertuples(index=False):
+            if row.is_send:
+                sent = int(row.at_ms)
+            elif sent is not None and 0 < row.at_ms - sent <= self.max_ms:
+                found.append((row.dedup_key, int(row.at_ms) - sent))
+        if sent is not None and sent != first:
+            self.put((sent,), sent + self.max_ms + 1)
+        yield self.frame(found)
+
+
 def stream_pair_latency(
-    requests: DataFrame, replies: DataFrame, max_ms: int = fixed.MAX_DURATION_MS
+    requests: DataFrame, replies: DataFrame, max_ms: int = fixed.MAX_DURATION_MS, delay: str = "15 minutes"
 ) -> DataFrame:
-    """Request-reply pairs of one file and reference within the time bound.
+    """One row per reply: the wait since the last send of its file and reference, within the time bound.
 
-    ``requests`` has path, ref and sent_ms; ``replies`` path, ref, dedup_key and ts_ms. The
-    interval condition and the watermarks let Spark drop requests that can no longer pair.
+    ``requests`` has path, ref and sent_ms; ``replies`` path, ref, dedup_key and ts_ms. A send is forgotten once the
+    watermark is past the last reply it could pair with.
     """
-    bound = f"{max_ms} milliseconds"
-    sent = requests.select(
-        F.col("path").alias("q_path"), F.col("ref").alias("q_ref"), "sent_ms",
-        F.timestamp_millis("sent_ms").alias("sent_at"),
-    ).withWatermark("sent_at", bound)
-    got = replies.withColumn("replied_at", F.timestamp_millis("ts_ms")).withWatermark("replied_at", bound)
-    in_time = F.expr(f"replied_at > sent_at AND replied_at <= sent_at + INTERVAL {max_ms / 1000:.3f} SECONDS")
-    same = (F.col("path") == F.col("q_path")) & (F.col("ref") == F.col("q_ref"))
-    return got.join(sent, same & in_time).select(
-        "dedup_key", (F.col("ts_ms") - F.col("sent_ms")).alias("duration_ms")
+    sends = requests.select(
+        "path", "ref", F.col("sent_ms").alias("at_ms"), F.lit(None).cast("string").alias("dedup_key"), F.lit(True).alias("is_send")
     )
+    rows = sends.unionByName(replies.select("path", "ref", F.col("ts_ms").alias("at_ms"), "dedup_key", F.lit(False).alias("is_send")))
+    return _keyed(rows, ["path", "ref"], LastSend(max_ms), "at_ms", delay)
 
 
 # ---------------------------------------------------------------------------- throttling
 
-_REPORT_OUT = "id string, received_ms long, ord long"
 
+class Spaced(Keyed):
+    """Rows at least ``gap_ms`` after the last one that was kept."""
 
-def _throttle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["received_ms", "ord"])
-    kept = []
-    for at, order in zip(rows["received_ms"].tolist(), rows["ord"].tolist()):
-        if last is None or at - last >= fixed.THROTTLE_MS:
-            last = at
-            kept.append((key[0], at, order))
-    state.update((last,))
-    yield pd.DataFrame(kept, columns=["id", "received_ms", "ord"])
+    state, out = "last_ms long", "id string, received_ms long, ord long"
 
+    def __init__(self, gap_ms: int) -> None:
+        self.gap_ms = gap_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.get()
+        last = first = None if held is None else held[0]
+        kept = []
+        new = _in_order(rows, "received_ms", "ord")
+        for at, order in zip(new["received_ms"].tolist(), new["ord"].tolist()):
+            if last is None or at - last >= self.gap_ms:
+                last = at
+                kept.append((key[0], at, order))
+        if last != first:
+            self.put((last,), last + self.gap_ms)
+        yield self.frame(kept)
 
-def stream_throttle(reports: DataFrame) -> DataFrame:
-    """Accepted reports of a stream: at most one per id and minute; state is one instant per id."""
-    return (
-        reports.select("id", "received_ms", "ord")
-        .groupBy("id")
-        .applyInPandasWithState(_throttle, _REPORT_OUT, "last_ms long", "append", GroupStateTimeout.NoTimeout)
-    )
+
+def stream_throttle(reports: DataFrame, gap_ms: int = fixed.THROTTLE_MS, delay: str = "10 minutes") -> DataFrame:
+    """Accepted reports of a stream: at most one per id and gap; an instant per id, as long as it can reject one."""
+    return _keyed(reports.select("id", "received_ms", "ord"), ["id"], Spaced(gap_ms), "received_ms", delay)
 
 
 # --------------------------------------------------------------------------- live context
 
-_LIVE_OUT = "session_id string, ts_ms long, context_tokens long, live boolean"
-
-
-def _live(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        ts, tokens = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], ts, tokens, False)], columns=["session_id", "ts_ms", "context_tokens", "live"])
-        return
-    ts, tokens = state.get if state.exists else (0, 0)
-    for batch in batches:
-        newest = batch.sort_values("ts_ms").iloc[-1]
-        if newest["ts_ms"] > ts:
-            ts, tokens = int(newest["ts_ms"]), int(newest["context_tokens"])
-    state.update((ts, tokens))
-    state.setTimeoutTimestamp(max(ts + fixed.LIVE_TTL_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([(key[0], ts, tokens, True)], columns=["session_id", "ts_ms", "context_tokens", "live"])
-
-
-def stream_live(snapshots: DataFrame) -> DataFrame:
-    """Newest live context per session; a session without news for ten minutes ends."""
-    timed = snapshots.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", "1 minute")
-    return timed.groupBy("session_id").applyInPandasWithState(
-        _live, _LIVE_OUT, "ts_ms long, context_tokens long", "update", GroupStateTimeout.EventTimeTimeout
-    )
 
+class Newest(Keyed):
+    """Newest context of a session; once more, as ended, when nothing came for the time to live."""
 
-# --------------------------------------------------------------------------- alert levels
+    state, out = "ts_ms long, context_tokens long", "session_id string, ts_ms long, context_tokens long, live boolean"
 
-_ALERT_OUT = "key string, round long, level int, notify boolean"
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ts, tokens = self.get() or (-1, 0)
+        before = ts
+        for batch in rows:
+            newest = batch.sort_values(["ts_ms", "context_tokens"]).iloc[-1]
+            if newest["ts_ms"] > ts:
+                ts, tokens = int(newest["ts_ms"]), int(newest["context_tokens"])
+        if ts != before:
+            self.put((ts, tokens), ts + self.ttl_ms)
+        yield self.frame([(key[0], ts, tokens, True)])
 
-def _edges(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    level, last_round = state.get if state.exists else (0, -1)
-    rows = pd.concat(list(batches)).sort_values("round")
-    out = []
-    for number, new in zip(rows["round"].tolist(), rows["level"].tolist()):
-        if number > last_round + 1:
-            level = 0  # the condition was gone in between
-        out.append((key[0], number, new, new > level))
-        level, last_round = new, number
-    state.update((level, last_round))
-    yield pd.DataFrame(out, columns=["key", "round", "level", "notify"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ended = self.get()
+        self.value.clear()
+        yield self.frame([] if ended is None else [(key[0], *ended, False)])
 
 
-def alert_edges(levels: DataFrame) -> DataFrame:
-    """Notify only when the level of an alert key rises; a key that is absent for a round resets.
+def stream_live(snapshots: DataFrame, ttl_ms: int = fixed.LIVE_TTL_MS, delay: str = "1 minute") -> DataFrame:
+    """Newest live context per session (session_id, ts_ms, context_tokens); a session without news for ten minutes ends."""
+    rows = snapshots.select("session_id", "ts_ms", "context_tokens")
+    return _keyed(rows, ["session_id"], Newest(ttl_ms), "ts_ms", delay, "update")
 
-    ``levels`` has key, round (evaluation number) and level (1 warning, 2 critical).
-    """
-    return levels.groupBy("key").applyInPandasWithState(
-        _edges, _ALERT_OUT, "level int, round long", "append", GroupStateTimeout.NoTimeout
-    )
 
+# --------------------------------------------------------------------------- alert levels
 
-# -------------------------------------------------------------------------- counter streams
 
-_FOLD_STATE = "heads array<array<bigint>>, seq long, pending binary"
+class Rising(Keyed):
+    """Whether a key's level rose since the round before."""
 
+    state, out = "level int, round long", "key string, round long, level int, notify boolean"
 
-def _codex(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import pickle
+    def __init__(self, round_ms: int) -> None:
+        self.round_ms = round_ms
 
-    totals, seq, record = OpenTotals(), 0, None
-    if state.exists:
-        heads, seq, pending = state.get
-        totals = OpenTotals((tuple(h), True) for h in heads)
-        record = pickle.loads(pending) if pending else None
-    rows = pd.concat(list(batches)).sort_values(["block", "pos"])
-    out, seq, record = fold_frame(rows, totals, seq, record)
-    state.update(([list(t) for t in totals], seq, pickle.dumps(record) if record else None))
-    yield out
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        level, last = self.get() or (0, -1)
+        out = []
+        new = _in_order(rows, "round")
+        for number, now in zip(new["round"].tolist(), new["level"].tolist()):
+            if number > last + 1:
+                level = 0  # the condition was gone in between
+            out.append((key[0], number, now, now > level))
+            level, last = now, number
+        # a key that is absent in the next round starts anew, so its state ends with that round
+        self.put((level, last), (last + 2) * self.round_ms)
+        yield self.frame(out)
 
 
-def stream_codex_fold(rows: DataFrame) -> DataFrame:
-    """Streaming twin of the rollout fold: counter heads, request number and pending record per file.
+def alert_edges(levels: DataFrame, round_ms: int = 60_000, delay: str = "1 minute") -> DataFrame:
+    """Notify only when the level of an alert key rises; a key that is absent for a round resets.
 
-    Rows are those of ``annotated(records(...))`` in the fold's narrow layout.
+    ``levels`` has key, round (evaluation number) and level (1 warning, 2 critical); a round lasts ``round_ms`` of
+    event time.
     """
-    from usagelens.sources.rollouts import FOLD_OUT
-
-    return rows.groupBy("path").applyInPandasWithState(
-        _codex, FOLD_OUT, _FOLD_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    rows = levels.select("key", "round", "level", (F.col("round") * round_ms).alias("round_at"))
+    return _keyed(rows, ["key"], Rising(round_ms), "round_at", delay)
