@@ -15,6 +15,15 @@ def con():
     return duck(SF)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """The tables are small, and a stream has state stores in every partition."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.mark.parametrize("name", sorted(entry_point.queries()))
 def test_query_agrees_with_sql(spark, con, name):
     ok, note = compare(spark, con, SF, name)

@@ -55,14 +55,14 @@ def session_outcomes(
     sessions: DataFrame,
     commits: DataFrame,
     tail_ms: int = 30 * fixed.MINUTE_MS,
-    newest: int = 20,
+    newest: int | None = None,
     slice_ms: int = fixed.DAY_MS,
 ) -> DataFrame:
     """Commits made during each session or shortly after, in its working directory.
 
     ``sessions`` has session_id, tool, cwd, first_ts and last_ts. The range join becomes a
     running commit count per directory, read at both ends of each session: no pair of session
-    and commit is built for the count, and the list fetches only the newest few by their number.
+    and commit is built for the count. The list fetches commits by their number, with ``newest`` only so many.
     Sessions without a known directory keep null.
     """
     known = F.col("tool").isin(_COMMIT_SOURCES) & F.col("cwd").isNotNull()
@@ -100,13 +100,12 @@ def session_outcomes(
             F.max(F.when(F.col("kind") == 2, F.col("nth"))).alias("upto"),
         )
     )
+    start = F.col("before") if newest is None else F.greatest(F.col("before"), F.col("upto") - newest)
     wanted = ends.filter("upto > before").select(
         "session_id",
         "tool",
         "cwd",
-        F.explode(
-            F.sequence(F.greatest(F.col("before"), F.col("upto") - newest) + 1, F.col("upto"))
-        ).alias("nth"),
+        F.explode(F.sequence(start + 1, F.col("upto"))).alias("nth"),
     )
     numbered = counted.filter(F.col("kind") == 1).select("cwd", "nth", "hash", "subject", "at")
     lists = (

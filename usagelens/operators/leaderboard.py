@@ -301,7 +301,9 @@ def find_player(players: DataFrame, name: str) -> DataFrame:
     return players.filter(F.col("name") == name).orderBy(F.desc("updated_at"), "id")
 
 
-def top_players(players: DataFrame, period: str = "day", limit: int = 20) -> DataFrame:
+def top_players(players: DataFrame, period: str = "day", limit: int | None = None) -> DataFrame:
+    """Players in order of a period's tokens, all of them unless a limit is given."""
     if period not in _METRIC_OF:
         raise ValueError("period must be day, week or month")
-    return players.orderBy(F.desc(_METRIC_OF[period]), "id").limit(limit)
+    ranked = players.orderBy(F.desc(_METRIC_OF[period]), "id")
+    return ranked if limit is None else ranked.limit(limit)

@@ -323,7 +323,7 @@ def _(spark, d):
     PLAYER_VIEWS,
 )
 def _(spark, d):
-    return leaderboard.top_players(players(spark, d), "week").select("id", "week_tokens")
+    return leaderboard.top_players(players(spark, d), "week", 20).select("id", "week_tokens")
 
 
 # ------------------------------------------------------------------------ uploaded bodies

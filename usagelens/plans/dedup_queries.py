@@ -524,7 +524,7 @@ def _(spark, d):
         .agg(F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
         .withColumn("session_id", F.concat_ws("@", "session_id", "cwd"))
     )
-    out = joins.session_outcomes(sessions, v.commits(spark, d))
+    out = joins.session_outcomes(sessions, v.commits(spark, d), newest=20)
     hashes = F.array_join(F.transform("commit_list", lambda e: e["hash"]), ",")
     return out.select("session_id", "tool", "commits", hashes.alias("hashes"))
 

@@ -9,6 +9,7 @@ from usagelens import fixed
 from usagelens.functions import variants as V
 from usagelens.functions.names import basename, normalize_model
 from usagelens.functions.times import parse_iso_millis
+from usagelens.operators.joins import asof_last
 from usagelens.sources.files import is_cowork_usage_path
 from usagelens.sources.lines import CALL_FIELDS, as_rows, stem
 
@@ -148,16 +149,16 @@ def pair_request_latency(lines: DataFrame, tool: str = "claude-code") -> DataFra
 
     A reference names the latest request of that id written before the reply.
     """
+    place = ["path", "ref", "block", "pos"]
     replies = _replies(lines, tool).filter(F.col("ref").isNotNull()).select(
-        "path", "ref", "dedup_key", "ts_ms", F.struct("block", "pos").alias("reply_at")
+        *place, "dedup_key", "ts_ms", F.lit(None).cast("long").alias("sent")
     )
-    sent = request_starts(lines).select(
-        "path", "ref", "sent_ms", F.struct("block", "pos").alias("sent_at")
-    )
-    before = replies.join(sent, ["path", "ref"]).filter(F.col("sent_at") < F.col("reply_at"))
-    latest = before.groupBy("path", "ref", "dedup_key", "ts_ms", "reply_at").agg(
-        F.max_by("sent_ms", "sent_at").alias("sent_ms")
+    sends = request_starts(lines).select(
+        *place, F.lit(None).cast("string").alias("dedup_key"), F.lit(None).cast("long").alias("ts_ms"), F.col("sent_ms").alias("sent")
     )
+    # the running last send: no pair of sends and replies is built
+    latest = asof_last(replies.unionByName(sends), "sent", ["path", "ref"], "block", ["block", "pos"], "sent_ms")
+    latest = latest.filter(F.col("dedup_key").isNotNull())
     wait = F.col("ts_ms") - F.col("sent_ms")
     return (
         latest.withColumn("duration_ms", wait)

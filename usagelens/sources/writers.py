@@ -153,11 +153,10 @@ def sessions_csv(sessions: DataFrame) -> DataFrame:
 
 
 def export_sessions_csv(sessions: DataFrame, path: str) -> None:
-    """One CSV file of a session report, which is limited to its top rows."""
+    """CSV files of a session report, in order by their names; each has the header."""
     rows = sessions_csv(sessions)
     (
-        rows.coalesce(1)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("header", "true")
         .option("emptyValue", "")
         .option("nullValue", "")
