@@ -279,6 +279,13 @@ def test_antigravity_quality_and_context(make_lines, spark):
     assert merged["antigravity:anty-u1:1"]["usage_quality"] == 1
 
 
+def test_malformed_context_records_are_told(spark):
+    rows = [("doubao", '{"context_window_usage": '), ("doubao", "no record"), ("doubao", '{"a":{"context_window_usage":{"messages":1}}}')]
+    records = spark.createDataFrame(rows, "tool string, value string")
+    assert [tuple(r) for r in contexts.rejected_records(records).collect()] == [("doubao", rows[0][1], "malformed")]
+    assert contexts.owners(records, levels=1).count() == 1
+
+
 def test_context_records_nested_and_flat(spark):
     import json
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from usagelens.functions import variants as V
 from usagelens.functions.names import basename, normalize_model
 from usagelens.functions.times import to_millis
+from usagelens.session import cut_lineage
 from usagelens.sources.lines import as_rows
 
 _OWNED = "context_window_usage"
@@ -18,7 +19,7 @@ _MESSAGE = ["message_id", "local_message_id", "uniqueId"]
 _MODEL = ["model_id", "llm_model_type", "model_type", "model_name"]
 _FOLDER = ["workspace", "agent_workspace", "shared_folder_path", "folder", "cwd"]
 _PARAMS = ["general_task_param", "agent_task_param", "task_param"]
-#: nesting levels searched for owners
+#: nesting levels that are searched in one job
 _LEVELS = 10
 
 
@@ -29,21 +30,38 @@ def _children(v: Column) -> Column:
     )
 
 
+def rejected_records(records: DataFrame) -> DataFrame:
+    """Records that mention a breakdown and are no JSON: (tool, value, reason)."""
+    bad = F.col("value").contains(_OWNED) & V.parse(F.col("value")).isNull()
+    return records.filter(bad).select("tool", "value", F.lit("malformed").alias("reason"))
+
+
 def owners(records: DataFrame, levels: int = _LEVELS) -> DataFrame:
     """Every object that directly owns a context breakdown, with its ancestors, nearest first.
 
-    Each step turns a value into its children, and an owner also into a finished row, so the
-    whole search is one chain of explodes without a shuffle. Only values that mention the field
-    are followed; a record nested deeper than ``levels`` raises instead of losing rows.
+    Only values that mention the field are followed. ``levels`` steps down are one chain of explodes without a
+    shuffle; what is nested deeper goes on from the stored result, until nothing is left, so any depth is found.
+    Malformed records have no owners, see :func:`rejected_records`.
     """
-    v, above = F.col("v"), F.col("above")
     rows = records.filter(F.col("value").contains(_OWNED)).select(
         "tool",
         V.once(V.parse(F.col("value"))).alias("v"),
         F.expr("cast(array() as array<variant>)").alias("above"),
         F.lit(False).alias("done"),
     )
-    rows = rows.filter(v.isNotNull())
+    rows, found = rows.filter(F.col("v").isNotNull()), None
+    while True:
+        rows = cut_lineage(_descend(rows, levels))
+        owning = rows.filter("done").select("tool", F.col("above").alias("chain"))
+        found = owning if found is None else found.unionByName(owning)
+        rows = rows.filter(~F.col("done") & V.is_container(F.col("v")))
+        if rows.isEmpty():
+            return found
+
+
+def _descend(rows: DataFrame, levels: int) -> DataFrame:
+    """``levels`` steps: each turns a value into its children, and an owner also into a finished row."""
+    v, above = F.col("v"), F.col("above")
     none = F.expr("cast(array() as array<struct<v:variant,above:array<variant>,done:boolean>>)")
     for _ in range(levels):
         chain = F.when(V.is_object(v, "$"), F.concat(F.array(v), above)).otherwise(above)
@@ -62,10 +80,7 @@ def owners(records: DataFrame, levels: int = _LEVELS) -> DataFrame:
             .select("tool", F.explode(step).alias("s"))
             .select("tool", "s.*")
         )
-    too_deep = F.raise_error(F.lit("context record nested too deep"))
-    return rows.select(
-        "tool", F.when(F.col("done") | ~V.is_container(v), above).otherwise(too_deep).alias("chain"), "done"
-    ).filter("done").drop("done")
+    return rows
 
 
 def _first(chain: Column, names: list[str], accept) -> Column:
