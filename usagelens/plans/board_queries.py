@@ -362,6 +362,25 @@ def _(spark, d):
     )
 
 
+@query(
+    "rejected_reports",
+    """SELECT ord, received_ms, CASE WHEN user_id % 9 = 1 THEN 'too large' WHEN user_id % 9 = 2 THEN 'malformed' WHEN ver <> 1 THEN 'version' ELSE 'id' END AS reason
+    FROM uploads WHERE user_id % 9 IN (1, 2, 3) OR ver <> 1""",
+    {"uploads": UPLOADS},
+)
+def _(spark, d):
+    user = F.col("user_id")
+    broken = (
+        F.when(user % 9 == 1, F.rpad("value", fixed.REPORT_MAX_BYTES + 1, " "))
+        .when(user % 9 == 2, F.expr("left(value, length(value) - 2)"))
+        .when(user % 9 == 3, F.regexp_replace("value", '"id":"[^"]*"', '"id":"someone"'))
+        .otherwise(F.col("value"))
+    )
+    users = uploads(spark, d).select("ord", "user_id")
+    bodies = _bodies(spark, d).join(users, "ord").withColumn("value", broken)
+    return reports.rejected_reports(bodies).select("ord", "received_ms", "reason")
+
+
 @query(
     "clamp_report",
     """SELECT ord, CAST(greatest(0, least(1e12, day_tokens)) AS BIGINT) AS day_tokens, CAST(day_requests AS BIGINT) AS day_requests,

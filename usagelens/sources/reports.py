@@ -79,18 +79,37 @@ def _strict(v: Column, name: str) -> Column:
     return F.when(V.present(v, path), F.coalesce(V.strict_number(v, path), F.lit(float("nan"))))
 
 
+def _judged(bodies: DataFrame) -> DataFrame:
+    """Uploads with their parsed body and why they are no reports; null for reports."""
+    v = F.col("v")
+    small = F.octet_length("value") <= fixed.REPORT_MAX_BYTES
+    return bodies.withColumn("small", small).select(
+        "*", V.once(V.parse(F.when(F.col("small"), F.col("value")))).alias("v")
+    ).withColumn(
+        "reason",
+        F.when(~F.col("small"), "too large")
+        .when(v.isNull(), "malformed")
+        .when(~F.coalesce(V.number(v, "$.v") == 1, F.lit(False)), "version")
+        .when(~F.coalesce(V.text(v, "$.id").rlike(fixed.UUID4_PATTERN), F.lit(False)), "id"),
+    ).drop("small")
+
+
+def rejected_reports(bodies: DataFrame) -> DataFrame:
+    """Uploads that :func:`read_player_reports` leaves out: (ord, received_ms, reason, n_bytes)."""
+    return _judged(bodies).filter("reason IS NOT NULL").select(
+        "ord", "received_ms", "reason", F.octet_length("value").alias("n_bytes")
+    )
+
+
 def read_player_reports(bodies: DataFrame) -> DataFrame:
     """Uploads (value, received_ms, ord) that are reports: JSON, at most 16 KiB, version 1, UUIDv4 id.
 
-    Counters stay as sent, for the plausibility checks; ``clamped`` holds the limited report.
+    Others are listed by :func:`rejected_reports`. Counters stay as sent, for the plausibility checks; ``clamped``
+    holds the limited report.
     Works on batch and streaming frames alike.
     """
     v = F.col("v")
-    rows = (
-        bodies.filter(F.octet_length("value") <= fixed.REPORT_MAX_BYTES)
-        .select("*", V.once(V.parse(F.col("value"))).alias("v"))
-        .filter((V.number(v, "$.v") == 1) & V.text(v, "$.id").rlike(fixed.UUID4_PATTERN))
-    )
+    rows = _judged(bodies).filter("reason IS NULL")
     return rows.select(
         V.number(v, "$.v").cast("int").alias("v"),
         V.text(v, "$.id").alias("id"),
