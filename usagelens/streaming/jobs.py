@@ -35,7 +35,7 @@ def stream_lines(spark: SparkSession, folder: str, tool: str) -> DataFrame:
     )
 
 
-def _with_order(events: DataFrame) -> DataFrame:
+def in_log_order(events: DataFrame) -> DataFrame:
     """``ord``, unique inside a micro-batch and rising by file, split and line. Stored rows always come first."""
     sorted_ = events.repartitionByRange("path", "block", "pos", "dedup_key").sortWithinPartitions("path", "block", "pos", "dedup_key")
     return sorted_.withColumn("ord", F.monotonically_increasing_id())
@@ -60,7 +60,7 @@ def write_events_stream(
             used = rollouts.codex_events(rows.filter("kind <> 'call'"))
             called = rows.filter("kind = 'call'").withColumn("call_id", F.coalesce("call_id", F.col("seq").cast("string")))
             upsert_ledger(spark, rollouts.codex_calls(called), calls)
-        events = _with_order(used).persist()
+        events = in_log_order(used).persist()
         days = upsert_events(spark, events, table)
         if rollup is not None:
             refresh_stored_rollup(spark, table, rollup, days)
@@ -85,7 +85,7 @@ def stream_events(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         placed = batch if "pos" in batch.columns else batch.withColumn("pos", F.monotonically_increasing_id())
-        events = _with_order(normalise(placed)).persist()
+        events = in_log_order(normalise(placed)).persist()
         days = upsert_events(batch.sparkSession, events, table)
         if rollup is not None:
             refresh_stored_rollup(batch.sparkSession, table, rollup, days)
