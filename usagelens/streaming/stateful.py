@@ -60,7 +60,8 @@ class Keyed(StatefulProcessor):
 
 def _keyed(rows: DataFrame, keys: list[str], processor: Keyed, time_ms: str, delay: str, mode: str = "append") -> DataFrame:
     use_keyed_state(rows.sparkSession)
-    timed = rows.withColumn("event_time", F.timestamp_millis(time_ms)).withWatermark("event_time", delay)
+    # a watermark begins at the epoch and what is not after it is late, so that instant itself needs a millisecond more
+    timed = rows.withColumn("event_time", F.timestamp_millis(F.col(time_ms) + 1)).withWatermark("event_time", delay)
     return timed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor.prepared(), outputStructType=StructType.fromDDL(processor.out), outputMode=mode, timeMode="eventTime"
     )
@@ -97,8 +98,10 @@ def stream_pair_latency(
 ) -> DataFrame:
     """One row per reply: the wait since the last send of its file and reference, within the time bound.
 
-    ``requests`` has path, ref and sent_ms; ``replies`` path, ref, dedup_key and ts_ms. A send is forgotten once the
-    watermark is past the last reply it could pair with.
+    ``requests`` has path, ref and sent_ms; ``replies`` path, ref, dedup_key and ts_ms. Both are lines of one log, so a send
+    has to arrive before or with the replies that follow it: a reply pairs with what is known when it arrives, and one
+    that comes before all sends of its reference gives no row. A send is forgotten once the watermark is past the
+    last reply it could pair with.
     """
     sends = requests.select(
         "path", "ref", F.col("sent_ms").alias("at_ms"), F.lit(None).cast("string").alias("dedup_key"), F.lit(True).alias("is_send")
