@@ -202,7 +202,7 @@ def test_stream_pair_latency_and_ledgers(spark, tmp_path):
                                  "path string, ref string, sent_ms long")
     got = spark.createDataFrame([("/f", "r1", "k1", 3000), ("/f", "r2", "k2", 2_000_000)],
                                 "path string, ref string, dedup_key string, ts_ms long")
-    pairs = stateful.stream_pair_latency(source(spark, tmp_path, "q", sent.coalesce(1)), source(spark, tmp_path, "a", got))
+    pairs = stateful.stream_pair_latency(source(spark, tmp_path, "q", sent.coalesce(1)), source(spark, tmp_path, "a", got.coalesce(1)))
     assert [tuple(r) for r in run_memory(spark, pairs, "prs").collect()] == [("k1", 2000)]
     calls = views.tool_calls(spark, SF)
     twice = calls.unionByName(calls)
