@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from usagelens import fixed
@@ -83,13 +84,14 @@ def norm_antigravity(
     the running context and yields a row only if it carries exact counts.
     """
     rows = steps(lines)
-    first = rows.filter(F.col("step_number").isNotNull()).groupBy("path", "step_number").agg(
-        F.min(F.struct("block", "pos")).alias("first_at")
-    )
-    marked = rows.join(first, ["path", "step_number"], "left").withColumn(
-        "repeat", F.coalesce(F.struct("block", "pos") > F.col("first_at"), F.lit(False))
-    )
-    known = with_step_facts(marked, gen_meta)
+    # a window, not a join with the first places: those are as many as the steps
+    same = W.partitionBy("path", "step_number")
+    numbered = F.col("path").isNotNull() & F.col("step_number").isNotNull()
+    place = F.struct("block", "pos")
+    first = F.when(numbered, F.min(place).over(same))
+    marked = rows.withColumn("repeat", F.coalesce(place > first, F.lit(False)))
+    # metadata has a row a step: its size after parsing is misjudged from that of compressed files
+    known = with_step_facts(marked, gen_meta.hint("merge"))
     # a response that is dropped as a repeat does not change the model either
     speaks = F.col("planner") & (~F.col("repeat") | F.col("exact"))
     model_now = F.when(speaks, F.col("meta_model")).when(
