@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from usagelens.sources import steps
+import json
+
+from usagelens.sources import contexts, steps
+
+T0 = 1_706_000_000_000
 
 
 def plan(df) -> str:
@@ -20,3 +24,15 @@ def test_repeated_steps_are_told_without_a_broadcast(make_lines, spark):
     assert "Broadcast" not in plan(events)
     found = sorted((r["dedup_key"], r["input_tokens"], r["usage_quality"]) for r in events.collect())
     assert found == [("antigravity:anty-u1:1", 0, 1), ("antigravity:anty-u1:2", 1, 1), ("antigravity:anty-u1:2", 5, 3), ("antigravity:anty-u1:3", 7, 2)]
+
+
+def test_context_fields_are_read_once(spark):
+    breakdown = {"context_window_usage": {"messages": 9}, "ext": "x" * 100}
+    record = {"workspace": "/w/p", "bulk": ["y" * 1000], "a": {"conversation_id": "c", "model_id": 3, "b": [{**breakdown, "create_time": T0}]}}
+    for _ in range(12):
+        record = {"d": [record], "model_id": 99}
+    records = spark.createDataFrame([("doubao", json.dumps(record))], "tool string, value string")
+    events = contexts.norm_context_records(records, T0)
+    assert [(e["session_id"], e["model"], e["project"], e["input_tokens"]) for e in events.collect()] == [("c", "doubao-model-3", "p", 9)]
+    # a field is read a few times (1,628 reads before), not once more for every use of its value
+    assert plan(events).count("try_variant_get") < 300

@@ -39,59 +39,95 @@ def rejected_records(records: DataFrame) -> DataFrame:
 def owners(records: DataFrame, levels: int = _LEVELS) -> DataFrame:
     """Every object that directly owns a context breakdown, with its ancestors, nearest first.
 
+    Malformed records have no owners, see :func:`rejected_records`.
+    """
+    found = _walk(records, levels, lambda v, depth: F.array(v), "variant")
+    return found.select("tool", F.col("above").alias("chain"))
+
+
+def _walk(records: DataFrame, levels: int, keep, kept: str) -> DataFrame:
+    """Owners ``v`` with ``depth``, the count of objects down to them, and ``above``: what ``keep`` makes of these
+    objects (value and depth to an array of type ``kept``), nearest first.
+
     Only values that mention the field are followed. ``levels`` steps down are one chain of explodes without a
     shuffle; what is nested deeper goes on from the stored result, until nothing is left, so any depth is found.
-    Malformed records have no owners, see :func:`rejected_records`.
     """
-    rows = records.filter(F.col("value").contains(_OWNED)).select(
+    spark = records.sparkSession
+    # the walk costs far more than the reading, so it spreads further than the splits of the input
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = records.filter(F.col("value").contains(_OWNED)).repartition(tasks).select(
         "tool",
         V.once(V.parse(F.col("value"))).alias("v"),
-        F.expr("cast(array() as array<variant>)").alias("above"),
+        F.expr(f"cast(array() as array<{kept}>)").alias("above"),
+        F.lit(0).alias("depth"),
         F.lit(False).alias("done"),
     )
     rows, found = rows.filter(F.col("v").isNotNull()), None
     while True:
-        rows = cut_lineage(_descend(rows, levels))
-        owning = rows.filter("done").select("tool", F.col("above").alias("chain"))
+        rows = cut_lineage(_descend(rows, levels, keep, kept))
+        owning = rows.filter("done").select("tool", "v", "depth", "above")
         found = owning if found is None else found.unionByName(owning)
         rows = rows.filter(~F.col("done") & V.is_container(F.col("v")))
         if rows.isEmpty():
             return found
 
 
-def _descend(rows: DataFrame, levels: int) -> DataFrame:
+def _descend(rows: DataFrame, levels: int, keep, kept: str) -> DataFrame:
     """``levels`` steps: each turns a value into its children, and an owner also into a finished row."""
     v, above = F.col("v"), F.col("above")
-    none = F.expr("cast(array() as array<struct<v:variant,above:array<variant>,done:boolean>>)")
+    none = F.expr(f"cast(array() as array<struct<v:variant,above:array<{kept}>,depth:int,done:boolean>>)")
+
+    def row(value: Column, done: bool) -> Column:
+        return F.struct(value.alias("v"), F.col("chain").alias("above"), F.col("deep").alias("depth"), F.lit(done).alias("done"))
+
     for _ in range(levels):
-        chain = F.when(V.is_object(v, "$"), F.concat(F.array(v), above)).otherwise(above)
-        finished = F.array(F.struct(v.alias("v"), above.alias("above"), F.lit(True).alias("done")))
-        owner = F.array(F.struct(v.alias("v"), F.concat(F.array(v), above).alias("above"), F.lit(True).alias("done")))
-        below = F.transform(
-            F.filter(_children(v), lambda c: F.to_json(c).contains(_OWNED)),
-            lambda c: F.struct(c.alias("v"), F.col("chain").alias("above"), F.lit(False).alias("done")),
-        )
+        opens = ~F.col("done") & V.is_object(v, "$")
+        deep = F.col("depth") + F.when(opens, 1).otherwise(0)
+        chain = F.when(opens, F.concat(keep(v, F.col("depth") + 1), above)).otherwise(above)
+        below = F.transform(F.filter(_children(v), lambda c: F.to_json(c).contains(_OWNED)), lambda c: row(c, False))
         owns = V.is_object(v, "$") & V.get(v, f"$.{_OWNED}", "variant").isNotNull()
-        step = F.when(F.col("done"), finished).otherwise(
-            F.concat(F.when(owns, owner).otherwise(none), F.coalesce(below, none))
+        step = F.when(F.col("done"), F.array(row(v, True))).otherwise(
+            F.concat(F.when(owns, F.array(row(v, True))).otherwise(none), F.coalesce(below, none))
         )
         rows = (
-            rows.withColumn("chain", chain)
+            rows.withColumns({"chain": chain, "deep": deep})
             .select("tool", F.explode(step).alias("s"))
             .select("tool", "s.*")
         )
     return rows
 
 
-def _first(chain: Column, names: list[str], accept) -> Column:
-    """First accepted direct field, by object (nearest first), then by field name."""
-    values = F.transform(chain, lambda o: F.coalesce(*[accept(o, f"$.{n}") for n in names]))
+_FIELDS = _TIME + _CONVERSATION + _MESSAGE + _MODEL + _FOLDER + _PARAMS
+_FACT = "struct<depth:int,name:string,value:variant>"
+
+
+def _shape(names: list[str]) -> str:
+    return "struct<" + ",".join(f"{n}:variant" for n in names) + ">"
+
+
+def _facts(v: Column, depth: Column) -> Column:
+    """Direct fields of an object that an event may take something from; they are few, whatever else it holds."""
+
+    def listed(fields: Column) -> Column:
+        return F.array(*[
+            F.struct(depth.alias("depth"), F.lit(n).alias("name"), fields[n].alias("value")) for n in _FIELDS
+        ])
+
+    # the object is cast once
+    found = F.flatten(F.transform(F.array(V.get(v, "$", _shape(_FIELDS))), listed))
+    return F.filter(found, lambda f: f["value"].isNotNull())
+
+
+def _first(facts: Column, names: list[str], accept, typed=lambda value: value) -> Column:
+    """First accepted field, by object (nearest first), then by field name; ``typed`` is what ``accept`` looks at."""
+    named = F.filter(facts, lambda f: f["name"].isin(*names))
+    values = F.transform(F.transform(named, lambda f: typed(f["value"])), accept)
     return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
-def _id_text(o: Column, path: str) -> Column:
-    number = F.when(V.is_number(o, path), V.get(o, path, "string"))
-    return F.coalesce(number, F.nullif(F.trim(V.text(o, path)), F.lit("")))
+def _id_text(value: Column) -> Column:
+    number = F.when(V.is_number(value, "$"), V.get(value, "$", "string"))
+    return F.coalesce(number, F.nullif(F.trim(V.text(value, "$")), F.lit("")))
 
 
 def _count(v: Column, path: str) -> Column:
@@ -101,18 +137,17 @@ def _count(v: Column, path: str) -> Column:
     )
 
 
-def _absolute(o: Column, names: list[str]) -> Column:
-    def one(name: str) -> Column:
-        path = V.text(o, f"$.{name}")
-        return F.when((F.length(path) > 1) & path.rlike(r"^(/|[A-Za-z]:[\\/])"), path)
+def _absolute(path: Column) -> Column:
+    return F.when((F.length(path) > 1) & path.rlike(r"^(/|[A-Za-z]:[\\/])"), path)
 
-    return F.coalesce(*[one(n) for n in names])
 
-
-def _folder(o: Column) -> Column:
-    """Working folder named by an object, directly or in a task parameter."""
-    params = [_absolute(V.parse(V.text(o, f"$.{p}")), _FOLDER) for p in _PARAMS]
-    return F.coalesce(_absolute(o, _FOLDER), *params)
+def _folders(fact: Column) -> Column:
+    """Working folders a field names, directly or, a task parameter, in the object it holds as text."""
+    inside = F.transform(
+        F.array(V.get(V.parse(V.text(fact["value"], "$")), "$", _shape(_FOLDER))),
+        lambda o: F.coalesce(*[_absolute(V.text(o[n], "$")) for n in _FOLDER]),
+    )
+    return F.when(fact["name"].isin(*_PARAMS), F.get(inside, F.lit(0))).otherwise(_absolute(V.text(fact["value"], "$")))
 
 
 def norm_context_records(records: DataFrame, now_ms: int) -> DataFrame:
@@ -120,15 +155,16 @@ def norm_context_records(records: DataFrame, now_ms: int) -> DataFrame:
 
     ``records`` has tool and value (decoded JSON text).
     """
-    chain = F.col("chain")
-    own = F.get(chain, F.lit(0))
+    own, facts = F.col("v"), F.col("above")
     raw_text = V.text(own, f"$.{_OWNED}")
-    rows = owners(records).select(
+    held = V.get(own, f"$.{_OWNED}", "variant")
+    rows = _walk(records, _LEVELS, _facts, _FACT).select(
         "tool",
-        "chain",
-        F.coalesce(V.parse(raw_text), V.get(own, f"$.{_OWNED}", "variant")).alias("u"),
-        F.coalesce(raw_text, F.to_json(V.get(own, f"$.{_OWNED}", "variant"))).alias("u_text"),
+        "depth",
+        "above",
+        V.once(F.struct(F.coalesce(V.parse(raw_text), held).alias("u"), F.coalesce(raw_text, F.to_json(held)).alias("u_text"))).alias("o"),
     )
+    rows = rows.select("tool", "depth", "above", "o.*")
     u = F.col("u")
     parts = [F.coalesce(_count(u, f"$.{p}"), F.lit(0)) for p in _PARTS]
     total = parts[0]
@@ -136,24 +172,26 @@ def norm_context_records(records: DataFrame, now_ms: int) -> DataFrame:
         total = total + part
     tokens = F.coalesce(_count(u, "$.total_tokens"), _count(u, "$.used_tokens"), total)
 
-    def stamp(o: Column, path: str) -> Column:
-        return F.coalesce(
-            to_millis(V.strict_number(o, path), now_ms), to_millis(V.text(o, path), now_ms, is_text=True)
-        )
+    def typed(value: Column) -> Column:
+        return F.struct(V.strict_number(value, "$").alias("number"), V.text(value, "$").alias("text"))
 
-    model = _first(F.slice(chain, 1, 2), _MODEL, _id_text)
-    folder = F.get(F.filter(F.transform(chain, _folder), lambda x: x.isNotNull()), F.lit(0))
+    def stamp(t: Column) -> Column:
+        return F.coalesce(to_millis(t["number"], now_ms), to_millis(t["text"], now_ms, is_text=True))
+
+    near = F.filter(facts, lambda f: f["depth"] >= F.col("depth") - 1)
+    folders = F.transform(F.filter(facts, lambda f: f["name"].isin(*_FOLDER, *_PARAMS)), _folders)
+    folder = F.get(F.filter(folders, lambda x: x.isNotNull()), F.lit(0))
     digest = F.substring(F.sha1("u_text"), 1, 16)
-    flat = rows.filter(V.is_object(u, "$")).select(
-        "tool",
+    fields = F.struct(
         tokens.cast("long").alias("tokens"),
-        _first(chain, _TIME, stamp).alias("ts_ms"),
-        _first(chain, _CONVERSATION, _id_text).alias("conversation"),
-        _first(chain, _MESSAGE, _id_text).alias("message"),
-        model.alias("raw_model"),
+        _first(facts, _TIME, stamp, typed).alias("ts_ms"),
+        _first(facts, _CONVERSATION, _id_text).alias("conversation"),
+        _first(facts, _MESSAGE, _id_text).alias("message"),
+        _first(near, _MODEL, _id_text).alias("raw_model"),
         basename(folder).alias("project"),
         digest.alias("digest"),
     )
+    flat = rows.filter(V.is_object(u, "$")).select("tool", V.once(fields).alias("f")).select("tool", "f.*")
     identity = F.coalesce("message", "digest")
     numeric = F.col("raw_model").rlike(r"^\d+$")
     shaped = flat.filter((F.col("tokens") > 0) & F.col("ts_ms").isNotNull()).select(
