@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from usagelens.sources import contexts, steps
+from usagelens.sources import contexts, steps, writers
 
 T0 = 1_706_000_000_000
 
@@ -36,3 +36,14 @@ def test_context_fields_are_read_once(spark):
     assert [(e["session_id"], e["model"], e["project"], e["input_tokens"]) for e in events.collect()] == [("c", "doubao-model-3", "p", 9)]
     # a field is read a few times (1,628 reads before), not once more for every use of its value
     assert plan(events).count("try_variant_get") < 300
+
+
+def test_masked_rollouts_are_converted_once(make_lines):
+    used = {"input_tokens": 5, "total_tokens": 6}
+    payload = {"type": "token_count", "info": {"total_token_usage": used, "last_token_usage": {"input_tokens": -1}}, "session_id": "s"}
+    lines = make_lines("codex", {"/r.jsonl": [{"timestamp": "2024-01-05T10:00:00Z", "type": "event_msg", "payload": payload}]})
+    out = writers.export_masked_usage(lines, "codex")
+    text = out.first()["value"]
+    assert json.loads(text)["payload"]["info"] == {"total_token_usage": used} and '"session_id"' in text
+    # 712 reads and 14 renderings before: each predicate had copies of its own
+    assert plan(out).count("try_variant_get") < 100 and plan(out).count("StructsToJson") == 1

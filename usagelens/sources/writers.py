@@ -256,16 +256,31 @@ _ROLLOUT_COUNTS = [
 ]
 
 
-def _counts(v: Column, path: str, fields: list[str]) -> tuple[Column, Column]:
-    """(struct of the present counters, whether all present ones are safe counts and any is)."""
-    valid, some, columns = F.lit(True), F.lit(False), []
-    for field in fields:
-        absent = V.get(v, f"{path}.{field}", "variant").isNull()
-        value = V.safe_int(v, f"{path}.{field}")
-        valid = valid & (absent | value.isNotNull())
-        some = some | ~absent
-        columns.append(value.alias(field))
-    return F.struct(*columns), V.is_object(v, path) & valid & some
+def _variants(names: list[str]) -> str:
+    return ", ".join(f"{n}: variant" for n in names)
+
+
+#: what the export reads of a record; counters stay as they are written, so that their JSON type can be checked
+_TRANSCRIPT = f"""struct<type: string, timestamp: string, sessionId: string, session_id: string, requestId: string,
+    message: struct<id: string, model: string,
+      usage: struct<{_variants(_TRANSCRIPT_COUNTS)}, output_tokens_details: struct<thinking_tokens: variant>>>>"""
+_ROLLOUT_USAGE = f"struct<{_variants(_ROLLOUT_COUNTS)}>"
+_ROLLOUT = f"""struct<type: string, timestamp: string,
+    payload: struct<type: string, model: string, session_id: string, parent_thread_id: string, response_id: string,
+      thread_settings: struct<model: string>, usage: {_ROLLOUT_USAGE},
+      info: struct<total_token_usage: {_ROLLOUT_USAGE}, last_token_usage: {_ROLLOUT_USAGE}>>>"""
+
+
+def _text(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _counts(usage: Column, fields: list[str]) -> Column:
+    """The present counters, null unless all of them are safe counts and any is there."""
+    values = F.filter(F.array(*[usage[f] for f in fields]), lambda x: x.isNotNull())
+    safe = F.forall(F.transform(values, lambda x: V.safe_int(x, "$")), lambda n: n.isNotNull())
+    counters = F.struct(*[F.when(usage[f].isNotNull(), V.get(usage[f], "$", "double").cast("long")).alias(f) for f in fields])
+    return F.when(usage.isNotNull() & (F.size(values) > 0) & safe, counters)
 
 
 def export_masked_usage(lines: DataFrame, tool: str) -> DataFrame:
@@ -274,133 +289,115 @@ def export_masked_usage(lines: DataFrame, tool: str) -> DataFrame:
     Every output object is built from named fields; no free text passes. Rows that do not fit a
     known shape are left out.
     """
-    v = F.col("v")
-    rows = lines.select("*", V.once(V.parse(F.col("value"))).alias("v")).filter(v.isNotNull())
-    stamp = parse_iso_millis(V.text(v, "$.timestamp"))
-    rows = rows.withColumn("at", iso_millis(stamp)).filter(stamp.isNotNull())
-    kind, payload_kind = V.text(v, "$.type"), V.text(v, "$.payload.type")
-
     if tool == "claude-code":
-        usage, usable = _counts(v, "$.message.usage", _TRANSCRIPT_COUNTS)
-        thinking = V.safe_int(v, "$.message.usage.output_tokens_details.thinking_tokens")
-        details = F.when(thinking.isNotNull(), F.struct(thinking.alias("thinking_tokens")))
-        raw_model = V.text(v, "$.message.model")
-        model = masked_model(raw_model)
-        session = F.coalesce(V.text(v, "$.sessionId"), V.text(v, "$.session_id"), F.col("path"))
-        request = V.text(v, "$.requestId")
-        body = F.struct(
-            kind.alias("type"),
-            F.col("at").alias("timestamp"),
-            masked_id("claude-session", session).alias("sessionId"),
-            F.lit(fixed.MASKED_CWD).alias("cwd"),
-            F.struct(
-                masked_id("claude-message", V.text(v, "$.message.id")).alias("id"),
-                model.alias("model"),
-                F.struct(
-                    *[usage[c].alias(c) for c in _TRANSCRIPT_COUNTS],
-                    details.alias("output_tokens_details"),
-                ).alias("usage"),
-            ).alias("message"),
-            F.when(request.isNotNull(), masked_id("claude-request", request)).alias("requestId"),
-        )
-        keep = (
-            (kind == "assistant")
-            & V.text(v, "$.message.id").isNotNull()
-            & usable
-            & model.isNotNull()
-            & (raw_model != "<synthetic>")
-        )
-        return rows.filter(keep).select("path", "block", "pos", F.to_json(body).alias("value"))
-
+        return _masked_transcripts(_shaped(lines, _TRANSCRIPT))
     if tool != "codex":
         raise ValueError(f"no masked export for {tool}")
+    return _masked_rollouts(_shaped(lines, _ROLLOUT))
+
+
+def _shaped(lines: DataFrame, shape: str) -> DataFrame:
+    """Dated records with the fields of ``shape`` in ``r``, one conversion a line."""
+    rows = lines.select("path", "block", "pos", V.once(V.get(V.parse(F.col("value")), "$", shape)).alias("r"))
+    stamp = V.once(iso_millis(parse_iso_millis(_text(F.col("r.timestamp"))))).alias("at")
+    return rows.filter(_text(F.col("r.timestamp")).isNotNull()).select("*", stamp).filter(F.col("at").isNotNull())
+
+
+def _written(rows: DataFrame, body: Column) -> DataFrame:
+    """Lines of the records that have a ``body``, which is built once."""
+    return rows.select("path", "block", "pos", V.once(F.to_json(body)).alias("value")).filter(F.col("value").isNotNull())
+
+
+def _masked_transcripts(rows: DataFrame) -> DataFrame:
+    message, raw_model = F.col("r.message"), _text(F.col("r.message.model"))
+    told = (_text(F.col("r.type")) == "assistant") & _text(message["id"]).isNotNull() & (raw_model != "<synthetic>")
+    thinking = V.safe_int(message["usage"]["output_tokens_details"]["thinking_tokens"], "$")
+    rows = rows.filter(told).select(
+        "*",
+        V.once(F.struct(
+            _counts(message["usage"], _TRANSCRIPT_COUNTS).alias("usage"), thinking.alias("thinking"), masked_model(raw_model).alias("model"),
+        )).alias("c"),
+    )
+    usage, thinking = F.col("c.usage"), F.col("c.thinking")
+    details = F.when(thinking.isNotNull(), F.struct(thinking.alias("thinking_tokens")))
+    session = F.coalesce(_text(F.col("r.sessionId")), _text(F.col("r.session_id")), F.col("path"))
+    request = _text(F.col("r.requestId"))
+    body = F.struct(
+        F.col("r.type").alias("type"),
+        F.col("at").alias("timestamp"),
+        masked_id("claude-session", session).alias("sessionId"),
+        F.lit(fixed.MASKED_CWD).alias("cwd"),
+        F.struct(
+            masked_id("claude-message", message["id"]).alias("id"),
+            F.col("c.model").alias("model"),
+            F.struct(*[usage[f].alias(f) for f in _TRANSCRIPT_COUNTS], details.alias("output_tokens_details")).alias("usage"),
+        ).alias("message"),
+        F.when(request.isNotNull(), masked_id("claude-request", request)).alias("requestId"),
+    )
+    return _written(rows.filter(usage.isNotNull() & F.col("c.model").isNotNull()), body)
 
-    def masked(domain: str, path: str) -> Column:
-        value = V.text(v, path)
-        return F.when(value.isNotNull(), masked_id(domain, value))
-
-    record_usage, record_ok = _counts(v, "$.payload.usage", _ROLLOUT_COUNTS)
-    total, total_ok = _counts(v, "$.payload.info.total_token_usage", _ROLLOUT_COUNTS)
-    last, last_ok = _counts(v, "$.payload.info.last_token_usage", _ROLLOUT_COUNTS)
-    turn_model = masked_model(V.text(v, "$.payload.model"))
-    settings_model = masked_model(V.text(v, "$.payload.thread_settings.model"))
-    has_payload = V.is_object(v, "$.payload")
-
-    def record(type_name: str, payload: Column | None) -> Column:
-        fields = [F.lit(type_name).alias("type"), F.col("at").alias("timestamp")]
-        if payload is not None:
-            fields.append(payload.alias("payload"))
-        return F.to_json(F.struct(*fields))
 
-    session_id = masked("codex-session", "$.payload.session_id").alias("session_id")
+def _masked_rollouts(rows: DataFrame) -> DataFrame:
+    payload, kind = F.col("r.payload"), _text(F.col("r.type"))
+    payload_kind = _text(payload["type"])
     shapes = [
-        (kind == "compacted", record("compacted", None)),
-        (~has_payload, F.lit(None).cast("string")),
-        (
-            (kind == "session_meta") | (payload_kind == "session_meta"),
-            record(
-                "session_meta",
-                F.struct(
-                    F.lit(fixed.MASKED_CWD).alias("cwd"),
-                    masked("codex-session", "$.payload.parent_thread_id").alias("parent_thread_id"),
-                ),
-            ),
-        ),
-        (
-            kind == "turn_context",
-            F.when(turn_model.isNotNull(), record("turn_context", F.struct(turn_model.alias("model")))),
-        ),
-        (
-            payload_kind == "thread_settings_applied",
-            F.when(
-                settings_model.isNotNull(),
-                record(
-                    "event_msg",
-                    F.struct(
-                        F.lit("thread_settings_applied").alias("type"),
-                        F.struct(settings_model.alias("model")).alias("thread_settings"),
-                    ),
-                ),
-            ),
-        ),
-        (
-            kind == "token_usage_record",
-            F.when(
-                record_ok & V.text(v, "$.payload.response_id").isNotNull(),
-                record(
-                    "token_usage_record",
-                    F.struct(
-                        record_usage.alias("usage"),
-                        masked("codex-response", "$.payload.response_id").alias("response_id"),
-                        session_id,
-                    ),
-                ),
-            ),
-        ),
-        (
-            payload_kind == "token_count",
-            F.when(
-                total_ok,
-                record(
-                    "event_msg",
-                    F.struct(
-                        F.lit("token_count").alias("type"),
-                        F.struct(
-                            total.alias("total_token_usage"),
-                            F.when(last_ok, last).alias("last_token_usage"),
-                        ).alias("info"),
-                        session_id,
-                    ),
-                ),
-            ),
-        ),
-        (
-            (kind == "response_item") & (payload_kind == "function_call"),
-            record("response_item", F.struct(F.lit("function_call").alias("type"))),
-        ),
+        (kind == "compacted", "compacted"),
+        (payload.isNull(), None),
+        ((kind == "session_meta") | (payload_kind == "session_meta"), "session_meta"),
+        (kind == "turn_context", "turn_context"),
+        (payload_kind == "thread_settings_applied", "settings"),
+        (kind == "token_usage_record", "token_usage_record"),
+        (payload_kind == "token_count", "count"),
+        ((kind == "response_item") & (payload_kind == "function_call"), "call"),
     ]
-    out = None
-    for condition, value in shapes:
-        hit = F.coalesce(condition, F.lit(False))
-        out = (F if out is None else out).when(hit, value)
-    return rows.select("path", "block", "pos", out.alias("value")).filter(F.col("value").isNotNull())
+    shape = None
+    for condition, name in shapes:
+        shape = (F if shape is None else shape).when(F.coalesce(condition, F.lit(False)), F.lit(name).cast("string"))
+    rows = rows.select("*", V.once(shape).alias("shape")).filter(F.col("shape").isNotNull())
+    info = payload["info"]
+
+    def of(shapes: str | list[str], value: Column) -> Column:
+        return F.when(F.col("shape").isin(shapes), value)
+
+    def masked(domain: str, value: Column) -> Column:
+        return F.when(_text(value).isNotNull(), masked_id(domain, value))
+
+    rows = rows.select(
+        "*",
+        V.once(F.struct(
+            of("turn_context", masked_model(_text(payload["model"]))).alias("model"),
+            of("settings", masked_model(_text(payload["thread_settings"]["model"]))).alias("settings"),
+            of("token_usage_record", _counts(payload["usage"], _ROLLOUT_COUNTS)).alias("usage"),
+            of("count", _counts(info["total_token_usage"], _ROLLOUT_COUNTS)).alias("total"),
+            of("count", _counts(info["last_token_usage"], _ROLLOUT_COUNTS)).alias("last"),
+            of("token_usage_record", masked("codex-response", payload["response_id"])).alias("response_id"),
+            of(["token_usage_record", "count"], masked("codex-session", payload["session_id"])).alias("session_id"),
+            of("session_meta", masked("codex-session", payload["parent_thread_id"])).alias("parent_thread_id"),
+        )).alias("c"),
+    )
+    is_, c = {name: F.col("shape") == name for _, name in shapes if name}, F.col("c")
+    fits = (
+        is_["compacted"]
+        | is_["session_meta"]
+        | is_["call"]
+        | (is_["turn_context"] & c["model"].isNotNull())
+        | (is_["settings"] & c["settings"].isNotNull())
+        | (is_["token_usage_record"] & c["usage"].isNotNull() & c["response_id"].isNotNull())
+        | (is_["count"] & c["total"].isNotNull())
+    )
+    kind_out = F.when(is_["settings"] | is_["count"], "event_msg").when(is_["call"], "response_item").otherwise(F.col("shape"))
+    inner_kind = F.when(is_["settings"], "thread_settings_applied").when(is_["count"], "token_count").when(is_["call"], "function_call")
+    # absent fields are not written, so one struct serves all shapes
+    content = F.struct(
+        inner_kind.alias("type"),
+        of("session_meta", F.lit(fixed.MASKED_CWD)).alias("cwd"),
+        c["parent_thread_id"].alias("parent_thread_id"),
+        c["model"].alias("model"),
+        of("settings", F.struct(c["settings"].alias("model"))).alias("thread_settings"),
+        c["usage"].alias("usage"),
+        c["response_id"].alias("response_id"),
+        of("count", F.struct(c["total"].alias("total_token_usage"), c["last"].alias("last_token_usage"))).alias("info"),
+        c["session_id"].alias("session_id"),
+    )
+    body = F.struct(kind_out.alias("type"), F.col("at").alias("timestamp"), F.when(~is_["compacted"], content).alias("payload"))
+    return _written(rows.filter(fits), body)
