@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -19,9 +18,9 @@ from usagelens import fixed
 from usagelens.session import use_keyed_state
 
 
-def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    """One key's rows of a micro-batch, sorted."""
-    return pd.concat(list(rows)).sort_values(list(by), kind="stable")
+def _in_order(rows: Iterator[Row], *by: str) -> list[Row]:
+    """One key's rows of a micro-batch, sorted, nulls last."""
+    return sorted(rows, key=lambda row: [(row[name] is None, row[name] or 0) for name in by])
 
 
 class Keyed(StatefulProcessor):
@@ -37,20 +36,23 @@ class Keyed(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", self.schema)
+        self.row = Row(*[field.split()[0] for field in self.out.split(", ")])
 
+    # every call to the state is a message to the JVM, and a key has few rows: what was read is not asked for again
     def get(self) -> tuple | None:
-        return self.value.get()[:-1] if self.value.exists() else None
+        self.held = self.value.get()
+        return None if self.held is None else self.held[:-1]
 
     def put(self, values: tuple, until_ms: int) -> None:
-        if self.value.exists():
-            self.handle.deleteTimer(self.value.get()[-1])
+        """New values of the key that :meth:`get` read."""
+        before = None if self.held is None else self.held[-1]
         self.value.update((*values, until_ms))
-        self.handle.registerTimer(until_ms)
+        if before != until_ms:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(until_ms)
 
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[field.split()[0] for field in self.out.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.value.clear()
         return iter([])
 
@@ -62,7 +64,7 @@ def _keyed(rows: DataFrame, keys: list[str], processor: Keyed, time_ms: str, del
     use_keyed_state(rows.sparkSession)
     # a watermark begins at the epoch and what is not after it is late, so that instant itself needs a millisecond more
     timed = rows.withColumn("event_time", F.timestamp_millis(F.col(time_ms) + 1)).withWatermark("event_time", delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    return timed.groupBy(*keys).transformWithState(
         statefulProcessor=processor.prepared(), outputStructType=StructType.fromDDL(processor.out), outputMode=mode, timeMode="eventTime"
     )
 
@@ -78,19 +80,19 @@ class LastSend(Keyed):
     def __init__(self, max_ms: int) -> None:
         self.max_ms = max_ms
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.get()
         sent = first = None if held is None else held[0]
-        found = []
         # at one instant replies come first: a wait of nothing is no wait
-        for row in _in_order(rows, "at_ms", "is_send").itertuples(index=False):
+        for row in _in_order(rows, "at_ms", "is_send"):
+            if row.at_ms is None:
+                break
             if row.is_send:
-                sent = int(row.at_ms)
+                sent = row.at_ms
             elif sent is not None and 0 < row.at_ms - sent <= self.max_ms:
-                found.append((row.dedup_key, int(row.at_ms) - sent))
+                yield self.row(row.dedup_key, row.at_ms - sent)
         if sent is not None and sent != first:
             self.put((sent,), sent + self.max_ms + 1)
-        yield self.frame(found)
 
 
 def stream_pair_latency(
@@ -121,18 +123,16 @@ class Spaced(Keyed):
     def __init__(self, gap_ms: int) -> None:
         self.gap_ms = gap_ms
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.get()
         last = first = None if held is None else held[0]
-        kept = []
-        new = _in_order(rows, "received_ms", "ord")
-        for at, order in zip(new["received_ms"].tolist(), new["ord"].tolist()):
-            if last is None or at - last >= self.gap_ms:
+        for row in _in_order(rows, "received_ms", "ord"):
+            at = row.received_ms
+            if at is not None and (last is None or at - last >= self.gap_ms):
                 last = at
-                kept.append((key[0], at, order))
+                yield self.row(key[0], at, row.ord)
         if last != first:
             self.put((last,), last + self.gap_ms)
-        yield self.frame(kept)
 
 
 def stream_throttle(reports: DataFrame, gap_ms: int = fixed.THROTTLE_MS, delay: str = "10 minutes") -> DataFrame:
@@ -151,21 +151,23 @@ class Newest(Keyed):
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         ts, tokens = self.get() or (-1, 0)
         before = ts
-        for batch in rows:
-            newest = batch.sort_values(["ts_ms", "context_tokens"]).iloc[-1]
-            if newest["ts_ms"] > ts:
-                ts, tokens = int(newest["ts_ms"]), int(newest["context_tokens"])
+        dated = [(row.ts_ms, row.context_tokens) for row in rows if row.ts_ms is not None]
+        # of one instant the largest context
+        newest = max(dated, key=lambda s: (s[0], s[1] is not None, s[1] or 0), default=(-1, 0))
+        if newest[0] > ts:
+            ts, tokens = newest
         if ts != before:
             self.put((ts, tokens), ts + self.ttl_ms)
-        yield self.frame([(key[0], ts, tokens, True)])
+        yield self.row(key[0], ts, tokens, True)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         ended = self.get()
         self.value.clear()
-        yield self.frame([] if ended is None else [(key[0], *ended, False)])
+        if ended is not None:
+            yield self.row(key[0], *ended, False)
 
 
 def stream_live(snapshots: DataFrame, ttl_ms: int = fixed.LIVE_TTL_MS, delay: str = "1 minute") -> DataFrame:
@@ -185,18 +187,16 @@ class Rising(Keyed):
     def __init__(self, round_ms: int) -> None:
         self.round_ms = round_ms
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         level, last = self.get() or (0, -1)
-        out = []
-        new = _in_order(rows, "round")
-        for number, now in zip(new["round"].tolist(), new["level"].tolist()):
+        for row in _in_order(rows, "round"):
+            number, now = row["round"], row["level"]
             if number > last + 1:
                 level = 0  # the condition was gone in between
-            out.append((key[0], number, now, now > level))
+            yield self.row(key[0], number, now, now > level)
             level, last = now, number
         # a key that is absent in the next round starts anew, so its state ends with that round
         self.put((level, last), (last + 2) * self.round_ms)
-        yield self.frame(out)
 
 
 def alert_edges(levels: DataFrame, round_ms: int = 60_000, delay: str = "1 minute") -> DataFrame:
