@@ -264,3 +264,29 @@ def test_digests_in_the_query(spark):
     for r in table(spark, SF, "documents").collect():
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(ids_of(r.text)).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from usagelens.llm.common import BATCH_BYTES, text_rows
+
+    def describe(batches):
+        for batch in batches:
+            yield batch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    docs = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long "), 2_000).alias("text"))
+    got = text_rows(docs).mapInArrow(describe, "rows long, size long").collect()
+    assert sum(row["rows"] for row in got) == 2_000
+    assert max(row["size"] for row in got) <= 2 * BATCH_BYTES
+
+
+def test_the_classifier_is_the_same_in_slices(spark, monkeypatch):
+    rows = [(i % 4, [j for j in range(6) if (i * 7 + j) % 3 == 0], 1 + i % 5) for i in range(500)]
+    alike = spark.createDataFrame(rows, "votes int, hits array<int>, n long").coalesce(1)
+    posterior = {0: 0.1, 1: 0.4, 2: 0.6, 3: 0.9}
+    monkeypatch.setattr(toxicity, "MATRIX_ROWS", 1_000)
+    whole, bias = toxicity._fit_logistic(alike, posterior, 6)
+    monkeypatch.setattr(toxicity, "MATRIX_ROWS", 64)
+    sliced, same_bias = toxicity._fit_logistic(alike, posterior, 6)
+    assert (whole == sliced).all() and bias == same_bias

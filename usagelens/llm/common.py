@@ -24,8 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: bytes of rows that a task hands to Python at once
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end at so many bytes too: by rows alone, long texts and sets make them as large as they are."""
+    bound = spark.conf.get(_BATCH_CONF, None)
+    if bound is None or not bound.isdigit() or int(bound) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id as long and the text as string without nulls; nothing else is read."""
+    """The id as long and the text as string without nulls; nothing else is read. Its batches are bounded in bytes."""
+    bound_batches(docs.sparkSession)
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
     )

@@ -28,6 +28,8 @@ from usagelens.llm.common import crc_bucket, reliable, tasks_for, text_rows
 LABELLED_ROWS = 12_000
 #: features the classifier may use
 MAX_FEATURES = 400
+#: rows of the classifier's matrix that a task holds at once
+MATRIX_ROWS = 1024
 #: a text from this score on is toxic
 THRESHOLD = 0.3
 #: prefixes that stand for compounds and inflected forms
@@ -225,7 +227,7 @@ def _fit_logistic(
     def partial(w: np.ndarray):
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((size + 1, size))  # the slope below the curve
-            for batch in batches:
+            for batch in (b.slice(at, MATRIX_ROWS) for b in batches for at in range(0, b.num_rows, MATRIX_ROWS)):
                 x = np.zeros((batch.num_rows, size))
                 x[:, n_features] = 1
                 for i, on in enumerate(batch.column("hits").to_pylist()):
