@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
+
+import numpy as np
 
 from usagelens.llm import jaccard_join, substring_dedup
 from usagelens.llm.common import FOLD_BYTES, table
 from usagelens.llm.exact_dedup import exact_duplicates, keep_one_copy
 from usagelens.llm.jaccard_join import jaccard_components, keep_one_of_each
-from usagelens.llm.shingles import run_hashes, word_hashes
+from usagelens.llm.shingles import run_hashes, shingle_sets, word_hashes
 from usagelens.llm.substring_dedup import remove_repeats
 
 from .conftest import SF, awkward_rows, words
@@ -213,3 +216,30 @@ def test_substring_splits_a_hot_anchor(spark, monkeypatch):
             sizes[part] = sizes.get(part, 0) + len(held) // 8
     assert sum(sizes.values()) > 5_000 and max(sizes.values()) < 1_000
     assert removal_rows(remove_repeats(docs)) == brute_removal(rows)
+
+
+def test_repeated_tokens_are_counted_in_place():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 5, 300_000):
+        tokens = rng.integers(0, 2**64 - 1, n, np.uint64) if n > 5 else np.zeros(n, np.uint64)
+        tokens = np.concatenate([tokens, tokens[: n // 3], tokens[: n // 7]])
+        values, counts = np.unique(tokens, return_counts=True)
+        held = tokens.copy()
+        tracemalloc.start()
+        found, many = jaccard_join.repeated(held)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.tolist() == values[counts > 1].tolist() and many.tolist() == counts[counts > 1].tolist()
+        assert most <= 2 * held.nbytes + 10_000
+
+
+def test_frequent_tokens_in_small_pieces(spark, monkeypatch):
+    rows = [(i, " ".join(words(900 + i % 3, 30) + words(i, 5 + i % 40))) for i in range(300)] + [(300, None), (301, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("doc_id", "coalesce(cast(text AS binary), X'') AS text")
+    whole = jaccard_join.frequent_tokens(docs, least=64)
+    sets = shingle_sets([(text or "").encode() for _, text in rows])
+    values, counts = np.unique(np.concatenate(list({s.tobytes(): s for s in sets}.values())), return_counts=True)
+    assert len(whole[0]) > 0 and whole[0].tolist() == values[counts > 64].tolist()
+    monkeypatch.setattr(jaccard_join, "TASK_TOKENS", 50)  # less than a set's
+    pieces = jaccard_join.frequent_tokens(docs, least=0)
+    assert set(pieces[0].tolist()) <= set(values[counts > 1].tolist())

@@ -117,6 +117,15 @@ def set_nodes(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(describe, "doc_id long, node long, n int, map binary")
 
 
+def repeated(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur more than once, and how often. Sorts in place: a task's tokens are held once."""
+    tokens.sort()
+    again = np.concatenate([[False], tokens[1:] == tokens[:-1], [False]])
+    turns = np.flatnonzero(again[1:] != again[:-1])
+    begin, end = turns[::2], turns[1::2]
+    return tokens[begin], end - begin + 1
+
+
 def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_FROM, room: int = FREQUENT_TOKENS):
     """The most frequent tokens of the sets, at most ``room``.
 
@@ -124,26 +133,26 @@ def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_
     which tokens come last in the order.
     """
 
-    def tally(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        tokens, counts = tokens[counts > 1], counts[counts > 1]
+    def tally(tokens: np.ndarray) -> pa.RecordBatch:
+        tokens, counts = repeated(tokens)
         return pa.RecordBatch.from_arrays(
             [pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "seen"]
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, seen = [], 0, set()
+        held, total, seen = np.empty(TASK_TOKENS, np.uint64), 0, set()
         for _, nodes, sets in _nodes(batches, size):
             for node, s in zip(nodes, sets):
-                if node not in seen:
-                    seen.add(node)
-                    held.append(s)
-                    total += len(s)
-            if total >= TASK_TOKENS:
-                yield tally(held)
-                held, total, seen = [], 0, set()
-        if held:
-            yield tally(held)
+                if node in seen:
+                    continue
+                if total + len(s) > len(held):
+                    yield tally(held[:total])
+                    held, total, seen = held if len(s) <= len(held) else np.empty(len(s), np.uint64), 0, set()
+                seen.add(node)
+                held[total : total + len(s)] = s
+                total += len(s)
+        if total:
+            yield tally(held[:total])
 
     counted = rows.mapInArrow(count, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     found = counted.filter(F.col("seen") > least).orderBy(F.desc("seen"), "token").limit(room)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: bytes of text that are hashed together
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
