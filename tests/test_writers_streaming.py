@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from usagelens.operators.dedup import dedup_events, merge_upsert
 from usagelens.plans import views
 from usagelens.sources import files, transcripts, writers
 from usagelens.streaming import jobs, stateful
-from usagelens.schema import EVENT_SCHEMA, as_events
+from usagelens.schema import EVENT_SCHEMA, USAGE_COLUMNS, as_events
 
 SF = "/root/testdata/sf0.001"
 NAMES = EVENT_SCHEMA.fieldNames()
@@ -226,3 +227,47 @@ def test_stream_live_context(spark, tmp_path):
     out = run_memory(spark, stateful.stream_live(source(spark, tmp_path, "lc", snaps.coalesce(1))), "liv", "update")
     newest = {r["session_id"]: r["context_tokens"] for r in out.filter("live").orderBy("ts_ms").collect()}
     assert newest == {"s": 9, "t": 1}
+
+
+def _message_rows(seed: int) -> list[dict]:
+    rng, rows = random.Random(seed), []
+    for n in range(400):
+        message = rng.randint(0, 30)
+        key = f"claude-code:message:{message}" if rng.random() < 0.6 else f"claude-code:{message}:r{rng.randint(0, 2)}"
+        fields = {c: rng.choice([None, None, f"{c}{rng.randint(0, 9)}"]) for c in ("model", "project", "session_id")}
+        rows.append({"dedup_key": key, "ord": n, "tool": "claude-code", "usage_quality": rng.randint(0, 2), **fields,
+                     "output_tokens": rng.randint(0, 3), "total_tokens": rng.randint(0, 2), "duration_ms": rng.choice([None, -5, rng.randint(0, 9)]),
+                     "device": rng.choice(["unknown", "unknown", "laptop", "tower"])})
+    return rows
+
+
+def test_merge_upsert_of_messages_against_brute_force(spark, tmp_path):
+    rows = _message_rows(3)
+    names = ["dedup_key", "ts_ms", "trace_id", *USAGE_COLUMNS, "tool", "model", "project", "session_id", "duration_ms", "device", "usage_quality"]
+    kinds = {c: "long" for c in ["ts_ms", "duration_ms", *USAGE_COLUMNS]} | {"usage_quality": "int"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names) + ", ord long"
+    spark.createDataFrame([tuple(r.get(c) for c in [*names, "ord"]) for r in rows], schema).write.parquet(str(tmp_path / "rows"))
+    arrivals = spark.read.parquet(str(tmp_path / "rows"))
+    merged = merge_upsert(arrivals.filter("ord < 0").drop("ord"), arrivals)
+
+    new = {r["dedup_key"] for r in rows if ":message:" in r["dedup_key"]}
+    groups: dict[str, list] = {}
+    for r in rows:
+        joined = "claude-code:message:" + r["dedup_key"].split(":")[1]
+        groups.setdefault(r["dedup_key"] if r["dedup_key"] in new or joined not in new else joined, []).append(r)
+    expected = []
+    for key, group in groups.items():
+        w = dict(max(group, key=lambda r: (r["usage_quality"] or 2, r["output_tokens"], r["total_tokens"], -r["ord"])))
+        for c in ("model", "project", "session_id"):
+            # the fields of a message's later arrivals; an unobserved old key has none
+            after = [r[c] for r in group if r["ord"] > w["ord"] and r[c] is not None] if key in new else []
+            w[c] = w[c] if w[c] is not None else next(iter(after), None)
+        own = [r for r in rows if r["dedup_key"] == key]
+        longest = max((r["duration_ms"] for r in own if (r["duration_ms"] or 0) > 0), default=None)
+        known = next((r["device"] for r in own if r["device"] != "unknown"), None)
+        expected.append((key, w["model"], w["project"], w["session_id"], max((x for x in (w["duration_ms"], longest) if x is not None), default=None),
+                         known or w["device"], w["usage_quality"] or 2))
+    got = merged.select("dedup_key", "model", "project", "session_id", "duration_ms", "device", "usage_quality")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    # one pass folds all rules; what reads the rows again are the two look-backs
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 8

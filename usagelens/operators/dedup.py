@@ -6,28 +6,33 @@ and a key that holds a large share of the rows does not gather in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions.keys import canonical_key, key_stem
 from usagelens.functions.names import normalize_model
 from usagelens.operators.skew import running, salted_join
 from usagelens.schema import USAGE_COLUMNS
+from usagelens.session import cut_lineage
 
 
-def _carried(df: DataFrame, *used: str) -> list[str]:
-    """Columns that follow the first arrival."""
-    return [c for c in df.columns if c not in {"dedup_key", "ord", *used}]
+def _of(rule: Column | None, value: Column) -> Column:
+    """A value of the rows that follow a rule; without one, of all."""
+    return value if rule is None else F.when(rule, value)
+
+
+def _events_folds(columns: list[str], rule: Column | None = None) -> list[Column]:
+    first = F.struct(*[c for c in columns if c not in {"dedup_key", "ord", *USAGE_COLUMNS}])
+    largest = F.struct(F.col("output_tokens"), -F.col("ord"))
+    return [
+        F.min_by(first, _of(rule, F.col("ord"))).alias("f"),
+        F.max_by(F.struct(*USAGE_COLUMNS), _of(rule, largest)).alias("u"),
+    ]
 
 
 def dedup_events(arrivals: DataFrame) -> DataFrame:
     """Identity from the first arrival, usage from the earliest row with the largest output."""
-    usage = F.struct(*USAGE_COLUMNS)
-    first = F.struct(*_carried(arrivals, *USAGE_COLUMNS))
-    merged = arrivals.groupBy("dedup_key").agg(
-        F.min_by(first, "ord").alias("f"),
-        F.max_by(usage, F.struct(F.col("output_tokens"), -F.col("ord"))).alias("u"),
-    )
+    merged = arrivals.groupBy("dedup_key").agg(*_events_folds(arrivals.columns))
     return merged.select("dedup_key", "f.*", "u.*").select(
         "dedup_key", *[c for c in arrivals.columns if c not in ("dedup_key", "ord")]
     )
@@ -37,43 +42,75 @@ _CLAUDE_KEY = "claude-code:message:"
 _CLAUDE_FILLED = ["model", "project", "session_id"]
 
 
+def _is_message_key() -> Column:
+    return F.col("dedup_key").startswith(_CLAUDE_KEY)
+
+
+def _message_key() -> Column:
+    """The key of a message under either kind of key."""
+    message = F.regexp_extract("dedup_key", r"^claude-code:([^:]+):", 1)
+    return F.when(_is_message_key(), F.col("dedup_key")).otherwise(F.concat(F.lit(_CLAUDE_KEY), message))
+
+
+def _message_quality() -> Column:
+    return F.when(F.col("usage_quality") == 0, 2).otherwise(F.col("usage_quality")).cast("int")
+
+
+def _claude_folds(columns: list[str], rule: Column | None = None) -> list[Column]:
+    """Of a key: the winner, and of each field to fill its first known value and the last instant it was known."""
+    quality = _message_quality()
+    kept = [quality.alias(c) if c == "usage_quality" else F.col(c) for c in columns if c not in ("dedup_key", "ord")]
+    rank = F.struct(quality.alias("q"), "output_tokens", "total_tokens", -F.col("ord"))
+    folds = [F.max_by(F.struct(*kept, "ord"), _of(rule, rank)).alias("w")]
+    for c in _CLAUDE_FILLED:
+        known = F.col(c).isNotNull() & F.col("ord").isNotNull()
+        known = known if rule is None else known & rule
+        folds.append(F.min(F.when(known, F.struct("ord", F.col(c).alias("value")))).alias(f"first_{c}"))
+        folds.append(F.max(F.when(known, F.col("ord"))).alias(f"last_{c}"))
+    return folds
+
+
 def dedup_claude(arrivals: DataFrame) -> DataFrame:
     """One row per message id by (quality, output, total), the earliest of equals.
 
     Old-style keys of a message that was observed join its group; unobserved ones stay. Fields
     the winner lacks are taken from the next arrival that has them.
     """
-    message = F.regexp_extract("dedup_key", r"^claude-code:([^:]+):", 1)
-    is_new = F.col("dedup_key").startswith(_CLAUDE_KEY)
-    rows = arrivals.withColumn("old_key", F.when(~is_new, F.col("dedup_key"))).withColumn(
-        "dedup_key",
-        F.when(is_new, F.col("dedup_key")).otherwise(F.concat(F.lit(_CLAUDE_KEY), message)),
-    )
-    quality = F.when(F.col("usage_quality") == 0, 2).otherwise(F.col("usage_quality"))
-    rows = rows.withColumn("usage_quality", quality.cast("int"))
+    folded = cut_lineage(arrivals.groupBy("dedup_key").agg(*_claude_folds(arrivals.columns)))
+    return _messages(folded, arrivals)
+
+
+def _messages(folded: DataFrame, arrivals: DataFrame, facts: list[str] | None = None) -> DataFrame:
+    """Merged messages from the folds of their original keys, so that unobserved old keys remain apart.
+
+    ``facts`` are columns of ``folded`` that belong to a key itself. Arrivals are looked at again only for winners that
+    lack a field which was known before them and after them.
+    """
+    facts = facts or []
     kept = [c for c in arrivals.columns if c not in ("dedup_key", "ord")]
-    rank = F.struct("usage_quality", "output_tokens", "total_tokens", -F.col("ord"))
-    # fold twice: by original key first, so that unobserved old keys remain apart
-    per_key = rows.groupBy("dedup_key", "old_key").agg(
-        F.max_by(F.struct(*kept, "ord"), rank).alias("w")
-    )
+    per_key = folded.withColumn("old_key", F.when(~_is_message_key(), F.col("dedup_key"))).withColumn("dedup_key", _message_key())
+    is_new = F.col("old_key").isNull()
+    fills = [f(f"{when}_{c}").alias(f"{when}_{c}") for c in _CLAUDE_FILLED for when, f in (("first", F.min), ("last", F.max))]
     observed = per_key.groupBy("dedup_key").agg(
-        F.max(F.col("old_key").isNull()).alias("observed"),
-        F.max_by(
-            "w",
-            F.struct("w.usage_quality", "w.output_tokens", "w.total_tokens", -F.col("w.ord")),
-        ).alias("w"),
+        F.max(is_new).alias("observed"),
+        F.max_by("w", F.struct("w.usage_quality", "w.output_tokens", "w.total_tokens", -F.col("w.ord"))).alias("w"),
+        *fills,
+        *[F.max(F.when(is_new, F.col(c))).alias(c) for c in facts],
     )
-    winners = observed.filter("observed").select("dedup_key", "w.*")
+    winners = observed.filter("observed").drop("observed")
     unobserved = (
         per_key.filter(F.col("old_key").isNotNull())
-        .join(winners.select("dedup_key"), "dedup_key", "left_anti")
-        .select(F.col("old_key").alias("dedup_key"), "w.*")
-        .drop("ord")
+        .join(per_key.filter(is_new).select("dedup_key"), "dedup_key", "left_anti")
+        .select(F.col("old_key").alias("dedup_key"), *[F.col(f"w.{c}") for c in kept], *facts)
+    )
+
+    def known_around(c: str) -> Column:
+        return F.col(f"w.{c}").isNull() & (F.col(f"first_{c}.ord") <= F.col("w.ord")) & (F.col(f"last_{c}") > F.col("w.ord"))
+
+    lacking = winners.filter(known_around("model") | known_around("project") | known_around("session_id")).select(
+        "dedup_key", F.col("w.ord").alias("won_at")
     )
-    lacking = winners.filter(
-        F.col("model").isNull() | F.col("project").isNull() | F.col("session_id").isNull()
-    ).select("dedup_key", F.col("ord").alias("won_at"))
+    rows = arrivals.filter(F.coalesce(*[F.col(c).cast("string") for c in _CLAUDE_FILLED]).isNotNull()).withColumn("dedup_key", _message_key())
     later = (
         salted_join(rows.select("dedup_key", "ord", *_CLAUDE_FILLED), lacking, ["dedup_key"], spread_by="ord")
         .filter(F.col("ord") > F.col("won_at"))
@@ -85,14 +122,15 @@ def dedup_claude(arrivals: DataFrame) -> DataFrame:
             ]
         )
     )
-    filled = winners.join(later, "dedup_key", "left").select(
-        "dedup_key",
-        *[
-            F.coalesce(c, f"later_{c}").alias(c) if c in _CLAUDE_FILLED else F.col(c)
-            for c in kept
-        ],
+
+    def filled(c: str) -> Column:
+        first = F.col(f"first_{c}")
+        return F.coalesce(f"w.{c}", F.when(first["ord"] > F.col("w.ord"), first["value"]), f"later_{c}").alias(c)
+
+    found = winners.join(later, "dedup_key", "left").select(
+        "dedup_key", *[filled(c) if c in _CLAUDE_FILLED else F.col(f"w.{c}") for c in kept], *facts
     )
-    return filled.unionByName(unobserved.select("dedup_key", *kept))
+    return found.unionByName(unobserved)
 
 
 def dedup_request_alias(events: DataFrame, seen_legacy_keys: DataFrame, tool: str = "dsh") -> DataFrame:
@@ -108,26 +146,48 @@ def dedup_request_alias(events: DataFrame, seen_legacy_keys: DataFrame, tool: st
     return events.join(stale, ["dedup_key", "tool"], "left_anti")
 
 
-def dedup_quality(arrivals: DataFrame, chunk_size: int = 1_000_000) -> DataFrame:
-    """Better quality wins; equals by latest (exact), output (context) or total (estimate).
-
-    Identity follows the first arrival. The model is the last known one among the rows that
-    were accepted when they arrived; only keys whose winner has no model need that look-back.
-    """
+def _strength() -> Column:
     metric = (
         F.when(F.col("usage_quality") == 2, F.col("output_tokens"))
         .when(F.col("usage_quality") == 1, F.col("total_tokens"))
         .otherwise(F.lit(0))
     )
-    rows = arrivals.withColumn("strength", F.struct("usage_quality", metric.alias("m")))
+    return F.struct("usage_quality", metric.alias("m"))
+
+
+def _quality_folds(columns: list[str], rule: Column | None = None) -> list[Column]:
     usage = [*USAGE_COLUMNS, "usage_quality"]
-    first = _carried(arrivals, *usage, "model")
-    merged = rows.groupBy("dedup_key").agg(
-        F.min_by(F.struct(*first), "ord").alias("f"),
-        F.max_by(F.struct(*usage, "model"), F.struct("strength", "ord")).alias("u"),
-    )
-    resolved = merged.select("dedup_key", "f.*", "u.*")
-    lacking = resolved.filter(F.col("model").isNull()).select("dedup_key")
+    first = [c for c in columns if c not in {"dedup_key", "ord", *usage, "model"}]
+    strongest = F.struct(_strength().alias("strength"), "ord")
+    return [
+        F.min_by(F.struct(*first), _of(rule, F.col("ord"))).alias("qf"),
+        F.max_by(F.struct(*usage, "model"), _of(rule, strongest)).alias("qu"),
+        F.max(_of(rule, F.when(F.col("model").isNotNull(), F.struct(_strength().alias("strength"), "ord", "model")))).alias("best_known"),
+        F.min(_of(rule, F.when(F.col("model").isNull(), F.col("ord")))).alias("first_unknown"),
+    ]
+
+
+def dedup_quality(arrivals: DataFrame, chunk_size: int = 1_000_000) -> DataFrame:
+    """Better quality wins; equals by latest (exact), output (context) or total (estimate).
+
+    Identity follows the first arrival. The model is the last known one among the rows that
+    were accepted when they arrived; only keys whose winner has no model, and whose folds leave it open, need that look-back.
+    """
+    folded = cut_lineage(arrivals.groupBy("dedup_key").agg(*_quality_folds(arrivals.columns)))
+    return _graded(folded, arrivals, chunk_size)
+
+
+def _graded(folded: DataFrame, arrivals: DataFrame, chunk_size: int = 1_000_000, facts: list[str] | None = None) -> DataFrame:
+    """Merged graded rows from the folds of their keys; ``facts`` are columns of ``folded`` that go along."""
+    facts = facts or []
+    rows = arrivals.withColumn("strength", _strength())
+    # the strongest row with a model was accepted for certain if all rows before it have one
+    certain = F.coalesce(F.col("best_known.ord") < F.col("first_unknown"), F.lit(False))
+    resolved = folded.select(
+        "dedup_key", "qf.*", "qu.*", F.when(certain, F.col("best_known.model")).alias("certain_model"),
+        (F.col("best_known").isNotNull() & ~certain).alias("open_model"), *facts,
+    )
+    lacking = resolved.filter(F.col("model").isNull() & F.col("open_model")).select("dedup_key")
     history = salted_join(
         rows.select("dedup_key", "ord", "model", "strength"), lacking, ["dedup_key"], "left_semi", "ord"
     ).withColumn("slice", F.floor(F.col("ord") / chunk_size))
@@ -138,9 +198,9 @@ def dedup_quality(arrivals: DataFrame, chunk_size: int = 1_000_000) -> DataFrame
         F.max_by("model", F.when(F.col("model").isNotNull(), F.col("ord"))).alias("known_model")
     )
     out = resolved.join(last_model, "dedup_key", "left").withColumn(
-        "model", F.coalesce("model", "known_model")
+        "model", F.coalesce("model", "certain_model", "known_model")
     )
-    return out.select("dedup_key", *[c for c in arrivals.columns if c not in ("dedup_key", "ord")])
+    return out.select("dedup_key", *[c for c in arrivals.columns if c not in ("dedup_key", "ord")], *facts)
 
 
 def note_duration(events: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -325,17 +385,33 @@ def merge_upsert(base: DataFrame, batch: DataFrame, legacy_keys: DataFrame | Non
         arrivals = arrivals.withColumn("usage_quality", F.lit(0))
     message = (F.col("tool") == _MESSAGE_TOOL) & F.col("dedup_key").startswith(f"{_MESSAGE_TOOL}:")
     graded = F.col("tool") == _QUALITY_TOOL
+    plain = ~message & ~graded
+    # All rules and the facts of a key are folded in one pass; arrivals are read again for look-backs only.
+    facts = {}
+    if "duration_ms" in names:
+        facts["_noted"] = F.max(F.when(F.col("duration_ms") > 0, F.col("duration_ms")))
+    if "device" in names:
+        facts["_known"] = F.min_by("device", F.when(F.col("device") != "unknown", F.col("ord")))
+    columns = arrivals.columns
+    folded = cut_lineage(
+        arrivals.groupBy("dedup_key").agg(
+            *[F.max(F.coalesce(rule, F.lit(False))).alias(n) for n, rule in (("_plain", plain), ("_message", message), ("_graded", graded))],
+            *_events_folds(columns, plain),
+            *_claude_folds(columns, message),
+            *_quality_folds(columns, graded),
+            # a null key is no key: its rows share no facts
+            *[F.when(F.col("dedup_key").isNotNull(), fact).alias(n) for n, fact in facts.items()],
+        )
+    )
     merged = (
-        dedup_events(arrivals.filter(~message & ~graded))
-        .unionByName(dedup_claude(arrivals.filter(message)))
-        .unionByName(dedup_quality(arrivals.filter(graded)))
+        folded.filter("_plain").select("dedup_key", "f.*", "u.*", *facts)
+        .unionByName(_messages(folded.filter("_message"), arrivals.filter(message), list(facts)))
+        .unionByName(_graded(folded.filter("_graded"), arrivals.filter(graded), facts=list(facts)))
     )
     if legacy_keys is not None:
         merged = dedup_request_alias(merged, legacy_keys)
     if "duration_ms" in names:
-        merged = note_duration(merged, arrivals.select("dedup_key", "duration_ms"))
+        merged = merged.withColumn("duration_ms", F.greatest("duration_ms", "_noted"))
     if "device" in names:
-        tagged = tag_device(arrivals).withColumnRenamed("device", "tagged")
-        device = F.when(F.col("tagged") != "unknown", F.col("tagged")).otherwise(F.col("device"))
-        merged = merged.join(tagged, "dedup_key", "left").withColumn("device", device)
+        merged = merged.withColumn("device", F.coalesce("_known", "device"))
     return merged.select(*[c for c in base.columns if c in names])
