@@ -10,10 +10,10 @@ A file whose new lines begin before the end of what was read became shorter: it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -25,7 +25,7 @@ from usagelens.sources import agents, rollouts, steps
 #: a row's place in its file, and where its line ends
 PLACE = "block long, pos long, after long"
 
-Fold = Callable[[pd.DataFrame, dict | None, dict], tuple[pd.DataFrame, dict, dict]]
+Fold = Callable[[list[Row], dict | None, dict], tuple[list[tuple], dict, dict]]
 
 
 def _ddl(schema: str) -> StructType:
@@ -40,21 +40,25 @@ def _names(schema: str) -> list[str]:
 class FileFold(StatefulProcessor):
     """Folds each file's rows, in order, from the state its earlier rows left.
 
-    ``fold`` takes the sorted rows, the value state (None for a new file) and the map state, and returns rows, the new
-    value and the new map. The value has ``after``, the end of what was read.
+    ``fold`` takes the sorted rows, the value state (None for a new file) and the map state, and returns rows (in the order
+    of the columns), the new value and the new map. The value has ``after``, the end of what was read.
     """
 
     def __init__(self, fold: Fold, columns: str, value: str, key: str, entry: str, ttl_ms: int | None = None) -> None:
-        self.fold, self.columns, self.ttl_ms = fold, _names(columns), ttl_ms
+        self.fold, self.ttl_ms = fold, ttl_ms
+        self.row = Row(*_names(columns))
         self.value_schema, self.key_schema, self.entry_schema = _ddl(f"after long, {value}"), _ddl(key), _ddl(entry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("file", self.value_schema, ttlDurationMs=self.ttl_ms)
         self.entries = handle.getMapState("entries", self.key_schema, self.entry_schema, ttlDurationMs=self.ttl_ms)
 
+    # every call to the state is a message to the JVM, and most files have few new lines
     def _load(self) -> tuple[dict | None, dict]:
-        value = dict(zip(self.value_schema.fieldNames(), self.value.get())) if self.value.exists() else None
-        return value, {tuple(k): tuple(v) for k, v in self.entries.iterator()} if value is not None else {}
+        held = self.value.get()
+        if held is None:
+            return None, {}
+        return dict(zip(self.value_schema.fieldNames(), held)), {tuple(k): tuple(v) for k, v in self.entries.iterator()}
 
     def _save(self, value: dict, entries: dict, old: dict) -> None:
         self.value.update(tuple(value[name] for name in self.value_schema.fieldNames()))
@@ -64,35 +68,36 @@ class FileFold(StatefulProcessor):
             if old.get(key) != entry:
                 self.entries.updateValue(key, entry)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's interface
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's interface
         # a file's new narrow rows of one micro-batch; their order asks for all of them
-        new = pd.concat(list(rows)).sort_values(["block", "pos"], kind="stable")
+        new = sorted(rows, key=lambda row: (_last(row.block), _last(row.pos)))
         value, entries = self._load()
-        if value is not None and new["pos"].iloc[0] < value["after"]:
+        if value is not None and new[0].pos is not None and new[0].pos < value["after"]:
             value = None
         out, after, kept = self.fold(new, value, {} if value is None else dict(entries))
-        self._save({**after, "after": int(new["after"].max())}, kept, entries)
-        yield out[self.columns]
+        self._save({**after, "after": max(row.after for row in new if row.after is not None)}, kept, entries)
+        for cells in out:
+            yield self.row(*cells)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        """Files that a batch has read: their values, and entries as lists of (key fields, entry fields)."""
-        for frame in initialState if not isinstance(initialState, pd.DataFrame) else [initialState]:
-            for row in frame.to_dict("records"):
-                self.value.update(tuple(_plain(row[name]) for name in self.value_schema.fieldNames()))
-                for entry in row["entries"] if row["entries"] is not None else []:
-                    fields = entry if isinstance(entry, dict) else entry.asDict()
-                    key = tuple(fields[n] for n in self.key_schema.fieldNames())
-                    self.entries.updateValue(key, tuple(fields[n] for n in self.entry_schema.fieldNames()))
+        """A file that a batch has read: its value, and entries as a list of (key fields, entry fields)."""
+        self.value.update(tuple(initialState[name] for name in self.value_schema.fieldNames()))
+        for entry in initialState["entries"] or []:
+            fields = tuple(entry[n] for n in self.key_schema.fieldNames())
+            self.entries.updateValue(fields, tuple(entry[n] for n in self.entry_schema.fieldNames()))
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    """None for missing cells, Python lists and numbers for those of numpy."""
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    return None if value is None or (isinstance(value, float) and value != value) or value is pd.NA else value
+def _last(number) -> tuple:
+    """Sorts nulls last."""
+    return number is None, number or 0
+
+
+def _missing(cell) -> bool:
+    """No value, be it of a row or of a data frame."""
+    return cell is None or cell is pd.NA or cell is pd.NaT or cell != cell
 
 
 def _text(value) -> str | None:
@@ -104,7 +109,7 @@ def fold_files(rows: DataFrame, processor: FileFold, out: str, initial: DataFram
     use_keyed_state(rows.sparkSession)
     start = None if initial is None else initial.groupBy("path")
     clock = "none" if processor.ttl_ms is None else "processingTime"
-    return rows.groupBy("path").transformWithStateInPandas(
+    return rows.groupBy("path").transformWithState(
         statefulProcessor=processor, outputStructType=_ddl(out), outputMode="append", timeMode=clock, initialState=start
     )
 
@@ -147,6 +152,12 @@ def _follow(open_: dict, total: tuple, last: tuple | None, earlier: tuple | None
 
 
 def fold_rollout(rows: pd.DataFrame, value: dict | None, open_: dict) -> tuple[pd.DataFrame, dict, dict]:
+    """:func:`follow_rollout` over a data frame."""
+    out, value, open_ = follow_rollout(rows.itertuples(index=False), value, open_)
+    return pd.DataFrame(out, columns=_names(CODEX_OUT)).astype({"seq": "Int64", "duration_ms": "Int64"}), value, open_
+
+
+def follow_rollout(rows: Iterable, value: dict | None, open_: dict) -> tuple[list[tuple], dict, dict]:
     """Rows of :func:`usagelens.sources.rollouts.records` of one file to requests, compactions and calls."""
     s = dict(value or _NEW_ROLLOUT)
     out = []
@@ -166,9 +177,9 @@ def fold_rollout(rows: pd.DataFrame, value: dict | None, open_: dict) -> tuple[p
     def emit(block, pos, kind, ts, sid, model, project, name, call, response, wait, seq, used) -> None:
         out.append((path, block, pos, kind, ts, sid, model, project, name, call, response, wait, seq, *used))
 
-    for row in rows.itertuples(index=False):
+    for row in rows:
         path, kind = row.path, row.kind
-        ts = None if pd.isna(row.ts_ms) else int(row.ts_ms)
+        ts = None if _missing(row.ts_ms) else int(row.ts_ms)
         if s["record_after"] is not None and not s["compacted"] and kind != "other":
             if kind == "compacted" and (row.block != s["record_block"] or row.pos == s["record_after"]):
                 s["compacted"] = True
@@ -216,8 +227,7 @@ def fold_rollout(rows: pd.DataFrame, value: dict | None, open_: dict) -> tuple[p
                 s["seq"] += 1
                 usable = wait if wait is not None and 1 <= wait <= fixed.MAX_DURATION_MS else None
                 emit(row.block, row.pos, "count", ts, _text(row.sid), s["model"], s["project"], None, None, None, usable, s["seq"], used)
-    frame = pd.DataFrame(out, columns=_names(CODEX_OUT)).astype({"seq": "Int64", "duration_ms": "Int64"})
-    return frame, s, open_
+    return out, s, open_
 
 
 def stream_rollouts(lines: DataFrame, ttl_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
@@ -230,7 +240,7 @@ def stream_rollouts(lines: DataFrame, ttl_ms: int | None = None, initial: DataFr
         "path", "block", "pos", "after", "kind", "ts_ms", "named_model", "cwd_name", "sid", "name", "call_id", "response_id",
         "used", "total", "last",
     )
-    fold = FileFold(fold_rollout, CODEX_OUT, CODEX_VALUE, _TOTAL_DDL, "open boolean", ttl_ms)
+    fold = FileFold(follow_rollout, CODEX_OUT, CODEX_VALUE, _TOTAL_DDL, "open boolean", ttl_ms)
     return fold_files(rows, fold, CODEX_OUT, initial)
 
 
@@ -256,13 +266,12 @@ def rollout_states(lines: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------------------------- kimi
 
 
-def fold_kimi(rows: pd.DataFrame, value: dict | None, known: dict) -> tuple[pd.DataFrame, dict, dict]:
-    alias = rows["alias"].where(rows["alias"].notna(), None)
-    current = alias.ffill()
-    if value is not None and value["alias"] is not None:
-        current = current.fillna(value["alias"])
-    last = _text(current.iloc[-1])
-    return rows.assign(current=current.astype(object).where(current.notna(), None)), {"alias": last}, known
+def fold_kimi(rows: list[Row], value: dict | None, known: dict) -> tuple[list[tuple], dict, dict]:
+    current, out = None if value is None else value["alias"], []
+    for row in rows:
+        current = current if row.alias is None else row.alias
+        out.append((*row, current))
+    return out, {"alias": current}, known
 
 
 _KIMI_ROWS = (
@@ -287,21 +296,20 @@ _STEP_ROWS = (
 )
 
 
-def fold_steps(rows: pd.DataFrame, value: dict | None, seen: dict) -> tuple[pd.DataFrame, dict, dict]:
+def fold_steps(rows: list[Row], value: dict | None, seen: dict) -> tuple[list[tuple], dict, dict]:
     total, model = (value["context"], value["model"]) if value is not None else (0, None)
-    repeats, contexts, models = [], [], []
-    for row in rows.itertuples(index=False):
-        number = None if pd.isna(row.step_number) else (float(row.step_number),)
+    out = []
+    for row in rows:
+        number = None if _missing(row.step_number) else (float(row.step_number),)
         repeat = number is not None and number in seen
         if number is not None:
             seen[number] = (True,)
-        contexts.append(total)
+        before = total
         total += 0 if repeat else int(row.own_tokens)
         speaks = row.planner and (not repeat or row.exact)
         model = _text(row.meta_model if speaks else None if row.planner or repeat else row.chosen_model) or model
-        repeats.append(repeat)
-        models.append(model)
-    return rows.assign(repeat=repeats, context=contexts, current=models), {"context": total, "model": model}, seen
+        out.append((*row, repeat, before, model))
+    return out, {"context": total, "model": model}, seen
 
 
 def stream_antigravity(lines: DataFrame, gen_meta: DataFrame, default_model: str | None = None, ttl_ms: int | None = None) -> DataFrame:
