@@ -21,6 +21,11 @@ def _of(rule: Column | None, value: Column) -> Column:
     return value if rule is None else F.when(rule, value)
 
 
+def _own_key() -> Column:
+    """The key as a column of its own, so that stored folds join the arrivals they come from."""
+    return F.col("dedup_key").alias("dedup_key")
+
+
 def _events_folds(columns: list[str], rule: Column | None = None) -> list[Column]:
     first = F.struct(*[c for c in columns if c not in {"dedup_key", "ord", *USAGE_COLUMNS}])
     largest = F.struct(F.col("output_tokens"), -F.col("ord"))
@@ -76,7 +81,7 @@ def dedup_claude(arrivals: DataFrame) -> DataFrame:
     Old-style keys of a message that was observed join its group; unobserved ones stay. Fields
     the winner lacks are taken from the next arrival that has them.
     """
-    folded = cut_lineage(arrivals.groupBy("dedup_key").agg(*_claude_folds(arrivals.columns)))
+    folded = cut_lineage(arrivals.groupBy(_own_key()).agg(*_claude_folds(arrivals.columns)))
     return _messages(folded, arrivals)
 
 
@@ -173,7 +178,7 @@ def dedup_quality(arrivals: DataFrame, chunk_size: int = 1_000_000) -> DataFrame
     Identity follows the first arrival. The model is the last known one among the rows that
     were accepted when they arrived; only keys whose winner has no model, and whose folds leave it open, need that look-back.
     """
-    folded = cut_lineage(arrivals.groupBy("dedup_key").agg(*_quality_folds(arrivals.columns)))
+    folded = cut_lineage(arrivals.groupBy(_own_key()).agg(*_quality_folds(arrivals.columns)))
     return _graded(folded, arrivals, chunk_size)
 
 
@@ -394,7 +399,7 @@ def merge_upsert(base: DataFrame, batch: DataFrame, legacy_keys: DataFrame | Non
         facts["_known"] = F.min_by("device", F.when(F.col("device") != "unknown", F.col("ord")))
     columns = arrivals.columns
     folded = cut_lineage(
-        arrivals.groupBy("dedup_key").agg(
+        arrivals.groupBy(_own_key()).agg(
             *[F.max(F.coalesce(rule, F.lit(False))).alias(n) for n, rule in (("_plain", plain), ("_message", message), ("_graded", graded))],
             *_events_folds(columns, plain),
             *_claude_folds(columns, message),

@@ -45,11 +45,11 @@ class FileFold(StatefulProcessor):
     """
 
     def __init__(self, fold: Fold, columns: str, value: str, key: str, entry: str, ttl_ms: int | None = None) -> None:
-        self.fold, self.ttl_ms = fold, ttl_ms
-        self.row = Row(*_names(columns))
+        self.fold, self.columns, self.ttl_ms = fold, _names(columns), ttl_ms
         self.value_schema, self.key_schema, self.entry_schema = _ddl(f"after long, {value}"), _ddl(key), _ddl(entry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = Row(*self.columns)
         self.value = handle.getValueState("file", self.value_schema, ttlDurationMs=self.ttl_ms)
         self.entries = handle.getMapState("entries", self.key_schema, self.entry_schema, ttlDurationMs=self.ttl_ms)
 
