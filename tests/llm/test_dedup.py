@@ -135,6 +135,55 @@ def test_jaccard_counts_all_links(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_links) for r in got.collect()) == expected, block
 
 
+def test_jaccard_large_group_makes_few_pairs(spark, monkeypatch):
+    # Near copies of one text, half of them too far from it and from each other: what is verified follows their number.
+    base, rows = words(41, 150), []
+    for i in range(400):
+        text = list(base)
+        for at in range(3 if i % 2 else 5):
+            text[(i * 37 + at * 29) % 150] = f"u{i}x{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    expected, links, plain = brute_components(rows), brute_links(rows), jaccard_join.verify_pairs
+    for held in (8192, 40):
+        seen = []
+        monkeypatch.setattr(jaccard_join, "KEY_SETS", held)
+        monkeypatch.setattr(jaccard_join, "verify_pairs", lambda pairs, sets: seen.append(pairs.count()) or plain(pairs, sets))
+        got = jaccard_components(docs)
+        assert as_rows(got) == expected
+        assert sorted((r.doc_id, r.n_links) for r in got.collect()) == links
+        assert sum(seen) < 5 * len(rows), (held, seen)
+
+
+def test_bit_maps_bound_what_sets_share():
+    rng = np.random.default_rng(7)
+    for n, m, both in ((40, 40, 30), (146, 150, 110), (300, 400, 300), (1, 1, 0), (1000, 90, 5)):
+        tokens = rng.integers(0, 2**64 - 1, n + m - both, np.uint64)
+        x, y = tokens[:n], tokens[n - both :]
+        most = jaccard_join.most_common(jaccard_join.signature(x), jaccard_join.signature(y), n, m)
+        assert both <= most <= both + max(5, 0.35 * (n + m - 2 * both)), (n, m, most)
+        known = jaccard_join.Maps([jaccard_join.signature(x), jaccard_join.signature(y)])
+        assert (n + m - known.apart(np.array([0, 1]), np.array([1, 0]))).tolist() in ([2 * most] * 2, [2 * most + 1] * 2)
+
+
+def test_key_blocks_and_nearest_find_every_pair():
+    rng = np.random.default_rng(8)
+    n = np.sort(rng.integers(8, 14, 60))
+    sets = [np.unique(rng.integers(0, 16, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in n]
+    sets.sort(key=len)
+    n, maps = np.array([len(s) for s in sets]), [jaccard_join.signature(s) for s in sets]
+    node, label, none = np.arange(60), np.arange(60) % 7, np.zeros(60, np.int64)
+    similar = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 7 != b % 7
+               and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    closest, found = jaccard_join.Nearest(), set()
+    for x, y, share in jaccard_join.similar_under_key(none, node, n, none, none > 0, label, maps):
+        found |= set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        closest.add(x, y, share)
+    assert similar and similar <= found
+    best = closest.take()
+    assert set(best.column("node").to_pylist()) == {i for pair in found for i in pair} and not closest.best
+
+
 def test_jaccard_links_through_rows_without_id(spark):
     """A chain whose middle has no id, with copies of it, and a pair without any id."""
     base = words(31, 100)

@@ -45,11 +45,18 @@ TASK_TOKENS = 3_000_000
 #: frequent tokens of a prefix that are combined in pairs; sets with more of them use single tokens
 COMBINED = 24
 
-#: rounds of comparing nodes with one hub each, before all open pairs are compared
-STAR_ROUNDS = 2
+#: rounds of comparing nodes with one hub each, and then with the set nearest by bit map, before all open pairs are compared
+STAR_ROUNDS = 1
+NEAREST_ROUNDS = 3
 #: sets under one key that are all looked at
 NEAR_SETS = 32
 
+#: sets of a key that meet in one task, or half as many pairs of two blocks; pairs of them that are looked at together
+KEY_SETS = 8192
+KEY_PAIRS = 1 << 16
+#: nodes whose nearest ones a task holds
+TASK_NODES = 100_000
+
 #: sets and tokens of a block, two of which are compared at once
 BLOCK_SETS = 256
 BLOCK_TOKENS = 1 << 22
@@ -82,21 +89,30 @@ def _nodes(batches: Iterator[pa.RecordBatch], size: int):
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Bit map of a set: at least two bits a token, their number a power of two."""
+    """Bit map of a set: at least two bits a token, their number a power of two. A bit is set for an odd number of tokens."""
     bits = max(256, 1 << int(2 * len(tokens)).bit_length())
-    marks = np.zeros(bits, bool)
-    marks[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(marks, bitorder="little").tobytes()
+    marks = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(marks.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Maps, a row each, as those of fewer bits."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits maps differ, row by row: each is a token that only one of the two sets has, at least."""
+    width = min(x.shape[1], y.shape[1])
+    return np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(axis=1, dtype=np.int64)
 
 
 def most_common(x: bytes, y: bytes, n: int, m: int) -> int:
-    """Upper bound of the tokens two sets share: every bit in which their maps differ is a token apart."""
-    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(p) > len(q):
-        p = p[: len(p) // 2] | p[len(p) // 2 :]
-    while len(q) > len(p):
-        q = q[: len(q) // 2] | q[len(q) // 2 :]
-    return (n + m - int(np.bitwise_count(p ^ q).sum())) // 2
+    """Upper bound of the tokens two sets share."""
+    apart = bits_apart(np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None])
+    return (n + m - int(apart[0])) // 2
 
 
 def set_nodes(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -280,32 +296,20 @@ def _hub_pairs(entries: DataFrame, tried: DataFrame | None) -> DataFrame:
     return best.select("best.a", "best.b").distinct()
 
 
-def _key_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): all pairs of sets under one key that may be similar and are of different components."""
-    left, right = entries.alias("x"), entries.alias("y")
-    same = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.node") < F.col("y.node"))
-        & _similar_sizes(F.col("x.n"), F.col("y.n"))
-        & ((F.col("x.kind") != _SINGLE) | (F.col("y.kind") != _SINGLE))
-        & _enough_room(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
-        & (F.col("x.label") != F.col("y.label"))
-    )
-    return left.join(right, same).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
 def _open_keys(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Entries of the keys that sets of more than one component have, with the root of their component.
+    """Entries of the keys that sets of more than one component have, with the root of theirs, and how many sets a key has.
 
     A node that ``roots(node, root)`` hasn't is a component of its own.
     """
     if roots is None:
-        return entries.withColumn("label", F.col("node"))
-    labelled = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = entries.withColumn("label", F.col("node"))
+    else:
+        labelled = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     by_key = Window.partitionBy("key")
     return (
         labelled.withColumn("least", F.min("label").over(by_key))
         .withColumn("most", F.max("label").over(by_key))
+        .withColumn("many", F.count(F.lit(1)).over(by_key))
         .filter(F.col("least") != F.col("most"))
     )
 
@@ -324,6 +328,140 @@ def _may_be_similar(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return second.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+class Maps:
+    """The bit maps of some sets, those of one length together."""
+
+    def __init__(self, maps: list[bytes]) -> None:
+        self.width = np.array([len(m) for m in maps], np.int64)
+        self.place, self.of = np.zeros(len(maps), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == width)
+            self.place[at] = np.arange(len(at))
+            self.of[width] = np.frombuffer(b"".join([maps[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the map of each set of ``x`` differs from that of ``y`` at its place."""
+        out = np.zeros(len(x), np.int64)
+        both = self.width[x] << 32 | self.width[y]
+        for widths in np.unique(both).tolist():
+            at = np.flatnonzero(both == widths)
+            left, right = self.of[widths >> 32], self.of[widths & 0xFFFFFFFF]
+            out[at] = bits_apart(left[self.place[x[at]]], right[self.place[y[at]]])
+        return out
+
+
+def similar_under_key(side, node, n, place, single, label, maps: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, share): places of the sets under one key that may be similar and are of different components.
+
+    The columns are in the order of n. A pair is of one set of side 1 and one of side 2, or of one of side 0 and any.
+    ``share``: the most that their intersection can be of their union.
+    """
+    begin, known = 0, Maps(maps)
+    while begin < len(node):
+        # as many rows at a time as keep the pairs looked at together bounded
+        ahead = int(np.searchsorted(n, 100 * int(n[begin]) // PERCENT, "right")) - begin
+        end = min(len(node), begin + max(1, KEY_PAIRS // ahead))
+        last = int(np.searchsorted(n, 100 * int(n[end - 1]) // PERCENT, "right"))
+        i, j = np.ogrid[begin:end, begin:last]
+        most = np.minimum(n[i] - place[i], n[j] - place[j])
+        fits = (i < j) & (100 * n[i] >= PERCENT * n[j]) & ((100 + PERCENT) * most >= PERCENT * (n[i] + n[j]))
+        fits &= (label[i] != label[j]) & (node[i] != node[j]) & ~(single[i] & single[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        x, y = (at + begin for at in np.nonzero(fits))
+        total = n[x] + n[y]
+        common = (total - known.apart(x, y)) // 2
+        may = (100 + PERCENT) * common >= PERCENT * total
+        yield x[may], y[may], common[may] / (total - common)[may]
+        begin = end
+
+
+class Nearest:
+    """For each set the other one it may share most with."""
+
+    def __init__(self) -> None:
+        self.best: dict[int, tuple[float, int]] = {}
+
+    def add(self, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> None:
+        own, other, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
+        order = np.lexsort((other, share, own))
+        last = order[np.append(own[order][1:] != own[order][:-1], True)] if len(order) else order
+        for node, found in zip(own[last].tolist(), zip(share[last].tolist(), other[last].tolist())):
+            if found > self.best.get(node, (-1.0, 0)):
+                self.best[node] = found
+
+    def take(self) -> pa.RecordBatch:
+        rows, self.best = [(node, share, other) for node, (share, other) in self.best.items()], {}
+        columns = list(zip(*rows)) or [(), (), ()]
+        kinds = (pa.int64(), pa.float64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "share", "other"])
+
+
+def _key_pairs(entries: DataFrame, maps: DataFrame, tasks: int, nearest: bool = False) -> DataFrame:
+    """(a, b): all pairs of sets under one key that may be similar, by their bit maps too, and are of different components.
+
+    With ``nearest``, of each set only the pair with the one it may share most with. The sets of a key meet in one
+    task and are compared there, so that only such pairs become rows. A key of more than KEY_SETS is dealt to blocks
+    by a hash of the set, and every two blocks meet.
+    """
+    blocks = F.ceil(F.col("many") / KEY_SETS).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), blocks.cast("long")).cast("int")
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    pairs = F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda j: F.struct(
+            F.least(own, j).alias("i"),
+            F.greatest(own, j).alias("j"),
+            F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side"),
+        ),
+    )
+    columns = ["key", "node", "n", "place", "kind", "label"]
+    few = entries.select(*columns, F.explode(F.when(blocks > 1, pairs).otherwise(alone)).alias("at"))
+    dealt = few.join(maps.select("node", "map"), "node").select(*columns, "map", "at.i", "at.j", "at.side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        closest = Nearest()
+
+        def pairs_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(parts)
+            if len(group) < 2:
+                return
+            side, node, n, place, kind, label = (
+                group.column(c).to_numpy().astype(np.int64) for c in ("side", "node", "n", "place", "kind", "label")
+            )
+            for x, y, share in similar_under_key(side, node, n, place, kind == _SINGLE, label, group.column("map").to_pylist()):
+                a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                if nearest:
+                    closest.add(a, b, share)
+                elif len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if len(closest.best) >= TASK_NODES:
+                yield closest.take()
+
+        held, now = [], None
+        for batch in batches:
+            ids = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            if not len(ids[0]):
+                continue
+            turns = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+            for start, end in zip([0, *turns.tolist()], [*turns.tolist(), len(ids[0])]):
+                name = tuple(x[start] for x in ids)
+                if held and name != now:
+                    yield from pairs_of(held)
+                    held = []
+                held.append(batch.slice(start, end - start))
+                now = name
+        if held:
+            yield from pairs_of(held)
+        if nearest:
+            yield closest.take()
+
+    met = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+    if not nearest:
+        return met.mapInArrow(compare, "a long, b long").distinct()
+    found = met.mapInArrow(compare, "node long, share double, other long")
+    best = found.groupBy("node").agg(F.max(F.struct("share", "other")).alias("best"))
+    return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+
+
 def node_sets(rows: DataFrame, seed: DataFrame, needed: DataFrame, size: int = SHINGLE, room: int = BROADCAST_IDS) -> DataFrame:
     """node, tokens (sorted 64-bit hashes as binary) of the nodes in ``needed(node)``.
 
@@ -510,21 +648,29 @@ def jaccard_components(
     entries = scratch.save(index_entries(rows, frequent, size, combined), "entries")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        likely = scratch.save(_may_be_similar(pairs, maps), f"likely-{name}")
+        likely = scratch.save(pairs, f"likely-{name}")
         needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         return scratch.save(verify_pairs(likely, node_sets(rows, seed, needed, size)), f"links-{name}")
 
     # Stars: each round joins components; what they leave apart is compared pair by pair.
     links = roots = tried = None
-    for turn in range(STAR_ROUNDS):
-        pairs = scratch.save(_hub_pairs(_open_keys(entries, roots), tried), f"pairs-{turn}")
-        new = verified(pairs, str(turn))
+    for turn in range(STAR_ROUNDS + NEAREST_ROUNDS):
+        opened = entries.withColumn("label", F.col("node")) if not turn else _open_keys(entries, roots)
+        if turn < STAR_ROUNDS:
+            pairs = scratch.save(_hub_pairs(opened, tried), f"pairs-{turn}")
+            new = verified(_may_be_similar(pairs, maps), str(turn))
+        else:
+            closest = _key_pairs(opened, maps, tasks_for(rows), nearest=True)
+            pairs = scratch.save(closest if tried is None else closest.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+            new = verified(pairs, str(turn))
         tried = pairs if tried is None else tried.union(pairs)
         if new.isEmpty():
+            if turn < STAR_ROUNDS:
+                continue
             break
         links = new if links is None else links.union(new)
         roots = connected(links, scratch, f"components-{turn}")
-    across = _key_pairs(_open_keys(entries, roots)).join(tried, ["a", "b"], "left_anti")
+    across = _key_pairs(_open_keys(entries, roots), maps, tasks_for(rows)).join(tried, ["a", "b"], "left_anti")
     rest = verified(across, "rest")
     if not rest.isEmpty():
         roots = connected(rest if links is None else links.union(rest), scratch)
