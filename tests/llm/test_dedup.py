@@ -166,7 +166,7 @@ def test_bit_maps_bound_what_sets_share():
         assert (n + m - known.apart(np.array([0, 1]), np.array([1, 0]))).tolist() in ([2 * most] * 2, [2 * most + 1] * 2)
 
 
-def test_key_blocks_and_nearest_find_every_pair():
+def test_key_blocks_and_nearest_find_every_pair(monkeypatch):
     rng = np.random.default_rng(8)
     n = np.sort(rng.integers(8, 14, 60))
     sets = [np.unique(rng.integers(0, 16, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in n]
@@ -175,13 +175,19 @@ def test_key_blocks_and_nearest_find_every_pair():
     node, label, none = np.arange(60), np.arange(60) % 7, np.zeros(60, np.int64)
     similar = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 7 != b % 7
                and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
-    closest, found = jaccard_join.Nearest(), set()
-    for x, y, share in jaccard_join.similar_under_key(none, node, n, none, none > 0, label, maps):
-        found |= set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-        closest.add(x, y, share)
-    assert similar and similar <= found
-    best = closest.take()
-    assert set(best.column("node").to_pylist()) == {i for pair in found for i in pair} and not closest.best
+    for large in (64, 5):
+        monkeypatch.setattr(jaccard_join, "LARGE_KEY", large)
+        closest, found = jaccard_join.Nearest(), set()
+        for x, y, share in jaccard_join.similar_under_keys(none, none, node, n, none, none > 0, label, maps):
+            found |= set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+            closest.add(x, y, share)
+        assert similar and similar <= found
+        best = closest.take()
+        assert set(best.column("node").to_pylist()) == {i for pair in found for i in pair} and not closest.best
+        parts = set()
+        for x, y, _ in jaccard_join.similar_under_keys(node // 20, none, node, n, none, none > 0, label, maps):
+            parts |= set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        assert parts == {(a, b) for a, b in found if a // 20 == b // 20}
 
 
 def test_jaccard_links_through_rows_without_id(spark):

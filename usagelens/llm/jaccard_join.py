@@ -47,13 +47,16 @@ COMBINED = 24
 
 #: rounds of comparing nodes with one hub each, and then with the set nearest by bit map, before all open pairs are compared
 STAR_ROUNDS = 1
-NEAREST_ROUNDS = 3
+NEAREST_ROUNDS = 2
 #: sets under one key that are all looked at
 NEAR_SETS = 32
 
 #: sets of a key that meet in one task, or half as many pairs of two blocks; pairs of them that are looked at together
 KEY_SETS = 8192
 KEY_PAIRS = 1 << 16
+#: sets of a key from which on it is compared by itself; those of fewer are compared together, so many rows at once
+LARGE_KEY = 64
+KEY_ROWS = 50_000
 #: nodes whose nearest ones a task holds
 TASK_NODES = 100_000
 
@@ -350,28 +353,49 @@ class Maps:
         return out
 
 
-def similar_under_key(side, node, n, place, single, label, maps: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+def similar_under_keys(group, side, node, n, place, single, label, maps: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """(x, y, share): places of the sets under one key that may be similar and are of different components.
 
-    The columns are in the order of n. A pair is of one set of side 1 and one of side 2, or of one of side 0 and any.
-    ``share``: the most that their intersection can be of their union.
+    The rows are in the order of ``group``, which stands for the key, and then of n. A pair is of one set of side 1
+    and one of side 2, or of two of side 0. ``share``: the most that their intersection can be of their union.
     """
-    begin, known = 0, Maps(maps)
-    while begin < len(node):
-        # as many rows at a time as keep the pairs looked at together bounded
-        ahead = int(np.searchsorted(n, 100 * int(n[begin]) // PERCENT, "right")) - begin
-        end = min(len(node), begin + max(1, KEY_PAIRS // ahead))
-        last = int(np.searchsorted(n, 100 * int(n[end - 1]) // PERCENT, "right"))
-        i, j = np.ogrid[begin:end, begin:last]
+    known = Maps(maps)
+
+    def fit(i, j):
         most = np.minimum(n[i] - place[i], n[j] - place[j])
-        fits = (i < j) & (100 * n[i] >= PERCENT * n[j]) & ((100 + PERCENT) * most >= PERCENT * (n[i] + n[j]))
-        fits &= (label[i] != label[j]) & (node[i] != node[j]) & ~(single[i] & single[j]) & ((side[i] == 0) | (side[i] != side[j]))
-        x, y = (at + begin for at in np.nonzero(fits))
+        fits = (100 * n[i] >= PERCENT * n[j]) & ((100 + PERCENT) * most >= PERCENT * (n[i] + n[j]))
+        apart = (label[i] != label[j]) & (node[i] != node[j]) & ~(single[i] & single[j])
+        return fits & apart & ((side[i] == 0) | (side[i] != side[j]))
+
+    def judged(x, y):
         total = n[x] + n[y]
         common = (total - known.apart(x, y)) // 2
         may = (100 + PERCENT) * common >= PERCENT * total
-        yield x[may], y[may], common[may] / (total - common)[may]
-        begin = end
+        return x[may], y[may], common[may] / (total - common)[may]
+
+    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+    sizes = np.diff(edges)
+    # all small keys: each row and the one so many places after it
+    small = np.flatnonzero(np.repeat(sizes < LARGE_KEY, sizes))
+    after = np.repeat(edges[1:], sizes)[small]
+    for distance in range(1, LARGE_KEY):
+        inside = small + distance < after
+        small, after = small[inside], after[inside]
+        if not len(small):
+            break
+        fits = fit(small, small + distance)
+        yield judged(small[fits], small[fits] + distance)
+    for at in np.flatnonzero(sizes >= LARGE_KEY).tolist():
+        begin, stop = int(edges[at]), int(edges[at + 1])
+        while begin < stop:
+            # as many rows at a time as keep the pairs looked at together bounded
+            ahead = int(np.searchsorted(n[begin:stop], 100 * int(n[begin]) // PERCENT, "right"))
+            end = min(stop, begin + max(1, KEY_PAIRS // ahead))
+            last = begin + int(np.searchsorted(n[begin:stop], 100 * int(n[end - 1]) // PERCENT, "right"))
+            i, j = np.ogrid[begin:end, begin:last]
+            x, y = np.nonzero((i < j) & fit(i, j))
+            yield judged(x + begin, y + begin)
+            begin = end
 
 
 class Nearest:
@@ -421,13 +445,13 @@ def _key_pairs(entries: DataFrame, maps: DataFrame, tasks: int, nearest: bool =
         closest = Nearest()
 
         def pairs_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group = pa.Table.from_batches(parts)
-            if len(group) < 2:
-                return
-            side, node, n, place, kind, label = (
-                group.column(c).to_numpy().astype(np.int64) for c in ("side", "node", "n", "place", "kind", "label")
+            rows = pa.Table.from_batches(parts)
+            key, i, j, side, node, n, place, kind, label = (
+                rows.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "side", "node", "n", "place", "kind", "label")
             )
-            for x, y, share in similar_under_key(side, node, n, place, kind == _SINGLE, label, group.column("map").to_pylist()):
+            group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            maps = rows.column("map").to_pylist()
+            for x, y, share in similar_under_keys(group, side, node, n, place, kind == _SINGLE, label, maps):
                 a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
                 if nearest:
                     closest.add(a, b, share)
@@ -436,19 +460,20 @@ def _key_pairs(entries: DataFrame, maps: DataFrame, tasks: int, nearest: bool =
             if len(closest.best) >= TASK_NODES:
                 yield closest.take()
 
-        held, now = [], None
+        held, total = [], 0
         for batch in batches:
-            ids = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
-            if not len(ids[0]):
+            if not batch.num_rows:
                 continue
-            turns = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            for start, end in zip([0, *turns.tolist()], [*turns.tolist(), len(ids[0])]):
-                name = tuple(x[start] for x in ids)
-                if held and name != now:
-                    yield from pairs_of(held)
-                    held = []
-                held.append(batch.slice(start, end - start))
-                now = name
+            ids = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            if total >= KEY_ROWS:
+                # what is held ends with the rows of its last key
+                last = [held[-1].column(c)[-1].as_py() for c in ("key", "i", "j")]
+                other = np.flatnonzero(np.any([x != y for x, y in zip(ids, last)], axis=0))
+                if len(other):
+                    yield from pairs_of([*held, batch.slice(0, int(other[0]))])
+                    batch, held, total = batch.slice(int(other[0])), [], 0
+            held.append(batch)
+            total += batch.num_rows
         if held:
             yield from pairs_of(held)
         if nearest:
