@@ -8,9 +8,10 @@ its frequent tokens: the index holds the pairs of those. Sets with so many frequ
 that the combinations explode index them singly, against all sets with such tokens.
 
 Candidate pairs that even their bit maps tell apart are dropped; the others are verified on the whole
-sets. In a few rounds every node is compared with one hub it shares most index keys with; then all pairs of different
-components that share a key. So a group of thousands of near copies costs a few stars, while no link between
-two components is lost.
+sets. First every node is compared with one hub it shares most index keys with; then, in a few rounds, with the set
+of another component that its bit map is nearest to; then all pairs of different components that share a key. The sets
+of a key meet in one task for that, and only pairs that may be similar leave it. So a group of thousands of near
+copies costs a few pairs each, while no link between two components is lost.
 
 The links of every set are counted afterwards, as all of them are inside components: a component of more than
 two sets is dealt to blocks by size and hash, every two blocks that may hold similar sets are compared in one
