@@ -12,15 +12,17 @@ import base64
 import sys
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.bpe import Memo, merge_pairs, merge_short, pair_table
-from usagelens.llm.common import tasks_for, text_rows
+from usagelens.llm.common import tasks_for, text_rows, tidy
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -163,51 +165,75 @@ def encode_texts(
     overlap: int = OVERLAP_CHARS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers as binary) for every row.
 
     A null text is empty and has no ids; repeated rows give repeated results; a null id stays null; an
     empty table gives no rows. ``ranks`` goes to every worker: its size is that of the rank file.
+
+    With ``decoded``, what ``decode_ids`` adds as well. The ids of a text of one window are decoded in the task that
+    made them: two Python functions in one stage would be two workers a core, which stay for all later stages.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch], decoded: bool = False) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(shared.value, pattern)
+        decode = id_decoder(tokens_by_id(shared.value)) if decoded else None
         for batch in batches:
             place = batch.schema.get_field_index("text")
             ids = [encoder.encode(text) for text in batch.column(place).to_pylist()]
-            names = [*batch.schema.names[:place], "ids"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(ids, pa.binary())], names=names)
+            columns, names = [*batch.columns[:place], pa.array(ids, pa.binary())], [*batch.schema.names[:place], "ids"]
+            if decode:
+                columns, names = [*columns, pa.array([decode(i) for i in ids], pa.binary())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def counted(encoded: DataFrame, *more: str) -> DataFrame:
+        return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", *more)
 
     rows = text_rows(docs, id_col, text_col)
     long = F.char_length("text") > chunk + overlap
-    whole = rows.filter(~long).mapInArrow(encode, "doc_id long, ids binary")
     windows = _cut_windows(
         rows.filter(long).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), chunk, overlap
     ).repartition(tasks_for(docs), "row_id", "k")
-    pieces = _stitch(_pre_tokenise(windows, pattern)).mapInArrow(encode, "row_id long, doc_id long, k int, ids binary")
+    pieces = _stitch(_pre_tokenise(windows, pattern)).mapInArrow(tidy(encode), "row_id long, doc_id long, k int, ids binary")
     parts = F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("ids"))))
     joined = pieces.groupBy("row_id", "doc_id").agg(parts.alias("parts")).select(
         "doc_id", F.unhex(F.array_join(F.transform("parts", lambda p: p["ids"]), "")).alias("ids")
     )
-    encoded = whole.unionByName(joined)
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    if decoded:
+        whole = rows.filter(~long).mapInArrow(tidy(partial(encode, decoded=True)), "doc_id long, ids binary, decoded binary")
+        return counted(whole, "decoded").unionByName(decode_ids(counted(joined), ranks))
+    whole = rows.filter(~long).mapInArrow(tidy(encode), "doc_id long, ids binary")
+    return counted(whole.unionByName(joined))
 
 
-def decode_ids(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds ``decoded``: the raw bytes of the ids, one after the other."""
+def tokens_by_id(ranks: dict[bytes, int]) -> list[bytes]:
     by_id = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    tokens = encoded.sparkSession.sparkContext.broadcast(by_id)
+    return by_id
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        raw = tokens.value.__getitem__
+def id_decoder(by_id: list[bytes]) -> Callable[[bytes], bytes]:
+    """Ids as little-endian integers -> the raw bytes they stand for."""
+    raw = by_id.__getitem__
+
+    def decode(ids: bytes) -> bytes:
+        return b"".join(map(raw, np.frombuffer(ids, "<u4").tolist()))
+
+    return decode
+
+
+def decode_ids(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Adds ``decoded``: the raw bytes of the ids, one after the other."""
+    tokens = encoded.sparkSession.sparkContext.broadcast(tokens_by_id(ranks))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = id_decoder(tokens.value)
         for batch in batches:
-            decoded = [b"".join(map(raw, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column("ids").to_pylist()]
+            decoded = [raw(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"]
             )

@@ -7,8 +7,9 @@ ignored, whatever their names; rows that repeat one id count each; a null id is
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,19 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+BatchFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(fn: BatchFn) -> BatchFn:
+    """``fn`` for mapInArrow, after which Arrow gives back what it holds unused: a worker stays for the tasks of later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as long and the text as string without nulls; nothing else is read. Its batches are bounded in bytes."""
     bound_batches(docs.sparkSession)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import FOLD_BYTES, keep_rows, reliable, text_rows
+from usagelens.llm.common import FOLD_BYTES, keep_rows, reliable, text_rows, tidy
 
 SALTS = 32
 Digest = Callable[[bytes], str]
@@ -50,7 +50,7 @@ def local_groups(rows: DataFrame, digest: Digest = sha256_hex) -> DataFrame:
                 names=["digest", "content", "winner", "copies"],
             )
 
-    return rows.mapInArrow(merge, "digest string, content binary, winner long, copies long")
+    return rows.mapInArrow(tidy(merge), "digest string, content binary, winner long, copies long")
 
 
 def row_digests(rows: DataFrame, digest: Digest = sha256_hex, with_content: bool = False) -> DataFrame:
@@ -68,7 +68,7 @@ def row_digests(rows: DataFrame, digest: Digest = sha256_hex, with_content: bool
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     extra = ", content binary" if with_content else ""
-    return rows.mapInArrow(describe, f"doc_id long, digest string, text_sha256 string{extra}")
+    return rows.mapInArrow(tidy(describe), f"doc_id long, digest string, text_sha256 string{extra}")
 
 
 def combine_contents(rows: DataFrame, salts: int = SALTS, digest: Digest = sha256_hex) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import BROADCAST_IDS, FOLD_BYTES, keep_rows, tasks_for, text_rows
+from usagelens.llm.common import BROADCAST_IDS, FOLD_BYTES, keep_rows, tasks_for, text_rows, tidy
 from usagelens.llm.components import connected
 from usagelens.llm.scratch import Scratch
 from usagelens.llm.shingles import shingle_sets, slices
@@ -49,6 +49,8 @@ COMBINED = 24
 #: rounds of comparing nodes with one hub each, and then with the set nearest by bit map, before all open pairs are compared
 STAR_ROUNDS = 1
 NEAREST_ROUNDS = 2
+#: tasks of the index for each of the session's: a set has about a hundred entries, which a task sorts in memory
+ENTRY_TASKS = 4
 #: sets under one key that are all looked at
 NEAR_SETS = 32
 
@@ -134,7 +136,7 @@ def set_nodes(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
                 names=["doc_id", "node", "n", "map"],
             )
 
-    return rows.mapInArrow(describe, "doc_id long, node long, n int, map binary")
+    return rows.mapInArrow(tidy(describe), "doc_id long, node long, n int, map binary")
 
 
 def repeated(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +176,7 @@ def frequent_tokens(rows: DataFrame, size: int = SHINGLE, least: int = FREQUENT_
         if total:
             yield tally(held[:total])
 
-    counted = rows.mapInArrow(count, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
+    counted = rows.mapInArrow(tidy(count), "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     found = counted.filter(F.col("seen") > least).orderBy(F.desc("seen"), "token").limit(room)
     # most frequent first, so the rank from the end is the place in the order: rarer ones come earlier
     tokens = found.select("token").toArrow().column("token").to_numpy().view(np.uint64)
@@ -241,7 +243,7 @@ def index_entries(rows: DataFrame, frequent: tuple, size: int = SHINGLE, combine
                 names=["key", "node", "facts"],
             )
 
-    sent = rows.mapInArrow(entries, "key long, node long, facts long").repartition(tasks_for(rows), "key")
+    sent = rows.mapInArrow(tidy(entries), "key long, node long, facts long").repartition(ENTRY_TASKS * tasks_for(rows), "key")
     unpacked = sent.dropDuplicates(["key", "node"]).select(
         "key",
         "node",
@@ -250,7 +252,8 @@ def index_entries(rows: DataFrame, frequent: tuple, size: int = SHINGLE, combine
         F.col("facts").bitwiseAND(F.lit(3)).cast("int").alias("kind"),
     )
     by_size = Window.partitionBy("key").orderBy("n", "node")
-    beside = unpacked.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    # most keys are of one set: they go before anything is gathered around a row
+    beside = unpacked.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("size > 1")
     for name, of in (("below", F.lag), ("above", F.lead)):
         beside = beside.withColumn(name, of("n").over(by_size))
     around = F.collect_list(F.struct("node", "n", "place")).over(by_size.rowsBetween(-NEAR_SETS, NEAR_SETS))
@@ -265,7 +268,7 @@ def index_entries(rows: DataFrame, frequent: tuple, size: int = SHINGLE, combine
         & _similar_sizes(F.col("n"), o["n"])
         & _enough_room(F.col("n"), F.col("place"), o["n"], o["place"]),
     )
-    fits = F.when(F.col("size") == 1, False).when(F.col("size") <= NEAR_SETS + 1, any_similar).otherwise(some)
+    fits = F.when(F.col("size") <= NEAR_SETS + 1, any_similar).otherwise(some)
     return beside.filter(fits).select("key", "node", "n", "place", "kind")
 
 
@@ -329,7 +332,7 @@ def _may_be_similar(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
     first = pairs.join(maps.select(F.col("node").alias("a"), F.col("n"), F.col("map").alias("x")), "a")
     second = first.join(maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("map").alias("y")), "b")
-    return second.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long")
+    return second.select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(compare), "a long, b long")
 
 
 class Maps:
@@ -482,8 +485,8 @@ def _key_pairs(entries: DataFrame, maps: DataFrame, tasks: int, nearest: bool =
 
     met = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
     if not nearest:
-        return met.mapInArrow(compare, "a long, b long").distinct()
-    found = met.mapInArrow(compare, "node long, share double, other long")
+        return met.mapInArrow(tidy(compare), "a long, b long").distinct()
+    found = met.mapInArrow(tidy(compare), "node long, share double, other long")
     best = found.groupBy("node").agg(F.max(F.struct("share", "other")).alias("best"))
     return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
 
@@ -506,11 +509,11 @@ def node_sets(rows: DataFrame, seed: DataFrame, needed: DataFrame, size: int = S
     ids = members.filter("label IS NOT NULL").select(F.col("label").alias("doc_id"))
     wanted = F.broadcast(ids) if ids.limit(room + 1).count() <= room else ids
     chosen = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    found = chosen.mapInArrow(collect, "node long, tokens binary")
+    found = chosen.mapInArrow(tidy(collect), "node long, tokens binary")
     nameless = members.filter("label IS NULL").select("node")
     if nameless.isEmpty():
         return found
-    others = rows.filter("doc_id IS NULL").select("doc_id", "text").mapInArrow(collect, "node long, tokens binary")
+    others = rows.filter("doc_id IS NULL").select("doc_id", "text").mapInArrow(tidy(collect), "node long, tokens binary")
     # many rows may share a set
     one_each = others.join(nameless, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens"))
     return found.unionByName(one_each)
@@ -530,7 +533,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     second = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return second.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return second.select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def similar_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -642,7 +645,7 @@ def link_counts(
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts)], names=["node", "n_links"])
                 done = []
 
-    found = placed.select("group", "side", "node", "tokens").mapInArrow(count, "node long, n_links long")
+    found = placed.select("group", "side", "node", "tokens").mapInArrow(tidy(count), "node long, n_links long")
     return two.union(found.groupBy("node").agg(F.sum("n_links").alias("n_links")))
 
 

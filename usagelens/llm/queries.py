@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.byte_bpe import decode_ids, encode_texts, read_ranks
+from usagelens.llm.byte_bpe import encode_texts, read_ranks
 from usagelens.llm.centroid_clustering import cluster_vectors
 from usagelens.llm.common import QueryFn, table
 from usagelens.llm.decontaminate import find_leaks
@@ -68,7 +68,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     """The ids of every text and the bytes they stand for, as digests."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = decode_ids(encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = encode_texts(docs, ranks, public_tokenizers.PATTERN, decoded=True)
     return coded.select(
         "doc_id",
         "n_tokens",
