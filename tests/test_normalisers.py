@@ -299,6 +299,46 @@ def test_context_records_nested_and_flat(spark):
     assert (events[0]["input_tokens"], events[0]["model"]) == (5000, "doubao-model-38")
 
 
+def test_context_records_are_what_sparks_parser_reads(spark):
+    def owner(fields: str, usage: str = '{"messages":5}') -> str:
+        return '{"create_time":%d,%s,"context_window_usage":%s}' % (T0, fields, usage)
+
+    rows = [
+        ("number", owner('"model_id":100.0,"message_id":1e5')),
+        ("text", owner('"model_id":"\\u0033\\u0038","message_id":" \\ud83d\\ude00\\" "')),
+        ("object", owner('"message_id":{"b":1.50,"a":["x",null,true]}', '{"used_tokens":"0012","messages":5}')),
+        ("tail", owner('"message_id":1') + " tail"),
+        ("space", " \n" + owner('"message_id":null', '" {\\"tools\\":7.0}"')),
+        ("twice", owner('"message_id":1,"message_id":2')),
+        ("cut", owner('"message_id":1')[:-1]),
+        ("key", '{"context\\u005fwindow_usage":{"messages":5},"x":"context_window_usage","create_time":%d}' % T0),
+    ]
+    events = contexts.norm_context_records(spark.createDataFrame(rows, "tool string, value string"), T0).collect()
+    ids = {e["tool"]: (e["dedup_key"].split(":-:")[1].rsplit(":", 1)[0], e["model"], e["input_tokens"]) for e in events}
+    assert len(events) == 6
+    assert {tool: ids[tool] for tool in ("number", "text", "object", "tail")} == {
+        "number": ("100000.0", "doubao-model-100", 5),
+        "text": ('\U0001f600"', "doubao-model-38", 5),
+        "object": ('{"a":["x",null,true],"b":1.5}', None, 12),
+        "tail": ("1", None, 5),
+    }
+    assert (ids["space"][2], ids["key"][2]) == (7, 5)
+
+
+def test_owners_come_with_whole_ancestors(spark):
+    from pyspark.sql import functions as F
+
+    record = '{"n":1.50,"l":[{"k":"v","context_window_usage":{"context_window_usage":null}},{"context_window_usage":""},{"k":2}]}'
+    chains = contexts.owners(spark.createDataFrame([("doubao", record)], "tool string, value string")).select(
+        F.transform("chain", lambda o: F.to_json(o)).alias("c")
+    )
+    root = '{"l":[{"context_window_usage":{"context_window_usage":null},"k":"v"},{"context_window_usage":""},{"k":2}],"n":1.5}'
+    first = '{"context_window_usage":{"context_window_usage":null},"k":"v"}'
+    assert sorted(r["c"] for r in chains.collect()) == sorted([
+        ['{"context_window_usage":""}', root], [first, root], ['{"context_window_usage":null}', first, root],
+    ])
+
+
 def test_usage_csv(spark, tmp_path):
     head = "Date,User,Model,Input (w/ Cache Write),Input (w/o Cache Write),Cache Read,Output Tokens"
     row = '2026-01-02T03:04:05.000Z,"a, ""b""\nc",cursor-grok-4.6-medium,1,2,3,4'

@@ -38,6 +38,23 @@ def test_context_fields_are_read_once(spark):
     assert plan(events).count("try_variant_get") < 300
 
 
+def test_context_records_are_walked_in_one_pass(spark):
+    record = {"create_time": T0, "message_id": "m", "ext": {"context_window_usage": {"messages": 9}, "model_id": 3}}
+    for i in range(300):
+        record = {"d": [record], "conversation_id": f"c{i}", "model_id": 99}
+    records = spark.createDataFrame([("doubao", json.dumps(record))], "tool string, value string")
+    context = spark.sparkContext
+    context.setJobGroup("walk", "")
+    try:
+        events = contexts.norm_context_records(records, T0)
+        # ten levels were one stored job before, 60 here, and every level a generator of its own
+        assert not context.statusTracker().getJobIdsForGroup("walk")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert plan(events).count("MapInArrow") == 1 and plan(events).count("Generate") < 10
+    assert [(e["session_id"], e["model"], e["input_tokens"]) for e in events.collect()] == [("c0", "doubao-model-3", 9)]
+
+
 def test_masked_rollouts_are_converted_once(make_lines):
     used = {"input_tokens": 5, "total_tokens": 6}
     payload = {"type": "token_count", "info": {"total_token_usage": used, "last_token_usage": {"input_tokens": -1}}, "session_id": "s"}
